@@ -1,0 +1,32 @@
+"""Result tables as Parquet snapshots.
+
+A change reads snapshot N and writes snapshot N + 1 beside it, so a reader or a failed job never sees
+half a table. A snapshot counts once its ``_SUCCESS`` file exists.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def _snapshots(spark: SparkSession, root: str, name: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/snapshot=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """The newest snapshot, or an empty table."""
+    snapshots = _snapshots(spark, root, name)
+    if not snapshots:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{name}/snapshot={snapshots[-1]}")
+
+
+def write_table(df: DataFrame, root: str, name: str, schema: T.StructType) -> int:
+    """Write the next snapshot and return its number."""
+    number = max(_snapshots(df.sparkSession, root, name), default=0) + 1
+    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(
+        f"{root}/{name}/snapshot={number}")
+    return number

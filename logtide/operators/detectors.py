@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 from logtide.functions import logs as fn
 from logtide.operators.features import LOG_ORDER, attach_cells
 from logtide.plans.bounded import join_small
-from logtide.plans.materialize import materialize
 from logtide.plans.ordering import SLICE_ROWS, RowOrder, with_position, with_slices
 from logtide.plans.quantiles import exact_quantile
-from logtide.plans.trailing import (
-    over_trailing, per_second, sample_variance, trailing_squares_centred, trailing_sum_centred,
-)
+from logtide.plans.trailing import Trailing, frame_mean, over_trailing, per_second, sample_variance, variance_frames
 
 
 def seasonal_anomalies(df: DataFrame, value: str, season: Column, threshold: float = 3.0,
@@ -55,22 +52,17 @@ GRID_MINUTES = [5, 15, 30, 60]
 def rolling_grid(df: DataFrame, value: str = "response_time_ms", minutes: list[int] | None = None) -> DataFrame:
     """Count, mean, deviation, minimum and maximum of ``value`` over several trailing windows."""
     minutes = minutes or GRID_MINUTES
-    columns, seconds = {}, {}
+    frames = {}
     for m in minutes:
-        parts = {
-            f"count_{m}min": F.sum("_rows"), f"_n_{m}": F.sum("_n"), f"_s_{m}": F.sum("_sum"),
-            f"_s1_{m}": trailing_sum_centred(), f"_s2_{m}": trailing_squares_centred(),
-            f"min_{m}min": F.min("_min"), f"max_{m}min": F.max("_max"),
-        }
-        columns |= parts
-        seconds |= dict.fromkeys(parts, m * 60)
-    cells = over_trailing(per_second(df, LOG_ORDER, value=F.col(value)), columns, seconds)
-    for m in minutes:
-        variance = sample_variance(F.col(f"_n_{m}"), F.col(f"_s1_{m}"), F.col(f"_s2_{m}"),
-                                   F.col(f"min_{m}min"), F.col(f"max_{m}min"))
-        cells = cells.withColumns({
-            f"mean_{m}min": F.try_divide(f"_s_{m}", f"_n_{m}"), f"std_{m}min": F.sqrt(variance),
-        })
+        frames[f"count_{m}min"] = Trailing("sum", "_rows", m * 60)
+        frames |= variance_frames(f"_f{m}", m * 60)
+    cells = over_trailing(per_second(df, LOG_ORDER, value=F.col(value)), frames)
+    cells = cells.withColumns({
+        name: column for m in minutes for name, column in {
+            f"mean_{m}min": frame_mean(f"_f{m}"), f"std_{m}min": F.sqrt(sample_variance(f"_f{m}")),
+            f"min_{m}min": F.col(f"_f{m}_low"), f"max_{m}min": F.col(f"_f{m}_high"),
+        }.items()
+    })
     out = [f"{stat}_{m}min" for m in minutes for stat in ("count", "mean", "std", "min", "max")]
     return attach_cells(df, cells.select("_key", "_sec", "_rows", *out))
 

@@ -10,9 +10,7 @@ from logtide.operators.features import LOG_ORDER, attach_cells
 from logtide.plans.bounded import join_small
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, slice_window, with_position, with_slices
-from logtide.plans.trailing import (
-    over_trailing, per_second, sample_variance, trailing_count, trailing_squares_centred, trailing_sum_centred,
-)
+from logtide.plans.trailing import Trailing, frame_mean, over_trailing, per_second, sample_variance, variance_frames
 from logtide.schemas import LOG_LEVELS
 
 HOUR = 3600
@@ -58,17 +56,15 @@ def hourly_cells(df: DataFrame, frame: int = HOUR) -> DataFrame:
         df, LOG_ORDER, F.count("log_level").alias("_levels"), *_level_counts(), value=F.col("response_time_ms"),
     )
     levels = [f"_level_{level}" for level in LOG_LEVELS]
-    columns = {
-        "count_per_hour": trailing_count(),
-        "_n1": F.sum("_n"), "_s0": F.sum("_sum"), "_s1": trailing_sum_centred(), "_s2": trailing_squares_centred(),
-        "_low": F.min("_min"), "_high": F.max("_max"), "_known": F.sum("_levels"),
-        **{f"_in{name}": F.sum(name) for name in levels},
-    }
-    hourly = over_trailing(cells, columns, dict.fromkeys(columns, frame))
-    mean = F.try_divide("_s0", "_n1")
+    hourly = over_trailing(cells, {
+        "count_per_hour": Trailing("sum", "_rows", frame),
+        "_known": Trailing("sum", "_levels", frame),
+        **variance_frames("_time", frame),
+        **{f"_in{name}": Trailing("sum", name, frame) for name in levels},
+    }, keep=["_levels"])
+    mean = frame_mean("_time")
     hourly = hourly.withColumns({
-        "variance_response_time": sample_variance(
-            F.col("_n1"), F.col("_s1"), F.col("_s2"), F.col("_low"), F.col("_high")),
+        "variance_response_time": sample_variance("_time"),
         "log_level_entropy": F.when(
             F.col("_known") > 0, fn.entropy_bits([F.col(f"_in{name}") for name in levels], F.col("_known")),
         ).otherwise(0.0),
@@ -77,10 +73,10 @@ def hourly_cells(df: DataFrame, frame: int = HOUR) -> DataFrame:
         "coefficient_variation",
         F.when(mean != 0, F.sqrt("variance_response_time") / mean).otherwise(0.0),
     )
-    hourly = hourly.select("_key", "_sec", "_rows", "count_per_hour", "variance_response_time",
-                           "coefficient_variation", "log_level_entropy", "_term")
-    return over_trailing(hourly, {"log_level_entropy_literal": F.sum("_term")},
-                         {"log_level_entropy_literal": frame}).drop("_term")
+    return over_trailing(
+        hourly, {"log_level_entropy_literal": Trailing("sum", "_term", frame)},
+        keep=["count_per_hour", "variance_response_time", "coefficient_variation", "log_level_entropy"],
+    )
 
 
 def hourly_variability(df: DataFrame) -> DataFrame:
@@ -124,7 +120,7 @@ def time_bursts(df: DataFrame, seconds: int = 300, threshold: float = 2.0,
                 order: RowOrder = LOG_ORDER) -> DataFrame:
     """Burst flag on the trailing ``seconds``: count above mean + ``threshold`` deviations of its key."""
     cells = materialize(
-        over_trailing(per_second(df, order), {"recent_count": trailing_count()}, {"recent_count": seconds}))
+        over_trailing(per_second(df, order), {"recent_count": Trailing("sum", "_rows", seconds)}))
     weight, count = F.col("_rows"), F.col("recent_count")
     means = cells.groupBy("_key").agg((F.sum(weight * count) / F.sum(weight)).alias("avg_count"))
     gap = count - F.col("avg_count")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.functions import logs as fn
-from logtide.plans.bounded import join_small
+from logtide.plans.bounded import fetch_bounded, join_small
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, slice_window, with_cell, with_position, with_slices
-from logtide.plans.trailing import over_trailing, per_second
+from logtide.plans.trailing import Trailing, over_trailing, per_second
 from logtide.schemas import FEATURE_TABLE, FEATURE_TABLE_EXTRA
 
 LOG_ORDER = RowOrder("log_type", "timestamp", "log_id")
@@ -35,12 +35,12 @@ def rolling_cells(df: DataFrame) -> DataFrame:
     """Trailing counts and API response-time statistics, one row per (log type, second)."""
     response_time = fn.api_response_time(F.col("log_type"), F.col("response_time_ms"))
     cells = per_second(df, LOG_ORDER, F.count("log_id").alias("_ids"), value=response_time)
-    trailing = over_trailing(
-        cells,
-        {"count_5min": F.sum("_ids"), "count_15min": F.sum("_ids"), "count_1hour": F.sum("_ids"),
-         "_s": F.sum("_sum"), "_c": F.sum("_n"), "_m": F.max("_max")},
-        {"count_5min": 300, "count_15min": 900, "count_1hour": 3600, "_s": 300, "_c": 300, "_m": 300},
-    )
+    trailing = over_trailing(cells, {
+        "count_5min": Trailing("sum", "_ids", 300),
+        "count_15min": Trailing("sum", "_ids", 900),
+        "count_1hour": Trailing("sum", "_ids", 3600),
+        "_s": Trailing("sum", "_sum", 300), "_c": Trailing("sum", "_n", 300), "_m": Trailing("max", "_max", 300),
+    })
     return trailing.select(
         "_key", "_sec", "_rows", "count_5min", "count_15min", "count_1hour",
         F.coalesce(F.try_divide("_s", "_c"), F.lit(0.0)).alias("avg_response_time_5min"),
@@ -61,8 +61,8 @@ def rolling_statistics(df: DataFrame) -> DataFrame:
 def type_statistics(df: DataFrame, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
     """One row per log type: frequency index, mean, sample deviation and p95 of the response time.
 
-    The index counts from the most frequent type; ties go by name. It is ranked over one row per log
-    type, the label list of the encoding.
+    The index counts from the most frequent type; ties go by name. Up to ``BROADCAST_ROWS`` types are
+    ranked in one place; a longer list takes its ranks from the distributed row order.
     """
     stats = df.groupBy("log_type").agg(
         F.count(F.lit(1)).alias("type_rows"),
@@ -70,17 +70,19 @@ def type_statistics(df: DataFrame, accuracy: int = QUANTILE_ACCURACY) -> DataFra
         F.stddev_samp("response_time_ms").alias("std_response_time"),
         F.percentile_approx("response_time_ms", 0.95, accuracy).alias("p95_response_time"),
     )
-    rank = Window.partitionBy(F.col("log_type").isNull()).orderBy(F.desc("type_rows"), "log_type")
+    head = fetch_bounded(stats)
+    if head is not None:
+        stats = df.sparkSession.createDataFrame(head, schema=stats.schema)
+        rank = Window.partitionBy(F.col("log_type").isNull()).orderBy(F.desc("type_rows"), "log_type")
+        index = F.row_number().over(rank) - 1
+    else:
+        stats = materialize(stats).withColumns({
+            "_null": F.col("log_type").isNull(), "_order": F.timestamp_seconds(-F.col("type_rows"))})
+        stats = with_position(stats, RowOrder("_null", "_order", "log_type"))
+        index = F.col("_pos")
     return stats.withColumn(
-        "log_type_indexed",
-        F.when(F.col("log_type").isNotNull(), F.row_number().over(rank) - 1).cast("double"),
-    ).drop("type_rows")
-
-
-def encode_categories(df: DataFrame) -> DataFrame:
-    """Level code and frequency index of the log type."""
-    index = type_statistics(df).select("log_type", "log_type_indexed")
-    return join_small(df.withColumn("log_level_encoded", fn.level_code(F.col("log_level"))), index, "log_type")
+        "log_type_indexed", F.when(F.col("log_type").isNotNull(), index).cast("double"),
+    ).select("log_type", "log_type_indexed", "mean_response_time", "std_response_time", "p95_response_time")
 
 
 def _add_statistical(df: DataFrame) -> DataFrame:

@@ -22,15 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.plans.bounded import BROADCAST_ROWS
+from logtide.plans.bounded import join_small
 from logtide.plans.materialize import materialize
 
 #: Rows in one (key, second) above which the second is split.
 HOT_CELL_ROWS = 1_000_000
 #: Rows per slice of an ordered key.
 SLICE_ROWS = 100_000
-#: Hash parts of one timestamp in a hot second.
-HASH_PARTS = 64
 
 _DAY = 86_400
 #: Stand-in second of rows without a timestamp: they sort first, as nulls do in a window.
@@ -58,27 +56,24 @@ class RowOrder:
     def micros_column(self) -> Column:
         return F.coalesce(F.unix_micros(F.col(self.time).cast("timestamp")), F.lit(NO_TIME).cast("long"))
 
-    def tie_hash(self) -> Column:
-        return F.xxhash64(F.col(self.tie))
-
 
 def with_cell(df: DataFrame, order: RowOrder) -> DataFrame:
     """Add the cell columns ``_key`` and ``_sec``; neither is ever null."""
     return df.withColumns({"_key": order.key_column(), "_sec": order.second_column()})
 
 
-def _running_start(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Exclusive running total ``_start`` of ``_rows`` per ``_key`` in the order of ``by``.
+def _second_starts(seconds: DataFrame) -> DataFrame:
+    """Exclusive running total ``_start`` of ``_rows`` over the seconds of each ``_key``.
 
-    Two levels - days, then cells inside a day - keep every window group small.
+    Two levels - days, then the seconds of a day - keep every window group small.
     """
-    counts = counts.withColumn("_day", F.floor(F.col("_sec") / _DAY))
+    counts = seconds.withColumn("_day", F.floor(F.col("_sec") / _DAY))
     before = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
         counts.groupBy("_key", "_day").agg(F.sum("_rows").alias("_rows"))
         .select("_key", "_day", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_day_start"))
     )
-    inside = Window.partitionBy("_key", "_day").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_day").orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1)
     return (
         counts.join(days, ["_key", "_day"])
         .withColumn("_start", F.col("_day_start") + F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
@@ -86,6 +81,29 @@ def _running_start(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _split_hot_seconds(rows: DataFrame, cells: DataFrame, order: RowOrder, limit: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cut seconds of more than ``limit`` rows by exact timestamp, and timestamps of more than ``limit``
+    rows by hash. Returns the rows, the start of each part inside its second, and the cell columns.
+
+    A second has at most a million timestamps, and a hot timestamp gets parts in proportion to its rows,
+    so the parts of one second stay few however many rows it holds.
+    """
+    second, instant = ["_key", "_sec"], ["_key", "_sec", "_micros"]
+    hot = cells.filter(F.col("_rows") > limit).select(*second, F.lit(True).alias("_hot"))
+    rows = join_small(rows, hot, second).withColumn(
+        "_micros", F.when(F.col("_hot"), order.micros_column()).otherwise(0)).drop("_hot")
+    instants = materialize(rows.groupBy(*instant).agg(F.count(F.lit(1)).alias("_rows")))
+    parts = F.ceil(F.col("_rows") / limit).alias("_parts")
+    hash_share = (F.shiftright(F.xxhash64(order.tie), 32) + F.lit(2 ** 31)) / F.lit(2 ** 32)
+    rows = join_small(rows, instants.filter(F.col("_rows") > limit).select(*instant, parts), instant).withColumn(
+        "_part", F.coalesce(F.floor(hash_share * F.col("_parts")), F.lit(0))).drop("_parts")
+    cell = [*instant, "_part"]
+    inside = Window.partitionBy(*second).orderBy("_micros", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")).select(
+        *cell, F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_part_start"))
+    return rows, starts, cell
+
+
 def with_position(df: DataFrame, order: RowOrder = RowOrder(), cells: DataFrame | None = None,
                   hot_cell: int = HOT_CELL_ROWS) -> DataFrame:
     """Add ``_key``, ``_sec`` and ``_pos``, the dense 0-based position of each row inside its key.
@@ -96,30 +114,14 @@ def with_position(df: DataFrame, order: RowOrder = RowOrder(), cells: DataFrame
     rows = with_cell(df, order)
     if cells is None:
         cells = materialize(rows.groupBy("_key", "_sec").agg(F.count(F.lit(1)).alias("_rows")))
-    sub_order = ["_sec"]
-    cell_key = ["_key", "_sec"]
-    starts = cells
-    hot = cells.filter(F.col("_rows") > hot_cell).select("_key", "_sec")
-    hot_count = hot.count()
-    if hot_count:
-        # At most one second per `hot_cell` rows can be hot, yet the count is checked all the same.
-        flag = hot.withColumn("_hot", F.lit(True))
-        flag = F.broadcast(flag) if hot_count <= BROADCAST_ROWS else flag
-        split = {
-            "_micros": F.when(F.col("_hot"), order.micros_column()).otherwise(F.lit(0).cast("long")),
-            "_part": F.when(F.col("_hot"), F.floor((F.shiftright(order.tie_hash(), 32) + F.lit(2 ** 31))
-                                                   * HASH_PARTS / F.lit(2 ** 32)))
-                      .otherwise(F.lit(0)).cast("int"),
-        }
-        rows = rows.join(flag, cell_key, "left").withColumns(split).drop("_hot")
-        cell_key = ["_key", "_sec", "_micros", "_part"]
-        sub_order = ["_sec", "_micros", "_part"]
-        fine = rows.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("_rows"))
-        starts = fine.join(cells.drop("_rows"), ["_key", "_sec"])
-    starts = _running_start(starts, sub_order).drop("_rows")
-    inside = Window.partitionBy(*cell_key).orderBy(order.time, order.tie)
+    starts, cell = _second_starts(cells).drop("_rows"), ["_key", "_sec"]
+    if not cells.filter(F.col("_rows") > hot_cell).isEmpty():
+        rows, part_starts, cell = _split_hot_seconds(rows, cells, order, hot_cell)
+        starts = part_starts.join(starts, ["_key", "_sec"]).withColumn(
+            "_start", F.col("_start") + F.col("_part_start")).drop("_part_start")
+    inside = Window.partitionBy(*cell).orderBy(order.time, order.tie)
     return (
-        rows.join(starts, cell_key)
+        rows.join(starts, cell)
         .withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_start", "_micros", "_part")
     )

@@ -28,85 +28,69 @@ def exact_quantile(df: DataFrame, value: str, probability: float, by: list[str]
     cumulative share reaches ``probability``. ``df`` is read several times, so hand in a stored table
     when the value is costly to compute. Values must not be NaN.
     """
-    keys = [f"_g{i}" for i in range(len(by or []))]
+    by = by or []
+    keys = [f"_g{i}" for i in range(len(by))]
+    group = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by], F.lit(""))
     rows = df.select(
-        *[F.col(c).alias(k) for c, k in zip(by or [], keys)], F.col(value).cast("double").alias("_v")
+        group.alias("_g"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v")
     ).filter(F.col("_v").isNotNull())
-    # group keys as one non-null column, so that null groups survive the joins
-    rows = rows.select(F.to_json(F.struct(*keys)).alias("_g") if keys else F.lit("").alias("_g"), *keys, "_v")
 
-    first = rows.groupBy("_g").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"),
+    groups = rows.groupBy("_g").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_in"),
         *[F.first(k).alias(k) for k in keys],
     )
     if discrete:
-        rank = F.greatest(F.ceil(F.round(F.lit(probability) * F.col("_n"), 9)) - 1, F.lit(0)).cast("double")
+        rank = F.greatest(F.ceil(F.round(F.lit(probability) * F.col("_in"), 9)) - 1, F.lit(0)).cast("double")
     else:
-        rank = F.lit(probability) * (F.col("_n") - 1)
-    # 0-based ranks _k and _k2 (its upper neighbour) are wanted; _below rows lie under the bracket.
+        rank = F.lit(probability) * (F.col("_in") - 1)
+    groups = materialize(groups.withColumn("_rank", rank))
+    rows = rows.select("_g", "_v")
+    # One bracket per rank wanted (0-based `_k`, at most two per group); `_below` rows lie under it.
     bracket = materialize(
-        first.withColumn("_rank", rank)
-        .withColumn("_k", F.floor("_rank"))
-        .withColumn("_k2", F.least(F.ceil("_rank"), F.col("_n") - 1))
-        .withColumn("_below", F.lit(0).cast("long"))
-        .withColumn("_in", F.col("_n"))
+        groups.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))))
+        .select("_g", "_k", "_lo", "_hi", "_in", F.lit(0).cast("long").alias("_below"))
     )
-    while True:
-        wide = (F.col("_in") > direct_rows) & (F.col("_hi") > F.col("_lo"))
-        if bracket.filter(wide).isEmpty():
-            break
-        narrowed = _narrow(rows, bracket.filter(wide))
-        narrowed = materialize(narrowed.unionByName(bracket.filter(~wide).select(narrowed.columns)))
-        before = bracket.agg(F.sum("_in")).first()[0]
-        bracket = narrowed
-        if bracket.agg(F.sum("_in")).first()[0] == before:
-            break  # both ranks sit in bins that cannot be cut apart any further
-    single = F.col("_lo") == F.col("_hi")
-    inside = (
-        join_small(rows.select("_g", "_v"), bracket.filter(~single).select("_g", "_lo", "_hi"), "_g", "inner")
-        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_vals"))
+    wide = (F.col("_in") > direct_rows) & (F.col("_hi") > F.col("_lo"))
+    while not bracket.filter(wide).isEmpty():
+        # lowest and highest value of a bracket fall into different bins, so every pass shrinks it
+        bracket = materialize(_narrow(rows, bracket.filter(wide)).unionByName(bracket.filter(~wide)))
+    picked = _pick(rows, bracket).groupBy("_g").agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high"))
+    return groups.join(picked, "_g").select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)],
+        (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_rank") - F.floor("_rank"))).alias(name),
     )
-    picked = bracket.join(inside, "_g", "left")
 
-    def at(k: str):
-        return F.when(single, F.col("_lo")).otherwise(F.expr(
-            f"aggregate(_vals, named_struct('seen', _below, 'hit', cast(null as double)),"
-            f" (a, x) -> named_struct('seen', a.seen + x._c, 'hit',"
-            f" coalesce(a.hit, if(a.seen + x._c > {k}, x._v, null)))).hit"
-        ))
 
-    low, high = at("_k"), at("_k2")
-    return picked.select(
-        *[F.col(k).alias(c) for c, k in zip(by or [], keys)],
-        (low + (high - low) * (F.col("_rank") - F.col("_k"))).alias(name),
-    )
+def _inside(rows: DataFrame, bracket: DataFrame) -> DataFrame:
+    return join_small(rows, bracket, "_g", "inner").filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
 def _narrow(rows: DataFrame, bracket: DataFrame) -> DataFrame:
-    """One pass: shrink each bracket to the value range of the bins holding its two ranks."""
-    width = F.col("_hi") - F.col("_lo")
-    scaled = (F.col("_v") - F.col("_lo")) / width * BINS
+    """One pass: shrink each bracket to the value range of the bin that holds its rank."""
+    scaled = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
     binned = (
-        join_small(rows.select("_g", "_v"), bracket.select("_g", "_lo", "_hi", "_below", "_k", "_k2"), "_g", "inner")
-        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("_bin", F.least(F.floor(scaled), F.lit(BINS - 1)))
-        .groupBy("_g", "_bin")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bin_lo"), F.max("_v").alias("_bin_hi"),
-             F.first("_below").alias("_below"), F.first("_k").alias("_k"), F.first("_k2").alias("_k2"))
+        _inside(rows, bracket.select("_g", "_k", "_lo", "_hi", "_below"))
+        .groupBy("_g", "_k", "_below", F.least(F.floor(scaled), F.lit(BINS - 1)).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    order = Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        binned.withColumn("_last", F.col("_below") + F.sum("_c").over(order))
-        .withColumn("_first", F.col("_last") - F.col("_c"))
-        .filter((F.col("_first") <= F.col("_k2")) & (F.col("_last") > F.col("_k")))
-        .groupBy("_g")
-        .agg(F.min("_bin_lo").alias("_lo2"), F.max("_bin_hi").alias("_hi2"),
-             F.min("_first").alias("_below2"), F.sum("_c").alias("_in2"))
+    upto = Window.partitionBy("_g", "_k").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        binned.withColumn("_end", F.col("_below") + F.sum("_in").over(upto))
+        .withColumn("_below", F.col("_end") - F.col("_in"))
+        .filter((F.col("_below") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
+        .select("_g", "_k", "_lo", "_hi", "_in", "_below")
     )
-    kept = [c for c in bracket.columns if c not in ("_lo", "_hi", "_below", "_in")]
-    return bracket.select(*kept).join(ranked, "_g").select(
-        *kept, F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"),
-        F.col("_below2").alias("_below"), F.col("_in2").alias("_in"),
+
+
+def _pick(rows: DataFrame, bracket: DataFrame) -> DataFrame:
+    """The value at rank ``_k`` of each bracket, which holds few rows or a single value."""
+    single = F.col("_lo") == F.col("_hi")
+    known = bracket.filter(single).select("_g", F.col("_lo").alias("_hit"))
+    upto = Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (
+        _inside(rows, bracket.filter(~single).select("_g", "_k", "_lo", "_hi", "_below"))
+        .groupBy("_g", "_k", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
+        .filter((F.col("_end") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
     )
+    return known.unionByName(counted.select("_g", F.col("_v").alias("_hit")))

@@ -1,19 +1,29 @@
 """Trailing time frames (``RANGE BETWEEN t PRECEDING AND CURRENT ROW`` over epoch seconds).
 
-All rows of one second are peers and share one frame, so the frame can be evaluated per (key, second)
-instead of per row. Rows are first combined to one moment row per second - map-side, so neither a hot
-key nor a hot second gathers anywhere - and the frames then slide over that table, whose size depends
-on the time span and not on the number of rows. Spark re-evaluates a sliding frame for every row, which
-costs rows x frame size; here the frame holds at most ``t + 1`` seconds.
+All rows of one second are peers and share one frame, so a frame is evaluated per (key, second) instead
+of per row. Rows are first combined to one moment row per second - map-side, so neither a hot key nor a
+hot second gathers anywhere. The size of that table depends on the time span, not on the number of rows.
+
+Spark evaluates a sliding frame anew for every row, which costs rows x frame length: hours of work for an
+hour-long frame over dense seconds. The frames therefore slide in numpy, where sums are differences of
+running totals and extremes join two runs. Only the per-second table crosses to Python, in day-long groups
+that hold at most one row per second.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtide.plans.ordering import RowOrder, with_cell
 
+_DAY = 86_400
+
 
 def per_second(df: DataFrame, order: RowOrder, *extra: Column, value: Column | None = None) -> DataFrame:
     """One row per (``_key``, ``_sec``): ``_rows``, moments of ``value`` (``_n``, ``_mean``, ``_m2``,
@@ -29,53 +39,118 @@ def per_second(df: DataFrame, order: RowOrder, *extra: Column, value: Column | N
     return with_cell(df, order).groupBy("_key", "_sec").agg(*aggs, *extra)
 
 
-def over_trailing(cells: DataFrame, columns: dict[str, Column], seconds: dict[str, int]) -> DataFrame:
-    """Evaluate aggregates over trailing frames of the per-second table.
-
-    ``columns`` maps output names to aggregate columns, ``seconds`` the same names to frame lengths.
-    Time is cut into slices several frames long, each with copies of the seconds just before it, so
-    that one key spreads over many tasks. The slice mean of ``_mean`` is available as ``_centre``.
-    """
-    longest = max(seconds.values())
-    width = 4 * (longest + 1)
-    home = F.floor(F.col("_sec") / width)
-    late = F.col("_sec") - home * width >= width - longest
-    sliced = (
-        cells.withColumn("_slice", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
-        .withColumn("_own", F.col("_slice") == home)
-    )
-    group = Window.partitionBy("_key", "_slice")
-    if "_mean" in cells.columns:
-        sliced = sliced.withColumn("_centre", F.coalesce(F.avg("_mean").over(group), F.lit(0.0)))
-    ordered = group.orderBy("_sec")
-    frames = {
-        name: column.over(ordered.rangeBetween(-seconds[name], Window.currentRow))
-        for name, column in columns.items()
-    }
-    return sliced.withColumns(frames).filter("_own").drop("_slice", "_own", "_centre")
+_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
 
 
-def trailing_count() -> Column:
-    return F.sum("_rows")
+def to_arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, _ARROW[f.dataType]) for f in schema.fields])
 
 
-def trailing_mean() -> Column:
-    return F.try_divide(F.sum("_sum"), F.sum("_n"))
+@dataclass(frozen=True)
+class Trailing:
+    """One trailing aggregate: ``sum``, ``min`` or ``max`` of a per-second column over ``seconds``.
 
+    The columns ``_d1`` and ``_d2`` stand for the first and second moment about a value near the frame,
+    from which a variance follows without cancellation; ``_n`` is their count.
+    """
 
-def trailing_sum_centred() -> Column:
-    return F.sum(F.col("_n") * (F.col("_mean") - F.col("_centre")))
+    stat: str
+    column: str
+    seconds: int
 
 
-def trailing_squares_centred() -> Column:
-    gap = F.col("_mean") - F.col("_centre")
-    return F.sum(F.col("_m2") + F.col("_n") * gap * gap)
+def over_trailing(cells: DataFrame, frames: dict[str, Trailing], keep: list[str] | None = None) -> DataFrame:
+    """Per-second table with the trailing aggregates; of its other columns the key, ``_rows`` and ``keep``.
 
+    Time is cut into slices of a day, each with copies of the seconds just before it, so that one key
+    spreads over many tasks.
+    """
+    longest = max(f.seconds for f in frames.values())
+    width = max(_DAY, 4 * (longest + 1))
+    kept = ["_key", "_sec", "_rows", *(keep or [])]
+    moments = any(f.column in ("_d1", "_d2") for f in frames.values())
+    inputs = {f.column for f in frames.values() if f.column not in ("_d1", "_d2")}
+    if moments:
+        inputs |= {"_n", "_mean", "_m2"}
+    types = {f.name: f.dataType for f in cells.schema.fields}
+    whole = {name for name, f in frames.items() if types.get(f.column) == T.LongType()}
 
-def sample_variance(n: Column, s1: Column, s2: Column, low: Column, high: Column) -> Column:
-    """Sample variance from centred moments: null below two values, exactly 0 for equal values."""
+    home = F.floor(F.col("_sec") / width)
+    late = F.col("_sec") - home * width >= width - longest
+    sliced = cells.select(
+        *dict.fromkeys([*kept, *sorted(inputs)]),
+        F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("_slice"),
+        home.alias("_home"),
+    )
+    schema = T.StructType([cells.schema[c] for c in kept] + [
+        T.StructField(name, T.LongType() if name in whole else T.DoubleType()) for name in frames])
+
+    arrow = to_arrow_schema(schema)
+
+    def slide(group: pa.Table) -> pa.Table:
+        group = group.take(np.argsort(group["_sec"].to_numpy()))
+        second = group["_sec"].to_numpy()
+        columns = {c: group[c].to_numpy().astype("float64") for c in inputs}  # nulls become NaN
+        if moments:
+            present = columns["_n"] > 0
+            centre = columns["_mean"][present].mean() if present.any() else 0.0
+            gap = np.where(present, columns["_mean"] - centre, 0.0)
+            columns["_d1"] = columns["_n"] * gap
+            columns["_d2"] = np.where(present, columns["_m2"], 0.0) + columns["_n"] * gap * gap
+        own = group["_slice"].to_numpy() == group["_home"].to_numpy()
+        out = [group[c].filter(own) for c in kept]
+        for name, frame in frames.items():
+            start = np.searchsorted(second, second - frame.seconds)
+            slid = _slide_sum if frame.stat == "sum" else _slide_extreme
+            result = slid(columns[frame.column], start, frame.stat)[own]
+            if name in whole:
+                out.append(pa.array(np.nan_to_num(result).round().astype("int64")))
+            else:
+                out.append(pa.array(result, from_pandas=True))
+        return pa.Table.from_arrays(out, schema=arrow)
+
+    return sliced.groupBy("_key", "_slice").applyInArrow(slide, schema)
+
+
+def _slide_sum(values: np.ndarray, start: np.ndarray, _: str) -> np.ndarray:
+    """Sum of ``values[start[i]] … values[i]``, NaN where all of them are missing."""
+    end = np.arange(1, len(values) + 1)
+    known = np.concatenate([[0], np.cumsum(~np.isnan(values))])
+    # extended precision keeps the differences of running totals as exact as sums of their own
+    total = np.concatenate([[0], np.cumsum(np.nan_to_num(values), dtype=np.longdouble)])
+    return np.where(known[end] > known[start], (total[end] - total[start]).astype("float64"), np.nan)
+
+
+def _slide_extreme(values: np.ndarray, start: np.ndarray, stat: str) -> np.ndarray:
+    """Minimum or maximum of ``values[start[i]] … values[i]``: two overlapping runs of a power-of-two length."""
+    pick = np.fmin if stat == "min" else np.fmax
+    index = np.arange(len(values))
+    level = np.log2(index - start + 1).astype(int)
+    result = np.empty(len(values))
+    runs = values  # runs[i]: extreme of the 2^k values up to i
+    for k in range(level.max() + 1):
+        at = index[level == k]
+        result[at] = pick(runs[start[at] + (1 << k) - 1], runs[at])
+        runs = pick(runs, np.concatenate([np.full(min(1 << k, len(runs)), np.nan), runs[:-(1 << k)]]))
+    return result
+
+
+def variance_frames(prefix: str, seconds: int) -> dict[str, Trailing]:
+    """The frames behind ``sample_variance`` and the mean of the value of ``per_second``."""
+    parts = {"n": ("sum", "_n"), "s": ("sum", "_sum"), "d1": ("sum", "_d1"), "d2": ("sum", "_d2"),
+             "low": ("min", "_min"), "high": ("max", "_max")}
+    return {f"{prefix}_{name}": Trailing(stat, column, seconds) for name, (stat, column) in parts.items()}
+
+
+def frame_mean(prefix: str) -> Column:
+    return F.try_divide(f"{prefix}_s", f"{prefix}_n")
+
+
+def sample_variance(prefix: str) -> Column:
+    """Sample variance in a frame: null below two values, exactly 0 for equal values."""
+    n, d1, d2 = (F.col(f"{prefix}_{p}") for p in ("n", "d1", "d2"))
     return (
         F.when(n < 2, None)
-        .when(low == high, 0.0)
-        .otherwise(F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / (n - 1)))
+        .when(F.col(f"{prefix}_low") == F.col(f"{prefix}_high"), 0.0)
+        .otherwise(F.greatest(F.lit(0.0), (d2 - d1 * d1 / n) / (n - 1)))
     )

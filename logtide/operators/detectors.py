@@ -13,7 +13,7 @@ from logtide.operators.features import LOG_ORDER, attach_cells
 from logtide.plans.bounded import join_small
 from logtide.plans.ordering import SLICE_ROWS, RowOrder, with_position, with_slices
 from logtide.plans.quantiles import exact_quantile
-from logtide.plans.trailing import Trailing, frame_mean, over_trailing, per_second, sample_variance, variance_frames
+from logtide.plans.trailing import Trailing, over_trailing, per_second
 
 
 def seasonal_anomalies(df: DataFrame, value: str, season: Column, threshold: float = 3.0,
@@ -54,15 +54,13 @@ def rolling_grid(df: DataFrame, value: str = "response_time_ms", minutes: list[i
     minutes = minutes or GRID_MINUTES
     frames = {}
     for m in minutes:
-        frames[f"count_{m}min"] = Trailing("sum", "_rows", m * 60)
-        frames |= variance_frames(f"_f{m}", m * 60)
+        frames |= {
+            f"count_{m}min": Trailing("sum", m * 60, "_rows"), f"mean_{m}min": Trailing("mean", m * 60),
+            f"std_{m}min": Trailing("variance", m * 60), f"min_{m}min": Trailing("min", m * 60, "_min"),
+            f"max_{m}min": Trailing("max", m * 60, "_max"),
+        }
     cells = over_trailing(per_second(df, LOG_ORDER, value=F.col(value)), frames)
-    cells = cells.withColumns({
-        name: column for m in minutes for name, column in {
-            f"mean_{m}min": frame_mean(f"_f{m}"), f"std_{m}min": F.sqrt(sample_variance(f"_f{m}")),
-            f"min_{m}min": F.col(f"_f{m}_low"), f"max_{m}min": F.col(f"_f{m}_high"),
-        }.items()
-    })
+    cells = cells.withColumns({f"std_{m}min": F.sqrt(f"std_{m}min") for m in minutes})
     out = [f"{stat}_{m}min" for m in minutes for stat in ("count", "mean", "std", "min", "max")]
     return attach_cells(df, cells.select("_key", "_sec", "_rows", *out))
 

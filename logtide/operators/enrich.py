@@ -10,7 +10,7 @@ from logtide.operators.features import LOG_ORDER, attach_cells
 from logtide.plans.bounded import join_small
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, slice_window, with_position, with_slices
-from logtide.plans.trailing import Trailing, frame_mean, over_trailing, per_second, sample_variance, variance_frames
+from logtide.plans.trailing import Trailing, over_trailing, per_second
 from logtide.schemas import LOG_LEVELS
 
 HOUR = 3600
@@ -57,24 +57,22 @@ def hourly_cells(df: DataFrame, frame: int = HOUR) -> DataFrame:
     )
     levels = [f"_level_{level}" for level in LOG_LEVELS]
     hourly = over_trailing(cells, {
-        "count_per_hour": Trailing("sum", "_rows", frame),
-        "_known": Trailing("sum", "_levels", frame),
-        **variance_frames("_time", frame),
-        **{f"_in{name}": Trailing("sum", name, frame) for name in levels},
+        "count_per_hour": Trailing("sum", frame, "_rows"),
+        "_known": Trailing("sum", frame, "_levels"),
+        "_mean_time": Trailing("mean", frame),
+        "variance_response_time": Trailing("variance", frame),
+        **{f"_in{name}": Trailing("sum", frame, name) for name in levels},
     }, keep=["_levels"])
-    mean = frame_mean("_time")
+    mean = F.col("_mean_time")
     hourly = hourly.withColumns({
-        "variance_response_time": sample_variance("_time"),
         "log_level_entropy": F.when(
             F.col("_known") > 0, fn.entropy_bits([F.col(f"_in{name}") for name in levels], F.col("_known")),
         ).otherwise(0.0),
         "_term": F.col("_levels") * F.log2(F.col("count_per_hour")) / F.col("count_per_hour"),
-    }).withColumn(
-        "coefficient_variation",
-        F.when(mean != 0, F.sqrt("variance_response_time") / mean).otherwise(0.0),
-    )
+        "coefficient_variation": F.when(mean != 0, F.sqrt("variance_response_time") / mean).otherwise(0.0),
+    })
     return over_trailing(
-        hourly, {"log_level_entropy_literal": Trailing("sum", "_term", frame)},
+        hourly, {"log_level_entropy_literal": Trailing("sum", frame, "_term")},
         keep=["count_per_hour", "variance_response_time", "coefficient_variation", "log_level_entropy"],
     )
 
@@ -120,7 +118,7 @@ def time_bursts(df: DataFrame, seconds: int = 300, threshold: float = 2.0,
                 order: RowOrder = LOG_ORDER) -> DataFrame:
     """Burst flag on the trailing ``seconds``: count above mean + ``threshold`` deviations of its key."""
     cells = materialize(
-        over_trailing(per_second(df, order), {"recent_count": Trailing("sum", "_rows", seconds)}))
+        over_trailing(per_second(df, order), {"recent_count": Trailing("sum", seconds, "_rows")}))
     weight, count = F.col("_rows"), F.col("recent_count")
     means = cells.groupBy("_key").agg((F.sum(weight * count) / F.sum(weight)).alias("avg_count"))
     gap = count - F.col("avg_count")

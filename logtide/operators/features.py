@@ -36,16 +36,13 @@ def rolling_cells(df: DataFrame) -> DataFrame:
     response_time = fn.api_response_time(F.col("log_type"), F.col("response_time_ms"))
     cells = per_second(df, LOG_ORDER, F.count("log_id").alias("_ids"), value=response_time)
     trailing = over_trailing(cells, {
-        "count_5min": Trailing("sum", "_ids", 300),
-        "count_15min": Trailing("sum", "_ids", 900),
-        "count_1hour": Trailing("sum", "_ids", 3600),
-        "_s": Trailing("sum", "_sum", 300), "_c": Trailing("sum", "_n", 300), "_m": Trailing("max", "_max", 300),
+        "count_5min": Trailing("sum", 300, "_ids"),
+        "count_15min": Trailing("sum", 900, "_ids"),
+        "count_1hour": Trailing("sum", 3600, "_ids"),
+        "avg_response_time_5min": Trailing("mean", 300),
+        "max_response_time_5min": Trailing("max", 300, "_max"),
     })
-    return trailing.select(
-        "_key", "_sec", "_rows", "count_5min", "count_15min", "count_1hour",
-        F.coalesce(F.try_divide("_s", "_c"), F.lit(0.0)).alias("avg_response_time_5min"),
-        F.coalesce("_m", F.lit(0.0)).alias("max_response_time_5min"),
-    )
+    return trailing.fillna(0.0, ["avg_response_time_5min", "max_response_time_5min"])
 
 
 def attach_cells(df: DataFrame, cells: DataFrame, order: RowOrder = LOG_ORDER) -> DataFrame:

@@ -5,9 +5,9 @@ of per row. Rows are first combined to one moment row per second - map-side, so
 hot second gathers anywhere. The size of that table depends on the time span, not on the number of rows.
 
 Spark evaluates a sliding frame anew for every row, which costs rows x frame length: hours of work for an
-hour-long frame over dense seconds. The frames therefore slide in numpy, where sums are differences of
-running totals and extremes join two runs. Only the per-second table crosses to Python, in day-long groups
-that hold at most one row per second.
+hour-long frame over dense seconds. The frames therefore slide in numpy, each put together from a few runs
+of doubling length. Only the per-second table crosses to Python, in day-long groups that hold at most one
+row per second.
 """
 
 from __future__ import annotations
@@ -48,15 +48,15 @@ def to_arrow_schema(schema: T.StructType) -> pa.Schema:
 
 @dataclass(frozen=True)
 class Trailing:
-    """One trailing aggregate: ``sum``, ``min`` or ``max`` of a per-second column over ``seconds``.
-
-    The columns ``_d1`` and ``_d2`` stand for the first and second moment about a value near the frame,
-    from which a variance follows without cancellation; ``_n`` is their count.
-    """
+    """One trailing aggregate over ``seconds``: ``sum``, ``min`` or ``max`` of a per-second column, or
+    ``mean`` or sample ``variance`` of the value of ``per_second``."""
 
     stat: str
-    column: str
     seconds: int
+    column: str | None = None
+
+    def inputs(self) -> tuple[str, ...]:
+        return (self.column,) if self.column else ("_n", "_mean", "_m2")
 
 
 def over_trailing(cells: DataFrame, frames: dict[str, Trailing], keep: list[str] | None = None) -> DataFrame:
@@ -68,89 +68,92 @@ def over_trailing(cells: DataFrame, frames: dict[str, Trailing], keep: list[str]
     longest = max(f.seconds for f in frames.values())
     width = max(_DAY, 4 * (longest + 1))
     kept = ["_key", "_sec", "_rows", *(keep or [])]
-    moments = any(f.column in ("_d1", "_d2") for f in frames.values())
-    inputs = {f.column for f in frames.values() if f.column not in ("_d1", "_d2")}
-    if moments:
-        inputs |= {"_n", "_mean", "_m2"}
+    inputs = sorted({c for f in frames.values() for c in f.inputs()})
     types = {f.name: f.dataType for f in cells.schema.fields}
     whole = {name for name, f in frames.items() if types.get(f.column) == T.LongType()}
 
     home = F.floor(F.col("_sec") / width)
     late = F.col("_sec") - home * width >= width - longest
     sliced = cells.select(
-        *dict.fromkeys([*kept, *sorted(inputs)]),
+        *dict.fromkeys([*kept, *inputs]),
         F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("_slice"),
         home.alias("_home"),
     )
     schema = T.StructType([cells.schema[c] for c in kept] + [
         T.StructField(name, T.LongType() if name in whole else T.DoubleType()) for name in frames])
-
     arrow = to_arrow_schema(schema)
 
     def slide(group: pa.Table) -> pa.Table:
         group = group.take(np.argsort(group["_sec"].to_numpy()))
         second = group["_sec"].to_numpy()
         columns = {c: group[c].to_numpy().astype("float64") for c in inputs}  # nulls become NaN
-        if moments:
-            present = columns["_n"] > 0
-            centre = columns["_mean"][present].mean() if present.any() else 0.0
-            gap = np.where(present, columns["_mean"] - centre, 0.0)
-            columns["_d1"] = columns["_n"] * gap
-            columns["_d2"] = np.where(present, columns["_m2"], 0.0) + columns["_n"] * gap * gap
         own = group["_slice"].to_numpy() == group["_home"].to_numpy()
         out = [group[c].filter(own) for c in kept]
+        done: dict = {}
+        for frame in frames.values():
+            key = (frame.inputs(), frame.seconds, "" if frame.column is None else frame.stat)
+            if key not in done:
+                start = np.searchsorted(second, second - frame.seconds)
+                merge = _merge_moments if frame.column is None else _MERGES[frame.stat]
+                done[key] = _slide([columns[c] for c in frame.inputs()], start, merge)
         for name, frame in frames.items():
-            start = np.searchsorted(second, second - frame.seconds)
-            slid = _slide_sum if frame.stat == "sum" else _slide_extreme
-            result = slid(columns[frame.column], start, frame.stat)[own]
+            parts = done[frame.inputs(), frame.seconds, "" if frame.column is None else frame.stat]
+            if frame.stat == "mean":
+                result = np.where(parts[0] > 0, parts[1], np.nan)
+            elif frame.stat == "variance":
+                result = np.where(parts[0] > 1, parts[2] / np.maximum(parts[0] - 1, 1), np.nan)
+            else:
+                result = parts[0]
             if name in whole:
-                out.append(pa.array(np.nan_to_num(result).round().astype("int64")))
+                out.append(pa.array(np.nan_to_num(result[own]).round().astype("int64")))
             else:
-                out.append(pa.array(result, from_pandas=True))
+                out.append(pa.array(result[own], from_pandas=True))
         return pa.Table.from_arrays(out, schema=arrow)
 
     return sliced.groupBy("_key", "_slice").applyInArrow(slide, schema)
 
 
-def _slide_sum(values: np.ndarray, start: np.ndarray, _: str) -> np.ndarray:
-    """Sum of ``values[start[i]] … values[i]``, NaN where all of them are missing."""
-    end = np.arange(1, len(values) + 1)
-    known = np.concatenate([[0], np.cumsum(~np.isnan(values))])
-    # extended precision keeps the differences of running totals as exact as sums of their own
-    total = np.concatenate([[0], np.cumsum(np.nan_to_num(values), dtype=np.longdouble)])
-    return np.where(known[end] > known[start], (total[end] - total[start]).astype("float64"), np.nan)
-
+def _merge_sums(a, b):
+    return [np.where(np.isnan(a[0]), b[0], np.where(np.isnan(b[0]), a[0], a[0] + b[0]))]
 
-def _slide_extreme(values: np.ndarray, start: np.ndarray, stat: str) -> np.ndarray:
-    """Minimum or maximum of ``values[start[i]] … values[i]``: two overlapping runs of a power-of-two length."""
-    pick = np.fmin if stat == "min" else np.fmax
-    index = np.arange(len(values))
-    level = np.log2(index - start + 1).astype(int)
-    result = np.empty(len(values))
-    runs = values  # runs[i]: extreme of the 2^k values up to i
-    for k in range(level.max() + 1):
-        at = index[level == k]
-        result[at] = pick(runs[start[at] + (1 << k) - 1], runs[at])
-        runs = pick(runs, np.concatenate([np.full(min(1 << k, len(runs)), np.nan), runs[:-(1 << k)]]))
-    return result
 
+def _merge_moments(a, b):
+    """Count, mean and sum of squared deviations of two disjoint sets together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    share = b[0] / np.maximum(n, 1)
+    both = (a[0] > 0) & (b[0] > 0)
+    mean = np.where(both, a[1] + gap * share, np.where(a[0] > 0, a[1], b[1]))
+    m2 = np.where(both, a[2] + b[2] + gap * gap * a[0] * share, np.where(a[0] > 0, a[2], b[2]))
+    return [n, mean, m2]
 
-def variance_frames(prefix: str, seconds: int) -> dict[str, Trailing]:
-    """The frames behind ``sample_variance`` and the mean of the value of ``per_second``."""
-    parts = {"n": ("sum", "_n"), "s": ("sum", "_sum"), "d1": ("sum", "_d1"), "d2": ("sum", "_d2"),
-             "low": ("min", "_min"), "high": ("max", "_max")}
-    return {f"{prefix}_{name}": Trailing(stat, column, seconds) for name, (stat, column) in parts.items()}
 
+_MERGES = {
+    "sum": _merge_sums,
+    "min": lambda a, b: [np.fmin(a[0], b[0])],
+    "max": lambda a, b: [np.fmax(a[0], b[0])],
+}
 
-def frame_mean(prefix: str) -> Column:
-    return F.try_divide(f"{prefix}_s", f"{prefix}_n")
 
+def _slide(columns: list[np.ndarray], start: np.ndarray, merge) -> list[np.ndarray]:
+    """Aggregate of the entries ``start[i]`` … ``i`` for each i.
 
-def sample_variance(prefix: str) -> Column:
-    """Sample variance in a frame: null below two values, exactly 0 for equal values."""
-    n, d1, d2 = (F.col(f"{prefix}_{p}") for p in ("n", "d1", "d2"))
-    return (
-        F.when(n < 2, None)
-        .when(F.col(f"{prefix}_low") == F.col(f"{prefix}_high"), 0.0)
-        .otherwise(F.greatest(F.lit(0.0), (d2 - d1 * d1 / n) / (n - 1)))
-    )
+    Every frame is put together from disjoint runs of 1, 2, 4, … entries, so nothing is ever subtracted
+    and small values keep their digits beside large ones.
+    """
+    index = np.arange(len(start))
+    length = index - start + 1
+    nothing = [np.zeros(len(start)) if len(columns) > 1 and i == 0 else np.full(len(start), np.nan)
+               for i in range(len(columns))]
+    result, at, runs, size = nothing, index.copy(), columns, 1
+    while True:
+        hit = (length & size) > 0
+        joined = merge([c[hit] for c in result], [r[at[hit]] for r in runs])
+        for c, j in zip(result, joined):
+            c[hit] = j
+        at[hit] -= size
+        if size * 2 > length.max():
+            return result
+        shifted = [np.concatenate([np.full(size, 0.0 if len(columns) > 1 and i == 0 else np.nan), r[:-size]])
+                   for i, r in enumerate(runs)]
+        runs, size = merge(runs, shifted), size * 2

@@ -102,13 +102,13 @@ def test_trailing_frames_equal_range_windows(spark, small):
     seconds = F.unix_timestamp("timestamp")
     plain = df.select("log_type", seconds.alias("s"), F.count(F.lit(1)).over(
         Window.partitionBy("log_type").orderBy(seconds).rangeBetween(-3600, 0)).alias("n")).distinct()
-    cells = over_trailing(per_second(df, RowOrder()), {"n": Trailing("sum", "_rows", 3600)})
+    cells = over_trailing(per_second(df, RowOrder()), {"n": Trailing("sum", 3600, "_rows")})
     assert sorted(cells.select("_key", "_sec", "n").collect()) == sorted(plain.collect())
 
 
 def test_trailing_frame_borders_are_closed(spark):
     df = rows_at(spark, [("a", 0, "A", 1.0), ("b", 300, "A", 1.0), ("c", 601, "A", 1.0), ("d", 601.5, "A", 1.0)])
-    cells = over_trailing(per_second(df, RowOrder()), {"n": Trailing("sum", "_rows", 300)})
+    cells = over_trailing(per_second(df, RowOrder()), {"n": Trailing("sum", 300, "_rows")})
     base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
     assert {r["_sec"] - base: r["n"] for r in cells.collect()} == {0: 1, 300: 2, 601: 2}
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from logtide import schemas
 from logtide.functions import logs as fn
 from logtide.models import forest, sequence
 from logtide.operators import detectors, enrich, evaluate, features, monitor, reports, results, scoring, summary, text
+from logtide.plans.materialize import materialize
 from logtide.plans.quantiles import exact_quantile
 from logtide.sources import logs as sources
 
@@ -859,28 +861,32 @@ def user_sessions(spark, sf_dir):
     return detectors.sessions(logs(spark, sf_dir))
 
 
-@query(WITH_LOGS + r""", words AS (SELECT log_id, regexp_extract_all(lower(message), '\w\w+') AS w FROM logs), terms AS (
-  SELECT log_id, unnest(w) AS term FROM words
-  UNION ALL SELECT log_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words)
+WITH_TERMS = WITH_LOGS + r""", words AS (SELECT log_id, regexp_extract_all(lower(message), '\w\w+') AS w FROM logs),
+  terms AS (SELECT log_id, unnest(w) AS term FROM words
+  UNION ALL SELECT log_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words), top AS (
   SELECT term, count(*) AS term_count, count(DISTINCT log_id) AS document_count FROM terms GROUP BY term
-  ORDER BY term_count DESC, term LIMIT 100""")
+  ORDER BY term_count DESC, term LIMIT 100)"""
+
+
+@query(WITH_TERMS + " SELECT * FROM top")
 def message_terms(spark, sf_dir):
     return text.term_counts(logs(spark, sf_dir))
 
 
-@query()
+@query(WITH_TERMS + """, total AS (SELECT count(*) AS n FROM logs)
+  SELECT log_id, round(coalesce(sum(ln((n + 1) / (document_count + 1))), 0.0), 6) AS weight
+  FROM logs LEFT JOIN terms USING (log_id) LEFT JOIN top USING (term) CROSS JOIN total GROUP BY log_id""")
 def message_vectors(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-
     vectors = text.text_vectors(logs(spark, sf_dir))
-    return vectors.select("log_id", F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda a, x: a + x).alias("weight"))
+    weights = vector_to_array("tfidf")
+    return vectors.select("log_id", F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("weight"))
 
 
 # --- models -----------------------------------------------------------------------------------------------
 
 @query()
 def forest_scores(spark, sf_dir):
-    table = sources_table(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     scored = forest.score_forest(table, forest.fit_forest(table))
     return scoring.combine_scores(scored).select(
         "log_id", "if_prediction", "if_score", "combined_score", "is_anomaly_predicted")
@@ -888,12 +894,10 @@ def forest_scores(spark, sf_dir):
 
 @query()
 def sequence_errors(spark, sf_dir):
-    table = sources_table(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return sequence.score_sequences(table, sequence.fit_sequences(table))
 
 
-def sources_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table as the models read it: stored once, since fitting and scoring pass over it several times."""
-    from logtide.plans.materialize import materialize
-
     return materialize(features.build_features(logs(spark, sf_dir)))

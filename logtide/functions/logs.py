@@ -74,14 +74,26 @@ def entropy_bits(counts: list[Column], total: Column) -> Column:
 
 
 def array_entropy_bits(values: Column) -> Column:
-    """Shannon entropy in bits of the values of an array; 0 for an empty one."""
-    size = F.size(values)
-
-    def term(v: Column) -> Column:
-        p = F.size(F.filter(values, lambda x: x.eqNullSafe(v))) / size
-        return -p * F.log2(p)
-
-    return F.aggregate(F.transform(F.array_distinct(values), term), F.lit(0.0), lambda a, x: a + x)
+    """Shannon entropy in bits of the values of an array; 0 for an empty one.
+
+    One pass over the sorted array adds ``c * log2(c)`` for every run of c equal values.
+    """
+    n = F.size(values)
+
+    def closed(state: Column) -> Column:
+        return state["done"] + F.when(state["run"] > 0, state["run"] * F.log2(state["run"])).otherwise(0.0)
+
+    def step(state: Column, value: Column) -> Column:
+        same = value.eqNullSafe(state["value"])
+        return F.struct(
+            value.alias("value"),
+            F.when(same, state["run"] + 1).otherwise(1.0).alias("run"),
+            F.when(same, state["done"]).otherwise(closed(state)).alias("done"),
+        )
+
+    start = F.struct(F.get(values, F.lit(-1)).alias("value"), F.lit(0.0).alias("run"), F.lit(0.0).alias("done"))
+    total = F.aggregate(F.sort_array(values), start, step, closed)
+    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.log2(n) - total / n))
 
 
 def severity(score: Column, cuts: tuple[tuple[str, float], ...] = (("critical", 0.95), ("high", 0.8),

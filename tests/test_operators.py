@@ -123,8 +123,8 @@ def test_entropy(spark):
     assert got["log_1"] == (0.0, 0.0)
     assert got["log_2"] == pytest.approx((1.0, 0.5))
     assert got["log_3"] == pytest.approx((1.0, 0.5))
-    arrays = spark.createDataFrame([([],), (["a", "a", "b", "b"],), (["a"],)], "v array<string>")
-    assert [r[0] for r in arrays.select(fn.array_entropy_bits(F.col("v"))).collect()] == [0.0, 1.0, 0.0]
+    arrays = spark.createDataFrame([([],), (["a", "b", "a", "b"],), (["a"],), (["a", None, None, "b"],)], "v array<string>")
+    assert [r[0] for r in arrays.select(fn.array_entropy_bits(F.col("v"))).collect()] == pytest.approx([0.0, 1.0, 0.0, 1.5])
 
 
 def test_row_bursts_never_fire_but_time_bursts_do(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.functions.logs import severity
+from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, with_position
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
 
@@ -21,8 +22,10 @@ def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], param
 def assign_ids(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataFrame:
     """Add ``id``: consecutive numbers after the highest stored one, in the order of (time, tie).
 
-    The numbers come from per-second row counts, so no task ever holds the whole batch.
+    The numbers come from per-second row counts, so no task ever holds the whole batch. The rows are
+    stored first: counting and numbering must see the same times, also where they come from a clock.
     """
+    rows = materialize(rows)
     last = F.coalesce(stored.agg(F.max("id").alias("last")).scalar(), F.lit(0))
     return (
         with_position(rows, RowOrder(None, time, tie))

@@ -109,7 +109,8 @@ def with_position(df: DataFrame, order: RowOrder = RowOrder(), cells: DataFrame
     """Add ``_key``, ``_sec`` and ``_pos``, the dense 0-based position of each row inside its key.
 
     ``cells`` may hold one row per (``_key``, ``_sec``) with the count ``_rows`` and further columns;
-    those further columns are attached to every row by the same join. The rows are shuffled once.
+    those further columns are attached to every row by the same join. The rows are shuffled once. ``df``
+    is read more than once and must give the same keys and times each time.
     """
     rows = with_cell(df, order)
     if cells is None:

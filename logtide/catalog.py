@@ -719,9 +719,9 @@ def orphan_alerts(spark, sf_dir):
 @query(WITH_ALERTS + f""" SELECT a.id, a.timestamp, a.log_type, a.message, round(a.anomaly_score, 6) AS anomaly_score,
   a.model_name, al.severity, al.status FROM anomalies a JOIN alerts al ON a.id = al.anomaly_id
   WHERE al.severity IN ('high', 'critical') AND al.status = 'open'
-    AND a.detected_at > TIMESTAMP '{AS_OF}' - INTERVAL 72 HOURS""")
+    AND a.detected_at > TIMESTAMP '{AS_OF}' - INTERVAL 240 HOURS""")
 def recent_critical_anomalies(spark, sf_dir):
-    return results.recent_critical_anomalies(anomaly_table(spark, sf_dir), alert_table(spark, sf_dir), as_of(), hours=72)
+    return results.recent_critical_anomalies(anomaly_table(spark, sf_dir), alert_table(spark, sf_dir), as_of(), hours=240)
 
 
 @query(WITH_ANOMALIES + f""" SELECT id, log_id, timestamp, log_type, message, round(anomaly_score, 6) AS anomaly_score,

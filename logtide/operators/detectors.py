@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +78,15 @@ def ewma(df: DataFrame, value: str = "response_time_ms", alpha: float = 0.3, ord
     marked = df.withColumn("_series", F.concat_ws("/", order.key_column(), F.col(value).isNotNull().cast("string")))
     placed = with_position(marked, RowOrder("_series", order.time, order.tie)).drop("_sec")
     slices = with_slices(placed.withColumn("ewma", F.col(value).cast("double")), before=reach, slice_rows=slice_rows)
-    schema = slices.schema
 
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_pos")
-        group["ewma"] = group["ewma"].ewm(alpha=alpha, adjust=False).mean()
-        return group[group["_own"]]
+    def smooth(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_pos")
+        smoothed = group["ewma"].to_pandas().ewm(alpha=alpha, adjust=False).mean()
+        at = group.schema.get_field_index("ewma")
+        group = group.set_column(at, group.schema.field(at), pa.array(smoothed, pa.float64(), from_pandas=True))
+        return group.filter(group["_own"])
 
-    return slices.groupBy("_key", "_slice").applyInPandas(smooth, schema).drop(
+    return slices.groupBy("_key", "_slice").applyInArrow(smooth, slices.schema).drop(
         "_key", "_slice", "_own", "_pos", "_series")
 
 

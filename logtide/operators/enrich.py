@@ -82,7 +82,7 @@ def hourly_variability(df: DataFrame) -> DataFrame:
     return attach_cells(df, hourly_cells(df))
 
 
-def _burst_limits(cells: DataFrame, threshold: float, rows: int) -> DataFrame:
+def _burst_limits(cells: DataFrame, rows: int) -> DataFrame:
     """Mean and deviation, per key, of the row-frame counts min(1, rows), min(2, rows), … min(n, rows).
 
     The k-th row of a key sees min(k, rows) rows, so both follow from the number of rows alone.
@@ -100,7 +100,7 @@ def _burst_limits(cells: DataFrame, threshold: float, rows: int) -> DataFrame:
 
 
 def _add_row_bursts(positioned: DataFrame, cells: DataFrame, threshold: float, rows: int) -> DataFrame:
-    limits = _burst_limits(cells, threshold, rows)
+    limits = _burst_limits(cells, rows)
     recent = F.least(F.col("_pos") + 1, F.lit(rows))
     return join_small(positioned.withColumn("recent_count", recent), limits, "_key").withColumn(
         "is_burst", fn.above(F.col("recent_count"), F.col("avg_count") + threshold * F.col("std_count")))

@@ -23,13 +23,13 @@ def message_terms(df: DataFrame, column: str = "message", max_n: int = 2) -> Dat
 
 def term_counts(df: DataFrame, max_features: int = 100) -> DataFrame:
     """The most frequent terms with their total and document counts; ties go by term."""
-    docs = message_terms(df)
-    per_term = docs.select(F.explode(F.expr(
-        "transform(array_distinct(terms), t -> named_struct('term', t, 'n', size(filter(terms, x -> x = t))))"
-    )).alias("t"))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    once = F.transform(
+        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
     return (
-        per_term.groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.n").alias("term_count"), F.count(F.lit(1)).alias("document_count"))
+        message_terms(df).select(F.explode(F.concat(each, once)).alias("t"))
+        .groupBy(F.col("t.term").alias("term"))
+        .agg(F.sum("t.n").alias("term_count"), F.sum("t.d").alias("document_count"))
         .orderBy(F.desc("term_count"), "term").limit(max_features)
     )
 

@@ -53,21 +53,19 @@ def read_logs(spark: SparkSession, path: str, schema: T.StructType | None = None
 def read_latest_run(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
     """Rows of the run with the newest file among all runs that match ``pattern``.
 
-    A run is a folder, or a single file that lies beside others. Only file metadata is aggregated
-    to find the newest one; the rows are then read from that run alone.
+    A run is a folder, or a single file that lies beside others. The choice looks at file listings
+    only; rows are then read from that run alone.
     """
-    scanned = read_logs(spark, pattern, schema)
     newest = (
-        scanned.select(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_modification_time").alias("modified"))
-        .groupBy("file").agg(F.max("modified").alias("modified"))
-        .orderBy(F.desc("modified"), F.desc("file")).limit(1).first()
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        .load(pattern).select("path", "modificationTime")
+        .orderBy(F.desc("modificationTime"), F.desc("path")).limit(1).first()
     )
     if newest is None:
-        return scanned.limit(0)
-    folder, _, name = newest["file"].rpartition("/")
+        raise FileNotFoundError(f"no Parquet file in {pattern}")
+    folder, _, name = newest["path"].rpartition("/")
     if not name.startswith("part-"):
-        return read_logs(spark, newest["file"], schema)
+        return read_logs(spark, newest["path"], schema)
     while "=" in folder.rpartition("/")[2]:  # step out of partition folders
         folder = folder.rpartition("/")[0]
     return read_logs(spark, folder, schema)

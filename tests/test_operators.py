@@ -257,5 +257,5 @@ def test_latest_run_and_globs(spark, tmp_path):
     plain = str(tmp_path / "features_[13]")
     assert sources.read_logs(spark, plain).count() == 5
     assert sources.read_latest_run(spark, plain).count() == 2
-    newest = sources.read_latest_run(spark, str(tmp_path / "features_*/*"))
-    assert newest.count() == 5
+    newest = sources.read_latest_run(spark, str(tmp_path / "features_*"))
+    assert newest.count() == 5 and "log_type" in newest.columns

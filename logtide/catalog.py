@@ -64,9 +64,9 @@ logs = sources.logs_from_events
 
 
 def scored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs with a fixed score; every 50th row has none."""
+    """Logs with a fixed score; rows with a helper value below 2, about two percent, have none."""
     rows = logs(spark, sf_dir).withColumn(
-        "if_score", F.when(F.col("event_id") % 50 != 0, F.least(F.col("value") / 200.0, F.lit(1.0))))
+        "if_score", F.when(F.col("k") >= 2, F.least(F.col("value") / 200.0, F.lit(1.0))))
     return scoring.combine_scores(rows).withColumn("is_anomaly_actual", F.col("is_anomaly"))
 
 
@@ -79,9 +79,8 @@ def anomaly_batch(scored: DataFrame) -> DataFrame:
 
 
 def anomaly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomaly table after a first batch: flagged rows with an even event number."""
-    first = scored_logs(spark, sf_dir).filter("event_id % 2 = 0")
-    return results.upsert_anomalies(empty(spark, schemas.ANOMALIES), anomaly_batch(first))
+    """Anomaly table after one batch of all scored logs."""
+    return results.upsert_anomalies(empty(spark, schemas.ANOMALIES), anomaly_batch(scored_logs(spark, sf_dir)))
 
 
 def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +117,12 @@ WITH_SCORED = WITH_LOGS + """, scored AS (
   SELECT *, coalesce(if_score, 0.0) AS combined_score,
     CAST(CASE WHEN coalesce(if_score, 0.0) > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS is_anomaly_predicted,
     is_anomaly AS is_anomaly_actual
-  FROM (SELECT *, CASE WHEN event_id % 50 <> 0 THEN least(value / 200.0, 1.0) END AS if_score FROM logs))"""
+  FROM (SELECT *, CASE WHEN k >= 2 THEN least(value / 200.0, 1.0) END AS if_score FROM logs))"""
 WITH_ANOMALIES = WITH_SCORED + """, anomalies AS (
   SELECT row_number() OVER (ORDER BY timestamp, log_id) AS id, log_id, timestamp, log_level, log_type, message,
     combined_score AS anomaly_score, 'ensemble' AS model_name, 'v1.0' AS model_version, '{}' AS features,
     timestamp AS detected_at, false AS is_confirmed, CAST(NULL AS VARCHAR) AS feedback, CAST(NULL AS VARCHAR) AS notes
-  FROM scored WHERE is_anomaly_predicted = 1 AND event_id % 2 = 0)"""
+  FROM scored WHERE is_anomaly_predicted = 1)"""
 WITH_NEW_ALERTS = WITH_ANOMALIES + """, new_alerts AS (
   SELECT row_number() OVER (ORDER BY detected_at, id) AS id, id AS anomaly_id,
     CASE WHEN anomaly_score > 0.95 THEN 'critical' WHEN anomaly_score > 0.8 THEN 'high'
@@ -208,10 +207,10 @@ def flatten_payload(spark, sf_dir):
     return sources.flatten_payload(rows, "props", schema)
 
 
-@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN ts END AS timestamp FROM events")
+@query("SELECT event_id, CASE WHEN value >= 5 THEN ts END AS timestamp FROM events")
 def parse_timestamps(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", F.when(F.col("event_id") % 10 == 0, "no time").otherwise(F.col("ts").cast("string")).alias("timestamp"))
+        "event_id", F.when(F.col("value") < 5, "no time").otherwise(F.col("ts").cast("string")).alias("timestamp"))
     return sources.parse_timestamps(rows)
 
 
@@ -427,7 +426,7 @@ def sequences(spark, sf_dir):
   is_anomaly_predicted FROM scored""")
 def combined_scores(spark, sf_dir):
     rows = logs(spark, sf_dir)
-    scores = rows.filter("event_id % 50 <> 0").select(
+    scores = rows.filter("k >= 2").select(
         "log_id", F.least(F.col("value") / 200.0, F.lit(1.0)).alias("if_score"))
     return scoring.combine_scores(scoring.attach_scores(rows, scores)).select(
         "log_id", "if_score", "combined_score", "is_anomaly_predicted")
@@ -639,28 +638,31 @@ def largest_scores(spark, sf_dir):
 
 # --- result tables ----------------------------------------------------------------------------------------
 
-@query(WITH_ANOMALIES + """, batch AS (SELECT * REPLACE (combined_score * 0.9 AS combined_score) FROM scored
-  WHERE is_anomaly_predicted = 1 AND event_id % 3 = 0), merged AS (
+@query(WITH_ANOMALIES + """, stored AS (SELECT * FROM anomalies WHERE timestamp < TIMESTAMP '2024-01-20'),
+  batch AS (SELECT * REPLACE (combined_score * 0.9 AS combined_score) FROM scored
+  WHERE is_anomaly_predicted = 1 AND timestamp >= TIMESTAMP '2024-01-10'), merged AS (
   SELECT a.id, a.log_id, a.timestamp, a.log_level, a.log_type, a.message,
     coalesce(b.combined_score, a.anomaly_score) AS anomaly_score,
     CASE WHEN b.log_id IS NULL THEN a.model_name ELSE 'ensemble' END AS model_name,
     CASE WHEN b.log_id IS NULL THEN a.model_version ELSE 'v1.1' END AS model_version, a.features, a.detected_at,
     a.is_confirmed, a.feedback, a.notes
-  FROM anomalies a LEFT JOIN batch b ON a.log_id = b.log_id
+  FROM stored a LEFT JOIN batch b ON a.log_id = b.log_id
   UNION ALL
-  SELECT (SELECT count(*) FROM anomalies) + row_number() OVER (ORDER BY timestamp, log_id), log_id, timestamp, log_level,
+  SELECT (SELECT count(*) FROM stored) + row_number() OVER (ORDER BY timestamp, log_id), log_id, timestamp, log_level,
     log_type, message, combined_score, 'ensemble', 'v1.1', '{}', timestamp, false, NULL, NULL
-  FROM batch WHERE log_id NOT IN (SELECT log_id FROM anomalies))
+  FROM batch WHERE log_id NOT IN (SELECT log_id FROM stored))
   SELECT * REPLACE (round(anomaly_score, 6) AS anomaly_score) FROM merged""")
 def upsert_anomalies(spark, sf_dir):
-    second = scored_logs(spark, sf_dir).filter("event_id % 3 = 0")
-    batch = anomaly_batch(second).withColumns({
+    """Days 1 to 19, then a second run over day 10 and later with other scores."""
+    found = anomaly_batch(scored_logs(spark, sf_dir))
+    stored = results.upsert_anomalies(empty(spark, schemas.ANOMALIES), found.filter("timestamp < '2024-01-20'"))
+    batch = found.filter("timestamp >= '2024-01-10'").withColumns({
         "anomaly_score": F.col("anomaly_score") * 0.9, "model_version": F.lit("v1.1")})
     copies = batch.withColumn("anomaly_score", F.col("anomaly_score") / 2)  # the greater score of each pair counts
-    return results.upsert_anomalies(anomaly_table(spark, sf_dir), batch.unionByName(copies))
+    return results.upsert_anomalies(stored, batch.unionByName(copies))
 
 
-@query(WITH_SCORED + f""", c AS (SELECT event_id % 2 AS half, {_COUNTS}, count(*) AS n FROM scored GROUP BY 1), m AS (
+@query(WITH_SCORED + f""", c AS (SELECT CAST(timestamp >= TIMESTAMP '2024-01-16' AS INTEGER) AS half, {_COUNTS}, count(*) AS n FROM scored GROUP BY 1), m AS (
   SELECT half, n, 'precision' AS metric_name, tp / (tp + fp) AS v FROM c
   UNION ALL SELECT half, n, 'recall', tp / (tp + fn) FROM c
   UNION ALL SELECT half, n, 'f1_score', 2 * tp / (2 * tp + fp + fn) FROM c)
@@ -669,8 +671,9 @@ def upsert_anomalies(spark, sf_dir):
     n AS dataset_size FROM m""")
 def record_metrics(spark, sf_dir):
     table = empty(spark, schemas.MODEL_PERFORMANCE)
-    for half, date in ((0, "2024-01-30"), (1, "2024-01-31")):
-        rows = scored_logs(spark, sf_dir).filter(f"event_id % 2 = {half}")
+    late = F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    for half, date in ((~late, "2024-01-30"), (late, "2024-01-31")):
+        rows = scored_logs(spark, sf_dir).filter(half)
         table = results.record_metrics(table, evaluate.metric_rows(evaluate.evaluate(rows)), "isolation_forest", "v1.0",
                                        F.to_date(F.lit(date)))
     return table.drop("notes", "created_at")

@@ -1,11 +1,22 @@
-"""Cutting lineage through reliable storage."""
+"""Cutting lineage through reliable storage.
+
+Intermediate tables with several readers are written once as Parquet into a folder that every executor
+shares, and read from there ever after: a lost executor costs a re-read instead of a re-run, and readers
+get column pruning and push-down.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, by application; removed by ``forget`` and at exit.
+_written: dict[str, list[str]] = {}
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session: ``spark.checkpoint.dir`` when the cluster names one.
@@ -23,14 +34,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="logtide-checkpoint-")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there ever after.
+    """Write ``df`` once into the checkpoint folder and read it from there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    application = spark.sparkContext.applicationId
+    if application not in _written:
+        _written[application] = []
+        atexit.register(_at_exit, weakref.ref(spark), application)
+    _written[application].append(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
 
-    Meant for intermediate tables with several readers: they are computed once, and a lost
-    executor costs a re-read instead of a re-run.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def release(stored: DataFrame) -> None:
+    """Remove a table that ``materialize`` gave, once nothing reads it any more."""
+    path, spark = stored._stored_at, stored.sparkSession
+    _remove(spark, path)
+    _written[spark.sparkContext.applicationId].remove(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all tables that this process has stored in the session's application."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
+
+
+def _at_exit(session: weakref.ref, application: str) -> None:
+    spark = session()
+    if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
+        forget(spark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup
+from logtide.llm import exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +33,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op4_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.to_hex("_print").alias("fingerprint"), "component_id")

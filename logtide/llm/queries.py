@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup, mixing, sharding, simhash
+from logtide.llm import exact_dedup, merkle, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,11 @@ def op1_sharding(spark, sf_dir):
 @query()
 def op6_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(merkle.SQL)
+def op8_document_fingerprints(spark, sf_dir):
+    found = merkle.edited_fingerprints(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", exact_dedup.sha256(F.col("edited_text")).alias("edited_sha256"),
+                        F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
+                        F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"))

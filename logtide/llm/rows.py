@@ -8,6 +8,7 @@ comes out.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from logtide.plans.materialize import materialize
 
 #: Sampled rows per part. The driver holds at most about this many times the number of parts.
-SAMPLE_PER_PART = 40
+SAMPLE_PER_PART = 20
 #: Most parts, and thus the most split points a plan carries.
-MOST_PARTS = 2_000
+MOST_PARTS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -51,11 +52,15 @@ def split_points(df: DataFrame, order: Sequence[str], parts: int, seed: int = 7)
 
 
 def part_of(df: DataFrame, order: Sequence[str], cuts: list) -> Column:
-    """Number of cuts that are not above the row: its part, found by halving."""
+    """Number of cuts that are not above the row: its part, found by halving.
+
+    The columns of ``order`` hold integers, booleans or strings.
+    """
     if not cuts:
         return F.lit(0)
     kinds = dict(df.dtypes)
-    points = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)]) for cut in cuts])
+    listed = json.dumps([dict(zip(order, cut)) for cut in cuts])  # one constant; a literal for each would be slow
+    points = F.from_json(F.lit(listed), f"array<struct<{', '.join(f'{c}: {kinds[c]}' for c in order)}>>")
     own = F.struct(*[F.col(c).alias(c) for c in order])
 
     def halve(s, _):

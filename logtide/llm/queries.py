@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup, merkle, mixing, pseudonyms, sharding, simhash
+from logtide.llm import exact_dedup, merkle, mixing, pieces, pseudonyms, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,21 @@ def op7_pii(spark, sf_dir):
     found = pseudonyms.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY)
     return found.withColumns(pseudonyms.count_kinds()).select(
         "doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *[f"n_{k}" for k in pseudonyms.KINDS])
+
+
+def piece_model() -> bytes:
+    """The public 32,000-piece model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+@query()
+def op2_sentencepiece(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    found = pieces.encode_documents(rows, piece_model(), packed=True, decode=True)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        exact_dedup.sha256(F.col("decoded")).alias("decoded_sha256"),
+        F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup, merkle, mixing, pieces, pseudonyms, sharding, simhash
+from logtide.llm import exact_dedup, language, merkle, mixing, pieces, pseudonyms, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op2_sentencepiece(spark, sf_dir):
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         exact_dedup.sha256(F.col("decoded")).alias("decoded_sha256"),
         F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
+
+
+@query()
+def op5_language_id(spark, sf_dir):
+    return language.learn_and_predict(documents(spark, sf_dir))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup, language, merkle, mixing, pieces, pseudonyms, sharding, simhash
+from logtide.llm import exact_dedup, language, merkle, mixing, pieces, pseudonyms, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,14 @@ def op2_sentencepiece(spark, sf_dir):
 @query()
 def op5_language_id(spark, sf_dir):
     return language.learn_and_predict(documents(spark, sf_dir))
+
+
+@query()
+def op3_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", *[secret_scan.number("secrets", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        exact_dedup.sha256(secret_scan.written(base)).alias("base_sha256"),
+        secret_scan.written(F.col("secrets")).alias("spans"))

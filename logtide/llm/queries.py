@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact_dedup, language, merkle, mixing, pieces, pseudonyms, secret_scan, sharding, simhash
+from logtide.llm import (
+    exact_dedup, language, line_quality, merkle, mixing, pieces, pseudonyms, secret_scan, sharding, simhash,
+)
+from logtide.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +107,16 @@ def op3_secret_scan(spark, sf_dir):
         "doc_id", *[secret_scan.number("secrets", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         exact_dedup.sha256(secret_scan.written(base)).alias("base_sha256"),
         secret_scan.written(F.col("secrets")).alias("spans"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query()
+def op9_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    field = line_quality.fit(docs, line_quality.learning_labels(labels(spark, sf_dir)))
+    scored = line_quality.score_documents(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -56,7 +56,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 def drop_exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> DataFrame:
     """The documents that stay, all columns unchanged."""
     kept = _marked(docs, digest, salts, row_hash(docs)).filter("kept").select("doc_id", "_hash", "_copies")
-    return keep_rows(docs, kept)
+    return keep_rows(docs, kept).select("_doc.*")
 
 
 def _marked(docs: DataFrame, digest, salts: int, identity: Column | None = None) -> DataFrame:

@@ -177,4 +177,4 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     keys = mix(docs, weights, most, seed).groupBy("doc_id", "_hash").agg(
         F.count(F.lit(1)).alias("_copies"), F.sum("copies").alias("_times")).filter("_times > 0")
     taken = keep_rows(docs, keys)
-    return taken.withColumn("_times", F.explode(F.expr("sequence(1, int(_times))"))).drop("_times")
+    return taken.select("_doc", F.explode(F.expr("sequence(1, int(_times))"))).select("_doc.*")

@@ -103,21 +103,21 @@ def numbered(df: DataFrame, order: Sequence[str], total: str | None = None) -> t
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (``doc_id``, ``row_hash``) is in ``keys``, one row for each key.
+    """The rows of ``docs`` whose (``doc_id``, ``row_hash``) is in ``keys``, one row for each key, as ``_doc``.
 
-    ``keys`` holds doc_id, _hash, _copies (rows of ``docs`` with that key) and further columns, which
-    are added. Only keys with several identical rows need the texts to be grouped; none is the usual case.
+    ``keys`` holds doc_id, _hash, _copies (rows of ``docs`` with that key) and further columns, which stand beside
+    ``_doc``; select ``_doc.*`` for the rows as they were. Only keys with several identical rows need the texts to
+    be grouped; none is the usual case.
     """
     further = [c for c in keys.columns if c not in ("doc_id", "_hash", "_copies")]
-    out = [F.col(f"`{c}`") for c in docs.columns] + [F.col(c) for c in further]
     right = keys.withColumnRenamed("doc_id", "_key_id").withColumnRenamed("_hash", "_key_hash")
-    left = docs.withColumn("_hash", row_hash(docs))
-    match = F.col("doc_id").eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_hash(docs).alias("_hash"))
+    match = F.col("_doc.doc_id").eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash"))
     joined = left.join(right, match)
     if keys.filter("_copies > 1").isEmpty():
-        return joined.select(*out)
+        return joined.select("_doc", *further)
     again = joined.filter("_copies > 1").dropDuplicates(["_key_id", "_key_hash"])
-    return joined.filter("_copies = 1").unionByName(again).select(*out)
+    return joined.filter("_copies = 1").unionByName(again).select("_doc", *further)
 
 
 def stored_keys(df: DataFrame) -> DataFrame:

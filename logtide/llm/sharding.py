@@ -43,14 +43,13 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     """The documents as one folder per shard (``shard=0``, …), rows in slot order within a file.
 
-    Columns named shard, slot or _hash are replaced. Rows that repeat one another are written as often as they
+    Columns named shard or slot are replaced. Rows that repeat one another are written as often as they
     occur, in the shard of the first of them.
     """
-    docs = docs.drop("shard", "slot", "_hash")
+    docs = docs.drop("shard", "slot")
     keys = assign_shards(docs, shards).groupBy("doc_id", "_hash").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min(F.struct("shard", "slot")).alias("_at"))
-    rows = keep_rows(docs, keys.withColumn("_times", F.col("_copies"))).withColumns(
-        {"shard": F.col("_at.shard"), "slot": F.col("_at.slot")})
-    rows = rows.withColumn("_times", F.explode(F.expr("sequence(1, int(_times))"))).drop("_at", "_times")
+        F.count(F.lit(1)).alias("_copies"), F.count(F.lit(1)).alias("_times"), F.min(F.struct("shard", "slot")).alias("_at"))
+    rows = keep_rows(docs, keys).withColumn("_times", F.explode(F.expr("sequence(1, int(_times))")))
+    rows = rows.select("_doc.*", "_at.*")
     rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard").parquet(path)

@@ -232,11 +232,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) ->
 
     Of several rows with that doc_id in the component, the one with the smallest row hash stays.
     """
-    marked = _marked(docs.withColumn("_hash", row_hash(docs)), shingle, radius, BUCKET, ("doc_id", "_hash"))
+    marked = _marked(docs.select("doc_id", "text", row_hash(docs).alias("_hash")), shingle, radius, BUCKET,
+                     ("doc_id", "_hash"))
     named = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = named.groupBy("_root", "doc_id", "_hash").agg(F.count(F.lit(1)).alias("_copies"))
     first = rows.groupBy("_root").agg(F.min(F.struct("_hash", "doc_id", "_copies")).alias("first"))
-    return keep_rows(docs, first.select("first.doc_id", "first._hash", "first._copies"))
+    return keep_rows(docs, first.select("first.doc_id", "first._hash", "first._copies")).select(
+        "_doc.*")
 
 
 def to_hex(signed: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide import schemas
+from logtide import inputs, schemas
 from logtide.functions import logs as fn
 from logtide.models import forest, sequence
 from logtide.operators import detectors, enrich, evaluate, features, monitor, reports, results, scoring, summary, text
@@ -60,7 +60,7 @@ def all_sql() -> dict[str, str]:
 
 # --- inputs -----------------------------------------------------------------------------------------------
 
-logs = sources.logs_from_events
+logs = inputs.logs_from_events
 
 
 def scored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,24 @@ def performance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).withColumn("id", F.lit(0).cast("long"))
 
 
-_LOGS = (
-    sources._LOG_COLUMNS.replace(
-        "{typed}", "(" + sources._EVENT_LOGS.replace("get_json_object", "json_extract_string").replace(
-            "{events}", "events") + ")")
-)
-WITH_LOGS = f"WITH logs AS ({_LOGS})"
+#: The log table in SQL, written apart from ``inputs``.
+LOGS_SQL = """SELECT 'log_' || event_id AS log_id, ts AS timestamp, t AS log_type, k,
+  CASE WHEN t = 'API_REQUEST' THEN code END AS status_code, CASE WHEN t = 'API_REQUEST' THEN value END AS response_time_ms,
+  CASE WHEN t = 'DATABASE_QUERY' THEN value END AS execution_time_ms,
+  CASE WHEN t = 'ERROR' THEN 'ERROR' WHEN t = 'SYSTEM_EVENT' AND k >= 95 THEN 'CRITICAL'
+    WHEN t = 'API_REQUEST' AND code > 400 THEN 'WARN' WHEN t = 'DATABASE_QUERY' AND k < 50 THEN 'DEBUG'
+    ELSE 'INFO' END AS log_level,
+  CASE WHEN t IN ('USER_ACTION', 'API_REQUEST') THEN 'user_' || user_id END AS user_id,
+  CASE t WHEN 'ERROR' THEN 'worker stopped without answer' WHEN 'SYSTEM_EVENT' THEN 'heartbeat of node fine'
+    WHEN 'USER_ACTION' THEN format('visitor opened page {}', k)
+    WHEN 'DATABASE_QUERY' THEN format('SELECT over shelf {} gave rows', k)
+    ELSE format('GET /shelf answered {} after {}ms', code, k) END AS message,
+  (t = 'ERROR' AND k > 89) OR value >= 150 AS is_anomaly, event_id, value
+FROM (SELECT *, [200, 200, 200, 200, 200, 200, 206, 301, 429, 503][k % 10 + 1]::INTEGER AS code FROM (
+  SELECT *, (props::JSON ->> 'k')::INTEGER AS k, CASE event_type WHEN 'signup' THEN 'SYSTEM_EVENT'
+    WHEN 'purchase' THEN 'DATABASE_QUERY' WHEN 'view' THEN 'API_REQUEST' WHEN 'click' THEN 'USER_ACTION' ELSE 'ERROR'
+    END AS t FROM events))"""
+WITH_LOGS = f"WITH logs AS ({LOGS_SQL})"
 WITH_SCORED = WITH_LOGS + """, scored AS (
   SELECT *, coalesce(if_score, 0.0) AS combined_score,
     CAST(CASE WHEN coalesce(if_score, 0.0) > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS is_anomaly_predicted,
@@ -449,7 +461,7 @@ def anomaly_rows(spark, sf_dir):
   SELECT log_id, CAST(CASE WHEN -combined_score - c < 0 THEN 1 ELSE 0 END AS INTEGER) AS if_prediction
   FROM scored, cut""")
 def contamination_flags(spark, sf_dir):
-    scored = scored_logs(spark, sf_dir).withColumn("raw", -F.col("combined_score"))
+    scored = materialize(scored_logs(spark, sf_dir).select("log_id", (-F.col("combined_score")).alias("raw")))
     cut = exact_quantile(scored, "raw", 0.05, name="cut").first()["cut"]
     return scored.select("log_id", scoring.prediction_from_decision(F.col("raw") - cut).alias("if_prediction"))
 
@@ -457,7 +469,7 @@ def contamination_flags(spark, sf_dir):
 @query(WITH_SCORED + """ SELECT log_type, round(quantile_cont(value, 0.95), 6) AS p95,
   round(quantile_disc(value, 0.95), 6) AS p95_discrete FROM scored GROUP BY log_type""")
 def exact_percentiles(spark, sf_dir):
-    rows = logs(spark, sf_dir)
+    rows = materialize(logs(spark, sf_dir).select("log_type", "value"))
     return exact_quantile(rows, "value", 0.95, ["log_type"], "p95").join(
         exact_quantile(rows, "value", 0.95, ["log_type"], "p95_discrete", discrete=True), "log_type")
 
@@ -844,12 +856,11 @@ def rolling_grid(spark, sf_dir):
     return detectors.rolling_grid(logs(spark, sf_dir), "value").select("log_id", *grid)
 
 
-@query(WITH_LOGS + """, s AS (SELECT log_id, log_type, response_time_ms AS x,
+@query(WITH_LOGS.replace("WITH", "WITH RECURSIVE", 1) + """, s AS MATERIALIZED (SELECT log_id, log_type, response_time_ms AS x,
     row_number() OVER (PARTITION BY log_type ORDER BY timestamp, log_id) AS i
-  FROM logs WHERE response_time_ms IS NOT NULL)
-  SELECT a.log_id, round(sum(CASE WHEN b.i = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, a.i - b.i) * b.x), 6) AS ewma
-  FROM s a JOIN s b ON a.log_type = b.log_type AND b.i <= a.i AND b.i >= a.i - 200 GROUP BY a.log_id
-  UNION ALL SELECT log_id, NULL FROM logs WHERE response_time_ms IS NULL""")
+  FROM logs WHERE response_time_ms IS NOT NULL), r AS (SELECT log_id, log_type, i, x AS y FROM s WHERE i = 1
+  UNION ALL SELECT s.log_id, s.log_type, s.i, 0.3 * s.x + 0.7 * r.y FROM r JOIN s ON s.log_type = r.log_type AND s.i = r.i + 1)
+  SELECT log_id, round(y, 6) AS ewma FROM r UNION ALL SELECT log_id, NULL FROM logs WHERE response_time_ms IS NULL""")
 def response_time_ewma(spark, sf_dir):
     return detectors.ewma(logs(spark, sf_dir)).select("log_id", "ewma")
 

@@ -43,23 +43,25 @@ def mean_path(n: float) -> float:
 
 
 def _unit_hash(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(2 ** 31)) / float(2 ** 31)
+    """Number in [0, 1) from all 53 bits that a double holds: shares may be near 1e-9."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(2 ** 53)
 
 
 def draw_samples(df: DataFrame, rows: int, trees: int, samples: int, seed: int, key: str = "log_id") -> DataFrame:
     """(tree, row) pairs, at most ``samples`` per tree, from one pass over ``df``.
 
-    First a pool of about 200 * ``samples`` rows is drawn, then each tree draws from the pool; the
-    volume behind the pool does not depend on ``rows``.
+    Every (tree, row) pair is drawn on its own, by a hash of both, inside the row: what leaves the pass is
+    about 1.5 * ``trees`` * ``samples`` rows whatever the table holds, and any row may get into any tree.
     """
-    pool_share = min(1.0, 200.0 * samples / max(rows, 1))
-    tree_share = min(1.0, 1.5 * samples / max(rows * pool_share, 1.0)) if rows > samples else 1.0
-    pool = df.filter(_unit_hash(F.col(key), F.lit(seed), F.lit("pool")) < pool_share)
-    draw = _unit_hash(F.col(key), F.col("tree"), F.lit(seed))
+    share = min(1.0, (1.5 * samples + 50) / rows) if rows > samples else 1.0
+
+    def draw(tree):
+        return _unit_hash(F.col(key), tree, F.lit(seed))
+
     order = Window.partitionBy("tree").orderBy("draw", key)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
     return (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", draw).filter(F.col("draw") < tree_share)
+        df.withColumn("tree", F.explode(drawn)).withColumn("draw", draw(F.col("tree")))
         .withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= samples)
     )
 
@@ -144,14 +146,20 @@ def fit_forest(df: DataFrame, features: list[str] | None = None, trees: int = 10
 def score_forest(df: DataFrame, model: ForestModel, relative_to_training: bool = False) -> DataFrame:
     """Add ``if_decision``, ``if_prediction`` and ``if_score`` (1 = most anomalous).
 
-    By default the score is relative to the rows at hand, which are written once with their decision
-    value. ``relative_to_training`` uses the range seen in training: comparable between runs, one pass.
+    By default the score is relative to the rows at hand: a first pass over the model's columns finds the
+    range. ``relative_to_training`` uses the range seen in training: comparable between runs, one pass.
     """
     decision = -forest_score(model.nodes, F.col("_features")) - F.lit(model.offset)
-    decided = df.withColumn("_features", model.scaler.vector()).withColumn("if_decision", decision).drop("_features")
-    bounds = (model.low, model.high) if relative_to_training else None
-    if bounds is None:
-        decided = materialize(decided)
+
+    def decide(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_features", model.scaler.vector()).withColumn("if_decision", decision).drop("_features")
+
+    decided, bounds = decide(df), (model.low, model.high)
+    if not relative_to_training:
+        # two numbers: a second walk over the model's columns costs less than storing the whole wide table
+        span = decide(df.select(*model.scaler.features)).agg(
+            F.min("if_decision").alias("low"), F.max("if_decision").alias("high")).first()
+        bounds = (span["low"], span["high"]) if span["low"] is not None else (0.0, 0.0)
     return min_max(
         decided.withColumn("if_prediction", prediction_from_decision(F.col("if_decision"))),
         "if_decision", "if_score", invert=True, bounds=bounds,

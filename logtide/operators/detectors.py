@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from logtide.functions import logs as fn
 from logtide.operators.features import LOG_ORDER, attach_cells
 from logtide.plans.bounded import join_small
-from logtide.plans.ordering import SLICE_ROWS, RowOrder, with_position, with_slices
+from logtide.plans.materialize import materialize
+from logtide.plans.ordering import SLICE_ROWS, RowOrder, with_position
 from logtide.plans.quantiles import exact_quantile
 from logtide.plans.trailing import Trailing, over_trailing, per_second
 
@@ -33,8 +33,9 @@ def seasonal_anomalies(df: DataFrame, value: str, season: Column, threshold: flo
 def statistical_detector(df: DataFrame, value: str = "response_time_ms", by: str = "log_type",
                          z_cut: float = 3.0, percentile: float = 99.0) -> DataFrame:
     """Two votes per row, |z| over ``z_cut`` and value over its type's exact percentile, and their union."""
-    stats = df.groupBy(by).agg(F.avg(value).alias("value_mean"), F.stddev_samp(value).alias("value_std"))
-    limits = exact_quantile(df.filter(F.col(by).isNotNull()), value, percentile / 100.0, [by], "value_limit")
+    values = materialize(df.select(by, value))
+    stats = values.groupBy(by).agg(F.avg(value).alias("value_mean"), F.stddev_samp(value).alias("value_std"))
+    limits = exact_quantile(values.filter(F.col(by).isNotNull()), value, percentile / 100.0, [by], "value_limit")
     z = fn.zscore(F.col(value), F.col("value_mean"), F.col("value_std"))
     scored = join_small(df, stats.join(limits, by, "left"), by).withColumns({
         "value_zscore": z,
@@ -69,43 +70,72 @@ def ewma(df: DataFrame, value: str = "response_time_ms", alpha: float = 0.3, ord
          slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exponentially weighted moving average per log type: y = alpha * x + (1 - alpha) * y_previous.
 
-    Rows without a value are left out of the series and get null. The weight of a row fades below double
-    precision after a fixed number of rows, so each slice starts with copies of that many rows and gives
-    the same numbers as one pass over the whole series.
+    Rows without a value are left out of the series and get null. A slice of n rows turns the average before it
+    into a share (1 - alpha)^n of the average behind it plus a sum of its own; these two numbers are chained over
+    the slices of a key, and each slice then starts from the average that was carried to it. Nothing is forgotten,
+    so ``slice_rows`` is a setting of the plan. Only key, position and value pass through Python.
     """
-    reach = max(1, math.ceil(math.log(1e-18) / math.log(1.0 - alpha))) if alpha < 1 else 1
     # a series of its own for the rows with a value, named apart from the rest
-    marked = df.withColumn("_series", F.concat_ws("/", order.key_column(), F.col(value).isNotNull().cast("string")))
-    placed = with_position(marked, RowOrder("_series", order.time, order.tie)).drop("_sec")
-    slices = with_slices(placed.withColumn("ewma", F.col(value).cast("double")), before=reach, slice_rows=slice_rows)
+    series = F.concat_ws("/", order.key_column(), F.col(value).isNotNull().cast("string"))
+    named = RowOrder("_series", order.time, order.tie)
+    placed = with_position(df.withColumn("_series", series), named).drop("_sec", "_series")
+    narrow = df.filter(F.col(value).isNotNull()).select(
+        series.alias("_series"), order.time, order.tie, F.col(value).cast("double").alias("_x"))
+    size = max(1, slice_rows)
+    rows = materialize(with_position(narrow, named).select(
+        "_key", "_pos", "_x", F.floor(F.col("_pos") / size).alias("_slice")))
+    left = 1.0 - alpha
+    to_end = (F.col("_slice") + 1) * size - 1 - F.col("_pos")  # only whole slices are carried on from
+    ends = rows.groupBy("_key", "_slice").agg(
+        F.sum(alpha * F.pow(F.lit(left), to_end) * F.col("_x")).alias("_sum"),
+        F.min_by("_x", "_pos").alias("_first"))
+
+    def chain(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_slice")
+        carried, at = [], group["_first"][0].as_py()
+        for own in group["_sum"].to_pylist():
+            carried.append(at)
+            at = own + left ** size * at
+        return pa.table({"_key": group["_key"], "_slice": group["_slice"], "_carried": pa.array(carried, pa.float64())})
+
+    carried = ends.groupBy("_key").applyInArrow(chain, "_key string, _slice long, _carried double")
 
     def smooth(group: pa.Table) -> pa.Table:
         group = group.sort_by("_pos")
-        smoothed = group["ewma"].to_pandas().ewm(alpha=alpha, adjust=False).mean()
-        at = group.schema.get_field_index("ewma")
-        group = group.set_column(at, group.schema.field(at), pa.array(smoothed, pa.float64(), from_pandas=True))
-        return group.filter(group["_own"])
+        series = pd.Series([group["_carried"][0].as_py(), *group["_x"].to_pylist()])
+        smoothed = series.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+        return pa.table({"_key": group["_key"], "_pos": group["_pos"], "ewma": pa.array(smoothed)})
 
-    return slices.groupBy("_key", "_slice").applyInArrow(smooth, slices.schema).drop(
-        "_key", "_slice", "_own", "_pos", "_series")
+    averages = join_small(rows, carried, ["_key", "_slice"]).groupBy("_key", "_slice").applyInArrow(
+        smooth, "_key string, _pos long, ewma double")
+    return placed.drop("ewma").join(averages, ["_key", "_pos"], "left").drop("_key", "_pos")
 
 
 def sessions(df: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """User sessions, split at pauses longer than the gap, with the anomalies in each.
 
-    Rows are first combined per (user, second), which bounds what one busy user brings to a task.
+    Rows are first combined per (user, second). Pauses are found within (user, day); each day also gets the last
+    moment before it and the number of sessions begun before it from the users' day table, so one busy user is
+    spread over as many groups as days.
     """
-    seconds = (
+    seconds = materialize(
         df.filter(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
         .groupBy("user_id", F.unix_timestamp("timestamp").alias("_sec"))
         .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"),
              F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("is_anomaly")).alias("_anomalies"))
+        .withColumn("_day", F.floor(F.col("_sec") / 86_400))
     )
-    order = Window.partitionBy("user_id").orderBy("_sec")
-    pause = F.col("_first") - F.lag("_last").over(order) > F.make_dt_interval(secs=F.lit(gap_seconds))
+    days = Window.partitionBy("user_id").orderBy("_day")
+    inside = Window.partitionBy("user_id", "_day").orderBy("_sec")
+    before = seconds.groupBy("user_id", "_day").agg(F.max("_last").alias("_end")).select(
+        "user_id", "_day", F.lag("_end").over(days).alias("_before"))
+    pause = F.col("_first") - F.coalesce(F.lag("_last").over(inside), "_before") > F.make_dt_interval(secs=F.lit(gap_seconds))
+    split = seconds.join(before, ["user_id", "_day"]).withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int"))
+    begun = split.groupBy("user_id", "_day").agg(F.sum("_new").alias("_begun")).select("user_id", "_day", F.coalesce(
+        F.sum("_begun").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        seconds.withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int"))
-        .withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        split.join(begun, ["user_id", "_day"]).withColumn("_session", F.col("_earlier") + running)
         .groupBy("user_id", "_session")
         .agg(F.min("_first").alias("session_start"), F.max("_last").alias("session_end"),
              F.sum("_rows").alias("log_count"), F.sum("_anomalies").alias("anomaly_count"))

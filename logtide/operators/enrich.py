@@ -122,19 +122,19 @@ def time_bursts(df: DataFrame, seconds: int = 300, threshold: float = 2.0,
     weight, count = F.col("_rows"), F.col("recent_count")
     means = cells.groupBy("_key").agg((F.sum(weight * count) / F.sum(weight)).alias("avg_count"))
     gap = count - F.col("avg_count")
-    spread = cells.join(means, "_key").groupBy("_key").agg(
+    spread = join_small(cells, means, "_key").groupBy("_key").agg(
         F.first("avg_count").alias("avg_count"),
         F.when(F.sum(weight) > 1, F.sqrt(F.sum(weight * gap * gap) / (F.sum(weight) - 1))).alias("std_count"),
     )
-    cells = cells.join(spread, "_key").withColumn(
+    cells = join_small(cells, spread, "_key").withColumn(
         "is_burst", fn.above(count, F.col("avg_count") + threshold * F.col("std_count")))
     return attach_cells(df, cells, order)
 
 
 def group_spread(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Mean and sample deviation of a column over the whole group, on every row."""
+    """Mean and sample deviation of a column over the whole group, on every row; null is a group."""
     stats = df.groupBy(by).agg(F.avg(column).alias(f"{column}_mean"), F.stddev_samp(column).alias(f"{column}_std"))
-    return join_small(df, stats, by)
+    return join_small(df, stats, by, null_safe=True)
 
 
 def build_enriched(logs: DataFrame, threshold: float = 2.0, slice_rows: int | None = None) -> DataFrame:

@@ -9,14 +9,12 @@ from logtide.functions import logs as fn
 from logtide.plans.bounded import fetch_bounded, join_small
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, slice_window, with_cell, with_position, with_slices
+from logtide.plans.quantiles import exact_quantile
 from logtide.plans.trailing import Trailing, over_trailing, per_second
 from logtide.schemas import FEATURE_TABLE, FEATURE_TABLE_EXTRA
 
 LOG_ORDER = RowOrder("log_type", "timestamp", "log_id")
 
-#: Ranks of the quantile sketch: exact below this many rows per type, of fixed size above.
-QUANTILE_ACCURACY = 100_000
-
 #: Lagged columns: prefix of the output name -> input column.
 LAGGED = {"response_time_lag": "response_time_ms", "count_lag": "count_5min"}
 
@@ -55,18 +53,20 @@ def rolling_statistics(df: DataFrame) -> DataFrame:
     return attach_cells(df, rolling_cells(df))
 
 
-def type_statistics(df: DataFrame, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """One row per log type: frequency index, mean, sample deviation and p95 of the response time.
+def type_statistics(df: DataFrame) -> DataFrame:
+    """One row per log type: frequency index, mean, sample deviation and exact p95 of the response time.
 
     The index counts from the most frequent type; ties go by name. Up to ``BROADCAST_ROWS`` types are
     ranked in one place; a longer list takes its ranks from the distributed row order.
     """
-    stats = df.groupBy("log_type").agg(
+    values = materialize(df.select("log_type", "response_time_ms"))
+    stats = values.groupBy("log_type").agg(
         F.count(F.lit(1)).alias("type_rows"),
         F.avg("response_time_ms").alias("mean_response_time"),
         F.stddev_samp("response_time_ms").alias("std_response_time"),
-        F.percentile_approx("response_time_ms", 0.95, accuracy).alias("p95_response_time"),
     )
+    p95 = exact_quantile(values, "response_time_ms", 0.95, ["log_type"], "p95_response_time", discrete=True)
+    stats = join_small(stats, p95, "log_type", null_safe=True)
     head = fetch_bounded(stats)
     if head is not None:
         stats = df.sparkSession.createDataFrame(head, schema=stats.schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.operators.features import QUANTILE_ACCURACY
+from logtide.plans.materialize import materialize
+from logtide.plans.quantiles import exact_quantile
 
 
 def quality_checks(logs: DataFrame) -> DataFrame:
@@ -47,21 +48,28 @@ def quality_warnings(performance: DataFrame, as_of: Column, days: int = 7, metri
         (F.col("metric_name") == metric) & (F.col("metric_value") < floor))
 
 
-def feature_statistics(df: DataFrame, features: list[str], accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """Mean, deviation, minimum, maximum and 95th percentile per feature, from one aggregation."""
+def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
+    """Mean, deviation, minimum, maximum and exact 95th percentile per feature; the percentiles of all features
+    are searched in the same passes."""
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
+    pairs = ", ".join(f"'{c}', `{c}`" for c in features)
+    long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (feature_name, value)")
+    p95 = exact_quantile(long, "value", 0.95, ["feature_name"], "stat_value", discrete=True)
     aggs, parts = [], []
     for c in features:
         value = F.col(c).cast("double")
         for stat, column in {
             "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value),
-            "percentile_95": F.percentile_approx(value, 0.95, accuracy),
         }.items():
             aggs.append(column.alias(f"{c}|{stat}"))
             parts.append(f"'{c}', '{stat}', `{c}|{stat}`")
     wide = df.agg(F.count(F.lit(1)).alias("sample_size"), *aggs)
-    return wide.selectExpr(
-        "sample_size", f"stack({len(parts)}, {', '.join(parts)}) AS (feature_name, stat_type, stat_value)"
-    ).select("feature_name", "stat_type", "stat_value", "sample_size")
+    simple = wide.selectExpr(
+        "sample_size", f"stack({len(parts)}, {', '.join(parts)}) AS (feature_name, stat_type, stat_value)")
+    names = simple.filter("stat_type = 'mean'").select("feature_name", "sample_size")  # also features without values
+    ranked = names.join(p95, "feature_name", "left").withColumn("stat_type", F.lit("percentile_95"))
+    columns = ["feature_name", "stat_type", "stat_value", "sample_size"]
+    return simple.select(*columns).unionByName(ranked.select(*columns))
 
 
 def drift(previous: DataFrame, current: DataFrame, max_shift: float = 0.5) -> DataFrame:

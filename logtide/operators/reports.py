@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.plans.bounded import join_small
-from logtide.plans.quantiles import exact_quantile
+from logtide.plans.materialize import materialize
+from logtide.plans.quantiles import exact_quantiles
 
 
 def overview(logs: DataFrame) -> DataFrame:
@@ -67,11 +68,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: str | None = None)
 
 def box_statistics(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, whiskers (farthest values within 1.5 IQR of the box) and outliers per class."""
-    rows = df.filter(F.col(column).isNotNull() & F.col(by).isNotNull()).select(by, column)
-    box = None
-    for name, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items():
-        part = exact_quantile(rows, column, p, [by], name)
-        box = part if box is None else box.join(part, by)
+    rows = materialize(df.filter(F.col(column).isNotNull() & F.col(by).isNotNull()).select(by, column))
+    box = exact_quantiles(rows, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
     return join_small(rows, box, by).groupBy(by).agg(

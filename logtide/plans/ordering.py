@@ -11,8 +11,9 @@ size:
   ordinary row-based windows run per slice.
 
 A second with more than ``hot_cell`` rows is cut further: by exact timestamp, and inside one timestamp
-by a hash of the tie-breaker. Rows with equal timestamps are ordered by the tie-breaker, in such a hot
-second by (hash part, tie-breaker): their order is free, but it must be the same in every run.
+at split points of the tie-breaker, taken from a sample. A row's part is the number of split points not
+above its tie-breaker, so ordering by (part, tie-breaker) is ordering by the tie-breaker wherever the split
+points lie: the order is (key, time, tie-breaker) at every size, and ``hot_cell`` is a setting of the plan.
 """
 
 from __future__ import annotations
@@ -81,9 +82,37 @@ def _second_starts(seconds: DataFrame) -> DataFrame:
     )
 
 
+#: Sampled rows per part of a hot timestamp.
+_SAMPLE = 20
+
+
+def _tie_splits(rows: DataFrame, dense: DataFrame, order: RowOrder, limit: int) -> DataFrame:
+    """``_splits`` of each hot timestamp: values of the tie-breaker that cut it into parts of about ``limit``
+    rows, from about ``_SAMPLE`` rows per part."""
+    instant = ["_key", "_sec", "_micros"]
+    unit = F.shiftrightunsigned(F.xxhash64(order.tie), 11) / float(2 ** 53)
+    drawn = join_small(rows.select(*instant, order.tie), dense.select(*instant, "_rows"), instant, "inner").filter(
+        unit < _SAMPLE / F.lit(float(limit))).filter(F.col(order.tie).isNotNull())
+    place = Window.partitionBy(*instant).orderBy(order.tie)
+    every = drawn.withColumn("_at", F.row_number().over(place)).filter(F.col("_at") % _SAMPLE == 0)
+    return every.groupBy(*instant).agg(F.array_sort(F.collect_set(order.tie)).alias("_splits"))
+
+
+def _splits_not_above(splits: Column, value: Column) -> Column:
+    """Number of elements of a sorted array that are not above ``value``, by halving; 0 for a null value."""
+    def halve(s, _):
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(splits, mid) <= value, F.lit(False))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(splits) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi")), halve, lambda s: s["lo"])
+
+
 def _split_hot_seconds(rows: DataFrame, cells: DataFrame, order: RowOrder, limit: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cut seconds of more than ``limit`` rows by exact timestamp, and timestamps of more than ``limit``
-    rows by hash. Returns the rows, the start of each part inside its second, and the cell columns.
+    rows at split points. Returns the rows, the start of each part inside its second, and the cell columns.
 
     A second has at most a million timestamps, and a hot timestamp gets parts in proportion to its rows,
     so the parts of one second stay few however many rows it holds.
@@ -93,10 +122,14 @@ def _split_hot_seconds(rows: DataFrame, cells: DataFrame, order: RowOrder, limit
     rows = join_small(rows, hot, second).withColumn(
         "_micros", F.when(F.col("_hot"), order.micros_column()).otherwise(0)).drop("_hot")
     instants = materialize(rows.groupBy(*instant).agg(F.count(F.lit(1)).alias("_rows")))
-    parts = F.ceil(F.col("_rows") / limit).alias("_parts")
-    hash_share = (F.shiftright(F.xxhash64(order.tie), 32) + F.lit(2 ** 31)) / F.lit(2 ** 32)
-    rows = join_small(rows, instants.filter(F.col("_rows") > limit).select(*instant, parts), instant).withColumn(
-        "_part", F.coalesce(F.floor(hash_share * F.col("_parts")), F.lit(0))).drop("_parts")
+    dense = instants.filter(F.col("_rows") > limit)
+    if dense.isEmpty():
+        rows = rows.withColumn("_part", F.lit(0).cast("long"))
+    else:
+        splits = materialize(_tie_splits(rows, dense, order, limit))
+        rows = join_small(rows, splits, instant).withColumn(
+            "_part", F.coalesce(_splits_not_above(F.col("_splits"), F.col(order.tie)), F.lit(0)).cast("long"))
+        rows = rows.drop("_splits")
     cell = [*instant, "_part"]
     inside = Window.partitionBy(*second).orderBy("_micros", "_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")).select(

@@ -1,96 +1,143 @@
 """Exact quantiles without gathering a group.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here the rank wanted is boxed in instead: each pass counts the values per bin of the current bracket
-(map-side combined, a bounded number of bins per group), and the bin holding the rank becomes the next
-bracket. Once a bracket holds few rows, only those are sorted.
+The built-in exact ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
+fixed-size sketch only proposes two values around the wanted rank; one pass then counts, map-side combined, the
+rows below, at, between and above them, which tells exactly where the rank lies: at one of the two, or in an open
+interval between actual values. An interval with few rows is sorted, a larger one gets a sketch of its own. The
+ends of an interval never belong to it, so every pass shrinks it whatever the values are, and a poor proposal
+costs a pass but never a wrong result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.plans.bounded import join_small
 from logtide.plans.materialize import materialize
 
-#: Bins per pass and group.
-BINS = 2_048
-#: Rows of a bracket that are sorted directly.
+#: Size of the proposing sketch; the first interval holds about 4 / ACCURACY of the rows.
+ACCURACY = 10_000
+#: Cells of the sketch inside an interval.
+CELLS = 100
+#: Rows of an interval that are sorted directly.
 DIRECT_ROWS = 20_000
 
+_ID = ["_g", "_i", "_k"]
+
 
 def exact_quantile(df: DataFrame, value: str, probability: float, by: list[str] | None = None,
                    name: str = "quantile", discrete: bool = False, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """Exact quantile of ``value`` per group, nulls ignored: columns ``by`` + ``name``.
+    """Exact quantile of ``value`` per group: columns ``by`` + ``name``; see ``exact_quantiles``."""
+    return exact_quantiles(df, value, {name: probability}, by, discrete, direct_rows)
+
+
+def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float], by: list[str] | None = None,
+                    discrete: bool = False, direct_rows: int = DIRECT_ROWS, accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles of ``value`` per group, all probabilities in the same passes: ``by`` and a column for each.
 
-    The default interpolates linearly between neighbours; ``discrete`` returns the smallest value whose
-    cumulative share reaches ``probability``. ``df`` is read several times, so hand in a stored table
-    when the value is costly to compute. Values must not be NaN.
+    Nulls are left out; infinities are values, NaN is above them all. The default interpolates linearly between
+    neighbours; ``discrete`` gives the smallest value whose cumulative share reaches the probability. ``df`` is
+    read three times or more, so hand in a stored table when the value is costly to compute. ``direct_rows`` and
+    ``accuracy`` are plan settings and change no result.
     """
     by = by or []
-    keys = [f"_g{i}" for i in range(len(by))]
+    keys = [f"_key{i}" for i in range(len(by))]
     group = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by], F.lit(""))
     rows = df.select(
-        group.alias("_g"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v")
-    ).filter(F.col("_v").isNotNull())
+        group.alias("_g"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_x")
+    ).filter(F.col("_x").isNotNull()).withColumn("_v", F.when(F.isnan("_x"), float("inf")).otherwise(F.col("_x")))
+    margin = 2.0 / accuracy
+    around = [q for p in wanted.values() for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    groups = materialize(rows.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.isnan("_x")).alias("_nan"),
+        F.percentile_approx("_v", F.array(*map(F.lit, around)), accuracy).alias("_cuts"),
+        *[F.first(k).alias(k) for k in keys]))
+    rows = rows.select("_g", "_v")
 
-    groups = rows.groupBy("_g").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_in"),
-        *[F.first(k).alias(k) for k in keys],
-    )
     if discrete:
-        rank = F.greatest(F.ceil(F.round(F.lit(probability) * F.col("_in"), 9)) - 1, F.lit(0)).cast("double")
+        ranks = [F.greatest(F.ceil(F.round(F.lit(p) * F.col("_n"), 9)) - 1, F.lit(0)).cast("double")
+                 for p in wanted.values()]
     else:
-        rank = F.lit(probability) * (F.col("_in") - 1)
-    groups = materialize(groups.withColumn("_rank", rank))
-    rows = rows.select("_g", "_v")
-    # One bracket per rank wanted (0-based `_k`, at most two per group); `_below` rows lie under it.
-    bracket = materialize(
-        groups.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))))
-        .select("_g", "_k", "_lo", "_hi", "_in", F.lit(0).cast("long").alias("_below"))
-    )
-    wide = (F.col("_in") > direct_rows) & (F.col("_hi") > F.col("_lo"))
-    while not bracket.filter(wide).isEmpty():
-        # lowest and highest value of a bracket fall into different bins, so every pass shrinks it
-        bracket = materialize(_narrow(rows, bracket.filter(wide)).unionByName(bracket.filter(~wide)))
-    picked = _pick(rows, bracket).groupBy("_g").agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high"))
-    return groups.join(picked, "_g").select(
-        *[F.col(k).alias(c) for c, k in zip(by, keys)],
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_rank") - F.floor("_rank"))).alias(name),
-    )
+        ranks = [F.lit(p) * (F.col("_n") - 1) for p in wanted.values()]
+    nothing = F.lit(None).cast("double")
+    asked = [F.struct(F.lit(i).alias("_i"), k.cast("long").alias("_k"), F.get("_cuts", F.lit(2 * i)).alias("_lo"),
+                      F.get("_cuts", F.lit(2 * i + 1)).alias("_hi"))
+             for i, r in enumerate(ranks) for k in (F.floor(r), F.ceil(r))]
+    state = groups.select("_g", F.inline(F.array_distinct(F.array(*asked)))).select(
+        *_ID, nothing.alias("_a"), nothing.alias("_b"), F.lit(0).cast("long").alias("_base"), "_lo", "_hi")
+    state, hits = materialize(_count(rows, state)), None
+    while True:
+        found = state.filter(F.col("_hit").isNotNull()).select(*_ID, "_hit")
+        hits = found if hits is None else hits.unionByName(found)
+        open_ = state.filter(F.col("_hit").isNull())
+        few = open_.filter(F.col("_size") <= direct_rows)
+        hits = hits.unionByName(_pick(rows, few))
+        many = open_.filter(F.col("_size") > direct_rows)
+        if many.isEmpty():
+            break
+        state = materialize(_count(rows, _propose(rows, many)))
+    hits = hits.join(groups.select("_g", "_n", "_nan"), "_g").select(*_ID, F.when(
+        (F.col("_hit") == float("inf")) & (F.col("_k") >= F.col("_n") - F.col("_nan")), float("nan")
+    ).otherwise(F.col("_hit")).alias("_hit"))
+    ends = hits.groupBy("_g").agg(*[
+        f(F.when(F.col("_i") == i, F.struct("_k", "_hit"))).alias(f"{end}{i}")
+        for i in range(len(wanted)) for f, end in ((F.min, "_low"), (F.max, "_high"))])
+    done = groups.join(ends, "_g")
+    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)],
+                       *[_between(i, r).alias(name) for i, (r, name) in enumerate(zip(ranks, wanted))])
 
 
-def _inside(rows: DataFrame, bracket: DataFrame) -> DataFrame:
-    return join_small(rows, bracket, "_g", "inner").filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+def _between(i: int, rank: Column) -> Column:
+    low, high = F.col(f"_low{i}")["_hit"], F.col(f"_high{i}")["_hit"]
+    share = rank - F.floor(rank)
+    return F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share)
 
 
-def _narrow(rows: DataFrame, bracket: DataFrame) -> DataFrame:
-    """One pass: shrink each bracket to the value range of the bin that holds its rank."""
-    scaled = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
-    binned = (
-        _inside(rows, bracket.select("_g", "_k", "_lo", "_hi", "_below"))
-        .groupBy("_g", "_k", "_below", F.least(F.floor(scaled), F.lit(BINS - 1)).alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    upto = Window.partitionBy("_g", "_k").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        binned.withColumn("_end", F.col("_below") + F.sum("_in").over(upto))
-        .withColumn("_below", F.col("_end") - F.col("_in"))
-        .filter((F.col("_below") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
-        .select("_g", "_k", "_lo", "_hi", "_in", "_below")
-    )
+def _inside(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of each open interval (``_a``, ``_b``); null is no bound."""
+    inner = (F.col("_a").isNull() | (F.col("_v") > F.col("_a"))) & (F.col("_b").isNull() | (F.col("_v") < F.col("_b")))
+    return join_small(rows, state, "_g", "inner").filter(inner)
+
+
+def _count(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``_hit`` where the rank lies at a proposed value, else the smaller interval it lies in."""
+    v, lo, hi, k, base = (F.col(c) for c in ("_v", "_lo", "_hi", "_k", "_base"))
+    counted = _inside(rows, state).groupBy(*_ID, "_a", "_b", "_base", "_lo", "_hi").agg(
+        F.count_if(v < lo).alias("_c0"), F.count_if(v == lo).alias("_c1"), F.count_if((v > lo) & (v < hi)).alias("_c2"),
+        F.count_if((v == hi) & (hi > lo)).alias("_c3"), F.count_if(v > hi).alias("_c4"))
+    counted = counted.withColumn("_s1", base + F.col("_c0")).withColumn("_s2", F.col("_s1") + F.col("_c1"))
+    counted = counted.withColumn("_s3", F.col("_s2") + F.col("_c2")).withColumn("_s4", F.col("_s3") + F.col("_c3"))
+    left, lower, inner, upper = k < F.col("_s1"), k < F.col("_s2"), k < F.col("_s3"), k < F.col("_s4")
+
+    def pick(left_of, inside, right_of):
+        return F.when(left, left_of).when(inner, inside).otherwise(right_of)
 
+    hit = F.when(left, None).when(lower, lo).when(inner, None).when(upper, hi)
+    return counted.select(
+        *_ID, hit.cast("double").alias("_hit"), pick(F.col("_a"), lo, hi).alias("_a"), pick(lo, hi, F.col("_b")).alias("_b"),
+        pick(base, F.col("_s2"), F.col("_s4")).alias("_base"),
+        pick(F.col("_c0"), F.col("_c2"), F.col("_c4")).alias("_size"))
 
-def _pick(rows: DataFrame, bracket: DataFrame) -> DataFrame:
-    """The value at rank ``_k`` of each bracket, which holds few rows or a single value."""
-    single = F.col("_lo") == F.col("_hi")
-    known = bracket.filter(single).select("_g", F.col("_lo").alias("_hit"))
-    upto = Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (
-        _inside(rows, bracket.filter(~single).select("_g", "_k", "_lo", "_hi", "_below"))
-        .groupBy("_g", "_k", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
+
+def _propose(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Two values around the rank, from a sketch of the interval's own rows."""
+    grid = F.array(*[F.lit(j / CELLS) for j in range(CELLS + 1)])
+    cuts = _inside(rows, state).groupBy(*_ID, "_a", "_b", "_base", "_size").agg(
+        F.percentile_approx("_v", grid, 10 * CELLS).alias("_cuts"))
+    cell = (F.col("_k") - F.col("_base")) / F.col("_size") * CELLS
+    return cuts.select(
+        *_ID, "_a", "_b", "_base", F.get("_cuts", F.greatest(F.lit(0), F.floor(cell) - 1).cast("int")).alias("_lo"),
+        F.get("_cuts", F.least(F.lit(CELLS), F.ceil(cell) + 1).cast("int")).alias("_hi"))
+
+
+def _pick(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The value at the rank of each interval, which holds few rows."""
+    upto = Window.partitionBy(*_ID).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        _inside(rows, state.select(*_ID, "_a", "_b", "_base"))
+        .groupBy(*_ID, "_base", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
         .filter((F.col("_end") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_end")))
+        .select(*_ID, F.col("_v").alias("_hit"))
     )
-    return known.unionByName(counted.select("_g", F.col("_v").alias("_hit")))

@@ -8,42 +8,6 @@ from pyspark.sql import types as T
 
 from logtide.schemas import LOG_PAYLOAD
 
-# One log type per event type, and the weights behind the status codes.
-_EVENT_LOGS = """
-SELECT concat('log_', CAST(event_id AS STRING)) AS log_id, ts AS timestamp,
-  CASE event_type WHEN 'view' THEN 'API_REQUEST' WHEN 'click' THEN 'USER_ACTION'
-    WHEN 'purchase' THEN 'DATABASE_QUERY' WHEN 'signup' THEN 'SYSTEM_EVENT' ELSE 'ERROR' END AS log_type,
-  event_id, event_type, user_id AS uid, value, k,
-  CASE WHEN event_type <> 'view' THEN NULL WHEN k < 85 THEN 200 WHEN k < 90 THEN 201 WHEN k < 95 THEN 204
-    WHEN k < 98 THEN 400 ELSE 404 END AS status_code
-FROM (SELECT *, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events})
-"""
-_LOG_COLUMNS = """
-SELECT log_id, timestamp, log_type, k, status_code,
-  CASE WHEN log_type = 'API_REQUEST' THEN value END AS response_time_ms,
-  CASE WHEN log_type = 'DATABASE_QUERY' THEN value END AS execution_time_ms,
-  CASE log_type WHEN 'API_REQUEST' THEN CASE WHEN status_code >= 400 THEN 'WARN' ELSE 'INFO' END
-    WHEN 'DATABASE_QUERY' THEN 'DEBUG' WHEN 'USER_ACTION' THEN 'INFO'
-    WHEN 'SYSTEM_EVENT' THEN CASE WHEN k >= 95 THEN 'CRITICAL' ELSE 'INFO' END ELSE 'ERROR' END AS log_level,
-  CASE WHEN log_type IN ('API_REQUEST', 'USER_ACTION') THEN concat('user_', CAST(uid AS STRING)) END AS user_id,
-  CASE log_type
-    WHEN 'API_REQUEST' THEN concat('/api/v1/users returned ', CAST(status_code AS STRING), ' in ', CAST(k AS STRING), 'ms')
-    WHEN 'DATABASE_QUERY' THEN concat('Query executed in ', CAST(k AS STRING), 'ms')
-    WHEN 'USER_ACTION' THEN 'User performed action: login'
-    WHEN 'SYSTEM_EVENT' THEN 'System health check completed' ELSE 'Internal server error' END AS message,
-  (value >= 150 OR (event_type = 'error' AND k >= 90)) AS is_anomaly,
-  event_id, value
-FROM {typed}
-"""
-
-
-def logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ``events`` table read as application logs."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    typed = spark.sql(_EVENT_LOGS, events=events)
-    return spark.sql(_LOG_COLUMNS, typed=typed)
-
-
 def read_logs(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Scan of logs or features. ``path`` may be a glob over many runs."""
     reader = spark.read if schema is None else spark.read.schema(schema)

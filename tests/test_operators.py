@@ -199,9 +199,10 @@ def test_seasonal_rule(spark):
         False, True, False, True]
 
 
-@pytest.mark.parametrize("slice_rows", [3, 100_000])
+@pytest.mark.parametrize("slice_rows", [1, 7, 150, 100_000])
 def test_ewma_is_the_recursion(spark, slice_rows):
-    values = [5.0, None, 1.0, 9.0, 9.0, None, 2.0, 4.0, 4.5, 8.0]
+    """A spike far back still counts, however the rows are cut."""
+    values = [5.0, None, 1e25, 9.0, 9.0, None] + [2.0, 4.0, 4.5, 8.0] * 45
     df = frame(spark, *[log(i, i, rt=v) for i, v in enumerate(values)])
     got = by_id(detectors.ewma(df, alpha=0.3, slice_rows=slice_rows), "ewma")
     y = None

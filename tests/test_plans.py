@@ -11,7 +11,7 @@ from logtide.catalog import logs
 from logtide.plans.bounded import join_small
 from logtide.plans.materialize import ensure_checkpoint_dir
 from logtide.plans.ordering import RowOrder, slice_window, with_position, with_slices
-from logtide.plans.quantiles import exact_quantile
+from logtide.plans.quantiles import exact_quantile, exact_quantiles
 from logtide.plans.trailing import Trailing, over_trailing, per_second
 
 T0 = dt.datetime(2024, 1, 1)
@@ -61,6 +61,17 @@ def test_position_with_hot_cells_is_dense_ordered_and_repeatable(spark):
     assert sorted(again.collect()) == sorted(got)
 
 
+@pytest.mark.parametrize("hot_cell", [10, 70, 1_000_000])
+def test_tied_timestamps_are_ordered_by_the_tie_at_every_setting(spark, hot_cell):
+    rng = np.random.default_rng(11)
+    names = rng.permutation(3000)
+    df = rows_at(spark, [(f"log_{names[i]:04d}", 5.0 if i % 4 else 6.5, "A" if i % 7 else None, 1.0) for i in range(3000)])
+    plain = Window.partitionBy("log_type").orderBy("timestamp", "log_id")
+    wanted = df.select("log_id", (F.row_number().over(plain) - 1).cast("long").alias("n"))
+    got = with_position(df.repartition(5), RowOrder(), hot_cell=hot_cell).select("log_id", F.col("_pos").alias("n"))
+    assert sorted(got.collect()) == sorted(wanted.collect())
+
+
 def test_hot_cells_bound_the_groups(spark):
     from logtide.plans import ordering
 
@@ -127,6 +138,35 @@ def test_exact_quantile_equals_numpy(spark, probability, shape):
     assert got == pytest.approx(np.percentile(values, probability * 100), rel=1e-12)
 
 
+@pytest.mark.parametrize("direct_rows, accuracy", [(1, 20), (50, 100), (20_000, 10_000)])
+def test_exact_quantiles_end_on_infinities_and_nan(spark, direct_rows, accuracy):
+    rng = np.random.default_rng(5)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "one": [*rng.normal(size=500), inf], "both": [*rng.normal(size=300) * 1e300, inf, -inf, -inf, 1.7e308, -1.7e308],
+        "nan": [1.0, 2.0, inf, nan, nan], "all": [inf] * 5, "ties": [3.0] * 400 + [4.0] * 400 + [5.0], "none": [nan],
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    wanted = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r["g"]: r for r in exact_quantiles(
+        df.repartition(3), "v", wanted, ["g"], True, direct_rows, accuracy).collect()}
+    for g, values in groups.items():
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        for name, p in wanted.items():
+            expected = ordered[max(0, int(np.ceil(round(p * len(values), 9))) - 1)]
+            assert got[g][name] == expected or (got[g][name] != got[g][name] and expected != expected), (g, name)
+
+
+def test_p95_is_exact_for_a_million_rows(spark):
+    from logtide.operators.features import type_statistics
+
+    df = spark.range(1_000_000).select(
+        F.lit("A").alias("log_type"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e4).alias("response_time_ms"))
+    values = df.select("response_time_ms").toPandas()["response_time_ms"].to_numpy()
+    got = type_statistics(df).first()["p95_response_time"]
+    assert got == np.quantile(values, 0.95, method="inverted_cdf")
+
+
 def test_exact_quantile_by_group_keeps_null_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), ("b", None)], "g string, v double")
     assert {r["g"]: r["quantile"] for r in exact_quantile(df, "v", 0.5, ["g"]).collect()} == {None: 5.0, "a": 2.0}

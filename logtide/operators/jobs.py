@@ -10,7 +10,7 @@ from logtide.models.sequence import SequenceModel, fit_sequences, save_sequences
 from logtide.operators.enrich import build_enriched
 from logtide.operators.evaluate import evaluate, metric_rows
 from logtide.operators.features import build_features
-from logtide.operators.results import create_alerts, record_metrics, retain, upsert_anomalies
+from logtide.operators.results import create_alerts, merge_anomalies, record_metrics, retain
 from logtide.operators.scoring import anomaly_rows, combine_scores, result_columns, run_summary
 from logtide.operators.summary import hourly_summary
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, MODEL_PERFORMANCE
@@ -32,8 +32,7 @@ def scoring_job(spark: SparkSession, features_path: str, model: ForestModel, out
     """
     scored = combine_scores(score_forest(read_logs(spark, features_path), model), threshold=threshold)
     write_table(result_columns(scored), out_path)
-    stored = store.read_table(spark, store_root, "anomalies", ANOMALIES)
-    store.write_table(upsert_anomalies(stored, anomaly_rows(scored), now), store_root, "anomalies", ANOMALIES)
+    merge_anomalies(spark, store_root, anomaly_rows(scored), now)
     merged = store.read_table(spark, store_root, "anomalies", ANOMALIES)
     alerts = store.read_table(spark, store_root, "alerts", ALERTS)
     unalerted = merged.join(alerts.select(F.col("anomaly_id").alias("id")), "id", "left_anti")
@@ -88,4 +87,5 @@ def retention_job(spark: SparkSession, store_root: str, as_of: Column, anomaly_d
         ("feature_statistics", FEATURE_STATISTICS, "calculation_date", statistics_days),
     ):
         table = store.read_table(spark, store_root, name, schema)
-        store.write_table(retain(table, column, as_of, days), store_root, name, schema)
+        store.write_table(retain(table, column, as_of, days), store_root, name, schema,
+                          column if name == "anomalies" else None)

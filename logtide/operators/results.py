@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +12,17 @@ from logtide.functions.logs import severity
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, with_position
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
+from logtide.sources import store
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
-    """Ad-hoc SQL over result tables; values go in as named parameters, ``:name`` in the text."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=params or {})
+    """Ad-hoc SQL over result tables; values go in as named parameters, ``:name`` in the text.
+
+    Tables stand behind FROM or JOIN, or anywhere as ``{name}``.
+    """
+    for name in tables:  # the frames are arguments of the query, so no view of the session is replaced
+        query = re.sub(rf"\b(FROM|JOIN)(\s+){re.escape(name)}\b", rf"\1\2{{{name}}}", query, flags=re.IGNORECASE)
+    return spark.sql(query, args=params or {}, **tables)
 
 
 def assign_ids(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataFrame:
@@ -25,7 +31,11 @@ def assign_ids(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataF
     The numbers come from per-second row counts, so no task ever holds the whole batch. The rows are
     stored first: counting and numbering must see the same times, also where they come from a clock.
     """
-    rows = materialize(rows)
+    return number_rows(materialize(rows), stored, time, tie)
+
+
+def number_rows(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataFrame:
+    """``assign_ids`` for rows that are stored already."""
     last = F.coalesce(stored.agg(F.max("id").alias("last")).scalar(), F.lit(0))
     return (
         with_position(rows, RowOrder(None, time, tie))
@@ -44,7 +54,9 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def newest_per_key(batch: DataFrame, key: str, newest_by: list[str]) -> DataFrame:
     """One row per key, the greatest by ``newest_by``. Copies combine map-side, however many there are."""
     rest = [c for c in batch.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(*newest_by)).alias("_row")
+    # all columns end the order, so that rows alike in newest_by do not leave the others to chance
+    ordered = [c for c, t in batch.dtypes if c in rest and not t.startswith(("map", "variant"))]
+    best = F.max_by(F.struct(*rest), F.struct(*newest_by, F.struct(*ordered))).alias("_row")
     return batch.groupBy(key).agg(best).select(key, "_row.*").select(*batch.columns)
 
 
@@ -54,24 +66,61 @@ def upsert_anomalies(stored: DataFrame, batch: DataFrame, now: Column | None = N
 
     New keys are inserted, with level INFO, version v1.0, ``detected_at`` and ``is_confirmed`` by
     default. Known keys change only in score, model name and model version. ``newest_by`` decides
-    between copies inside the batch.
+    between copies inside the batch, and after it all its columns.
     """
+    batch = _known(_settled(batch, now, newest_by), stored)
+    return _changed(stored, batch).unionByName(_inserted(stored, batch))
+
+
+def _settled(batch: DataFrame, now: Column | None, newest_by: list[str] | None) -> DataFrame:
+    """Batch with defaults, one row per key."""
     batch = batch.withColumns({
         "log_level": F.coalesce("log_level", F.lit("INFO")),
         "model_version": F.coalesce("model_version", F.lit("v1.0")),
     })
-    batch = newest_per_key(batch, "log_id", newest_by or ["timestamp", "anomaly_score"])
+    if "detected_at" not in batch.columns:
+        moment = now if now is not None else F.current_timestamp()
+        batch = batch.withColumn("detected_at", moment.cast("timestamp_ntz"))
+    return newest_per_key(batch, "log_id", newest_by or ["timestamp", "anomaly_score"])
+
+
+def _known(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Batch with ``_since``, the detection time of its keys in the table, and ``_known``; stored once, with what
+    the table knows of each key, since updates, insertions and their numbers all read it."""
+    known = stored.select("log_id", F.col("detected_at").alias("_since"), F.lit(True).alias("_known"))
+    return materialize(batch.join(known, "log_id", "left"))
+
+
+def _changed(stored: DataFrame, batch: DataFrame) -> DataFrame:
     changed = ["anomaly_score", "model_name", "model_version"]
-    update = batch.select("log_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in changed])
-    kept = stored.join(update, "log_id", "left").withColumns({
+    update = batch.filter("_known").select("log_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in changed])
+    return conform(stored.join(update, "log_id", "left").withColumns({
         c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in changed
-    })
-    fresh = batch.join(stored.select("log_id"), "log_id", "left_anti")
-    if "detected_at" not in fresh.columns:
-        moment = now if now is not None else F.current_timestamp()
-        fresh = fresh.withColumn("detected_at", moment.cast("timestamp_ntz"))
-    fresh = assign_ids(fresh, stored, "timestamp", "log_id").withColumn("is_confirmed", F.lit(False))
-    return conform(kept, ANOMALIES).unionByName(conform(fresh, ANOMALIES))
+    }), ANOMALIES)
+
+
+def _inserted(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    fresh = number_rows(batch.filter("_known is null"), stored, "timestamp", "log_id")
+    return conform(fresh.withColumn("is_confirmed", F.lit(False)), ANOMALIES)
+
+
+def merge_anomalies(spark: SparkSession, root: str, batch: DataFrame, now: Column | None = None) -> int:
+    """``upsert_anomalies`` into the stored table, writing only the detection days that the batch touches.
+
+    Of the table only keys and detection times are read as a whole; rows are read and written for the days of
+    changed keys and of new rows. Returns the version; raises ``store.Conflict`` when another writer was first.
+    """
+    base = store.newest(spark, root, "anomalies")
+    stored = store.read_table(spark, root, "anomalies", ANOMALIES, base)
+    batch = _known(_settled(batch, now, None), stored)
+    day = store.day_of("detected_at")
+    touched = [r["d"] for r in batch.select(  # at most one per day of the table
+        F.when(F.col("_known"), store.day_of("_since")).otherwise(day).alias("d")).distinct().collect()]
+    if not touched:
+        return base
+    part = stored.filter(day.isin(touched))
+    rows = _changed(part, batch).unionByName(_inserted(stored, batch))
+    return store.write_table(rows, root, "anomalies", ANOMALIES, "detected_at", touched, base)
 
 
 def append_rows(stored: DataFrame, rows: DataFrame, schema: T.StructType, time: str, tie: str) -> DataFrame:

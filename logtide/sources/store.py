@@ -1,32 +1,139 @@
-"""Result tables as Parquet snapshots.
+"""Result tables as versions of Parquet folders.
 
-A change reads snapshot N and writes snapshot N + 1 beside it, so a reader or a failed job never sees
-half a table. A snapshot counts once its ``_SUCCESS`` file exists.
+A change reads version N, writes its rows into a folder of its own and then claims version N + 1 by creating the
+version's list of folders, which only one writer can; another writer of the same version is refused and its rows
+are removed. A reader or a failed job never sees half a table. Tables with a ``day`` have a folder per day, and a
+change lists the folders of untouched days again instead of writing them.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Versions that stay readable, the newest included.
+KEEP = 3
+NO_DAY = "none"
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _version_file(root: str, name: str, version: int) -> str:
+    return f"{root}/{name}/version-{version:012d}.json"
+
+
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the versions at hand, ascending."""
+    pattern, fs = _at(spark, f"{root}/{name}/version-*.json")
+    return sorted(int(f.getPath().getName()[8:-5]) for f in fs.globStatus(pattern) or [] if f.getLen() > 0)
+
+
+def newest(spark: SparkSession, root: str, name: str) -> int:
+    """Number of the newest version; 0 before the first."""
+    return max(versions(spark, root, name), default=0)
 
-def _snapshots(spark: SparkSession, root: str, name: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/snapshot=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
+def folders(spark: SparkSession, root: str, name: str, version: int) -> dict[str, str]:
+    """Folder of each day of a version, relative to the table."""
+    if version == 0:
+        return {}
+    where, fs = _at(spark, _version_file(root, name, version))
+    stream = fs.open(where)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
-def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """The newest snapshot, or an empty table."""
-    snapshots = _snapshots(spark, root, name)
-    if not snapshots:
+
+def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+    """The newest (or a given) version, or an empty table."""
+    listed = folders(spark, root, name, newest(spark, root, name) if version is None else version)
+    if not listed:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{name}/snapshot={snapshots[-1]}")
+    return spark.read.schema(schema).parquet(*[f"{root}/{name}/{f}" for f in listed.values()])
+
+
+def day_of(column: str):
+    """Day that decides a row's folder, as text."""
+    return F.coalesce(F.to_date(column).cast("string"), F.lit(NO_DAY))
 
 
-def write_table(df: DataFrame, root: str, name: str, schema: T.StructType) -> int:
-    """Write the next snapshot and return its number."""
-    number = max(_snapshots(df.sparkSession, root, name), default=0) + 1
-    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(
-        f"{root}/{name}/snapshot={number}")
+def write_table(df: DataFrame, root: str, name: str, schema: T.StructType, day: str | None = None,
+                only: list[str] | None = None, base: int | None = None, keep: int = KEEP) -> int:
+    """Write the version behind ``base`` (by default the newest) and return its number.
+
+    With ``only`` the rows replace these days and all other days stay as in ``base``. Raises ``Conflict`` when that
+    version was written meanwhile. Versions beyond the ``keep`` newest are removed.
+    """
+    spark = df.sparkSession
+    base = newest(spark, root, name) if base is None else base
+    folder = f"data-{uuid.uuid4().hex}"
+    rows = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    if day is None:
+        rows.write.parquet(f"{root}/{name}/{folder}")
+        listed = {NO_DAY: folder}
+    else:
+        rows.withColumn("_day", day_of(day)).write.partitionBy("_day").parquet(f"{root}/{name}/{folder}")
+        pattern, fs = _at(spark, f"{root}/{name}/{folder}/_day=*")
+        parts = [f.getPath().getName() for f in fs.globStatus(pattern) or []]
+        listed = {p.removeprefix("_day="): f"{folder}/{p}" for p in parts}
+        if only is not None:
+            untouched = folders(spark, root, name, base).items()
+            listed = {d: f for d, f in untouched if d not in only} | listed
+    number = _next(spark, root, name, base)
+    _claim(spark, root, name, number, listed, folder)
+    _clean(spark, root, name, keep)
     return number
+
+
+def _next(spark: SparkSession, root: str, name: str, base: int, patience: float = 60.0) -> int:
+    """The number behind ``base``; claims that a writer left empty longer than ``patience`` seconds ago are passed."""
+    number = base + 1
+    while True:
+        where, fs = _at(spark, _version_file(root, name, number))
+        if not fs.exists(where):
+            return number
+        status = fs.getFileStatus(where)
+        if status.getLen() > 0 or time.time() - status.getModificationTime() / 1000 < patience:
+            return number  # taken: the claim will be refused
+        number += 1
+
+
+def _claim(spark: SparkSession, root: str, name: str, version: int, listed: dict[str, str], folder: str) -> None:
+    where, fs = _at(spark, _version_file(root, name, version))
+    try:
+        stream = fs.create(where, False)
+    except Py4JJavaError as e:
+        own, _ = _at(spark, f"{root}/{name}/{folder}")
+        fs.delete(own, True)
+        raise Conflict(f"version {version} of {name} was written meanwhile") from e
+    try:
+        stream.write(bytearray(json.dumps(listed, sort_keys=True).encode()))
+    finally:
+        stream.close()
+
+
+def _clean(spark: SparkSession, root: str, name: str, keep: int) -> None:
+    """Remove old versions, and folders that only they list."""
+    known = versions(spark, root, name)
+    old, kept = known[:-keep], known[-keep:]
+    if not old:
+        return
+    used = {f for v in kept for f in folders(spark, root, name, v).values()}
+    gone = {f for v in old for f in folders(spark, root, name, v).values()} - used
+    for path in [*(f"{root}/{name}/{f}" for f in gone), *(_version_file(root, name, v) for v in old)]:
+        where, fs = _at(spark, path)
+        fs.delete(where, True)

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtide.models.forest import ForestModel, score_forest
-from logtide.operators.results import upsert_anomalies
+from logtide.operators.results import merge_anomalies
 from logtide.operators.scoring import anomaly_rows, combine_scores
 from logtide.operators.summary import flat_window, summary_columns
-from logtide.schemas import ANOMALIES
-from logtide.sources import store
 
 
 def _with_watermark(logs: DataFrame, late: str) -> DataFrame:
@@ -53,7 +51,8 @@ def sliding_volume(logs: DataFrame, width: str = "1 hour", slide: str = "5 minut
 
 def score_stream(features: DataFrame, model: ForestModel, store_root: str, checkpoint: str,
                  threshold: float = 0.5, **trigger) -> StreamingQuery:
-    """Score a stream of feature rows and merge the anomalies of each micro-batch into the anomaly table.
+    """Score a stream of feature rows and merge the anomalies of each micro-batch into the anomaly table; only
+    the days that a batch touches are written.
 
     Scores are relative to the training range, so that they do not depend on how the stream is cut. A
     batch repeated after a failure merges to the same table.
@@ -61,8 +60,7 @@ def score_stream(features: DataFrame, model: ForestModel, store_root: str, check
     def merge(batch: DataFrame, _: int) -> None:
         scored = combine_scores(score_forest(batch, model, relative_to_training=True), threshold=threshold)
         found = anomaly_rows(scored).withColumn("detected_at", F.col("timestamp"))
-        stored = store.read_table(batch.sparkSession, store_root, "anomalies", ANOMALIES)
-        store.write_table(upsert_anomalies(stored, found), store_root, "anomalies", ANOMALIES)
+        merge_anomalies(batch.sparkSession, store_root, found)
 
     return (
         features.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

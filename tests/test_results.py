@@ -59,18 +59,50 @@ def test_many_copies_of_one_key_and_one_detection_time(spark):
     assert sorted(r["id"] for r in got.select("id").collect()) == list(range(1, 202))
 
 
-def test_snapshots(spark, tmp_path):
+def test_versions(spark, tmp_path):
     root = str(tmp_path)
     assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0
-    for n, score in ((1, 0.6), (2, 0.9)):
+    for n, score in ((1, 0.6), (2, 0.9), (3, 0.7), (4, 0.8)):
         stored = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
         table = results.upsert_anomalies(stored, batch(spark, ("a", 1, score)), now())
         assert store.write_table(table, root, "anomalies", schemas.ANOMALIES) == n
-    assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).first()["anomaly_score"] == 0.9
-    (tmp_path / "anomalies" / "snapshot=3").mkdir()  # a write that never finished
+        assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).first()["anomaly_score"] == score
+    assert store.versions(spark, root, "anomalies") == [2, 3, 4]  # old ones are removed, folders too
+    assert len(list((tmp_path / "anomalies").glob("data-*"))) == 3
+    (tmp_path / "anomalies" / "data-unfinished").mkdir()  # a write that never claimed a version
     assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 1
 
 
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    root = str(tmp_path)
+    rows = results.upsert_anomalies(empty(spark), batch(spark, ("a", 1, 0.6)), now())
+    assert store.write_table(rows, root, "anomalies", schemas.ANOMALIES, base=0) == 1
+    with pytest.raises(store.Conflict):
+        store.write_table(rows, root, "anomalies", schemas.ANOMALIES, base=0)
+    assert len(list((tmp_path / "anomalies").glob("data-*"))) == 1
+    assert store.write_table(rows, root, "anomalies", schemas.ANOMALIES) == 2
+
+
+def test_merge_writes_only_touched_days(spark, tmp_path):
+    root = str(tmp_path)
+    def found(*items):
+        return batch(spark, *items).withColumn("detected_at", F.col("timestamp"))
+
+    results.merge_anomalies(spark, root, found(("a", 1, 0.6), ("b", 2, 0.7), ("c", 3, 0.8)))
+    before = store.folders(spark, root, "anomalies", 1)
+    results.merge_anomalies(spark, root, found(("b", 2, 0.9), ("d", 4, 0.5), ("e", 2, 0.4)))
+    after = store.folders(spark, root, "anomalies", 2)
+    days = sorted(before)
+    assert sorted(after)[1:] == days and len(after) == 4
+    assert [before[d] == after[d] for d in days] == [True, False, True]
+    table = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
+    assert {r["log_id"]: r["anomaly_score"] for r in table.collect()} == {"a": 0.6, "b": 0.9, "c": 0.8, "d": 0.5, "e": 0.4}
+    assert sorted(r["id"] for r in table.collect()) == [1, 2, 3, 4, 5]
+    same = results.upsert_anomalies(store.read_table(spark, root, "anomalies", schemas.ANOMALIES, 1), found(
+        ("b", 2, 0.9), ("d", 4, 0.5), ("e", 2, 0.4)))
+    assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+
+
 def test_update_delete_and_retention(spark):
     table = results.upsert_anomalies(
         empty(spark), batch(spark, ("a", 1, 0.6), ("b", 100, 0.7), ("c", 5, 0.8)).withColumn("detected_at", F.col("timestamp")))

@@ -6,8 +6,11 @@ work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 from logtide import inputs, schemas
 from logtide.functions import logs as fn
 from logtide.models import forest, sequence
-from logtide.operators import detectors, enrich, evaluate, features, monitor, reports, results, scoring, summary, text
-from logtide.plans.materialize import materialize
+from logtide.operators import (
+    detectors, enrich, evaluate, features, jobs, monitor, reports, results, scoring, summary, text,
+)
+from logtide.plans.materialize import ensure_checkpoint_dir, materialize
 from logtide.plans.quantiles import exact_quantile
 from logtide.sources import logs as sources
 
@@ -211,12 +216,57 @@ def scan_logs(spark, sf_dir):
                                       "response_time_ms", "message", "is_anomaly")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS service"
-       " FROM events")
+_PAYLOAD = {  # key: (type, when, Spark and SQL expression)
+    "endpoint": ("string", "event_type = 'view'", "concat('/shelf/', k)"),
+    "status_code": ("int", "event_type = 'view'", "200 + k"),
+    "response_time_ms": ("double", "event_type = 'view'", "k / 4.0D"),
+    "user_id": ("string", "event_type IN ('view', 'click')", "concat('user_', user_id)"),
+    "query_type": ("string", "event_type = 'purchase'", "'SELECT'"),
+    "execution_time_ms": ("double", "event_type = 'purchase'", "k / 8.0D"),
+    "rows_affected": ("int", "event_type = 'purchase'", "k * 3"),
+    "action": ("string", "event_type = 'click'", "'open'"),
+    "session_id": ("string", "event_type = 'click' AND k > 9", "concat('s-', k)"),
+    "service": ("string", "event_type = 'signup'", "'node \"a\"'"),
+    "error_count": ("int", "event_type = 'error'", "k"),
+    "failed_attempts": ("int", "event_type = 'error' AND k > 50", "k - 50"),
+    "ip_address": ("string", "event_type = 'error'", "concat('10.0.0.', k)"),
+    "memory_usage_percent": ("double", "event_type = 'signup'", "k / 2.0D"),
+    "cpu_usage_percent": ("double", "event_type = 'signup' AND k < 40", "k + 0.5D"),
+}
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+
+
+@query(f"SELECT event_id, " + ", ".join(
+    f"CASE WHEN {when} THEN CAST({what.replace('D', '::DOUBLE') if kind == 'double' else what} AS "
+    f"{ {'string': 'VARCHAR', 'int': 'INTEGER', 'double': 'DOUBLE'}[kind]}) END AS {key}"
+    for key, (kind, when, what) in _PAYLOAD.items()) + f" FROM (SELECT *, {_K} AS k FROM events)")
 def flatten_payload(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    schema = schemas.struct("k int, service string")
-    return sources.flatten_payload(rows, "props", schema)
+    """Every key of the payload schema, each present in some records only."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.from_json("props", schemas.struct("k int"))["k"])
+    fields = ", ".join(f"'{key}', CASE WHEN {when} THEN CAST({what} AS {kind}) END"
+                       for key, (kind, when, what) in _PAYLOAD.items())
+    rows = rows.select("event_id", F.to_json(F.expr(f"named_struct({fields})")).alias("extra_data"))
+    return sources.flatten_payload(rows)
+
+
+@query(WITH_LOGS + """, runs AS (SELECT 'glob' AS read_as, log_type FROM logs UNION ALL SELECT 'glob', log_type FROM logs
+    WHERE log_type = 'ERROR' UNION ALL SELECT 'latest', log_type FROM logs WHERE log_type = 'ERROR'
+    UNION ALL SELECT 'partitioned', log_type FROM logs WHERE k < 50)
+  SELECT read_as, log_type, count(*) AS row_count FROM runs GROUP BY ALL""")
+def stored_runs(spark, sf_dir):
+    """Runs written twice, the second time over the first, and read by glob, newest run and partition."""
+    root = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    rows = materialize(logs(spark, sf_dir).select("log_id", "log_type", "k"))
+    sources.write_table(rows.filter("k < 10"), f"{root}/features_1")
+    sources.write_table(rows, f"{root}/features_1")
+    sources.write_table(rows.filter("k < 50"), f"{root}/by_type", ["log_type"])
+    sources.write_table(rows.filter("log_type = 'ERROR'"), f"{root}/features_2")
+    read = {"glob": sources.read_logs(spark, f"{root}/features_*"),
+            "latest": sources.read_latest_run(spark, f"{root}/features_*"),
+            "partitioned": sources.read_logs(spark, f"{root}/by_type")}
+    parts = [df.select(F.lit(name).alias("read_as"), "log_type") for name, df in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("read_as", "log_type").agg(
+        F.count(F.lit(1)).alias("row_count"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 5 THEN ts END AS timestamp FROM events")
@@ -280,12 +330,19 @@ def statistical_features(spark, sf_dir):
         "is_slow_response")
 
 
-@query(WITH_LOGS + """ SELECT log_id, CAST(hour(timestamp) AS DOUBLE) AS f0, coalesce(CAST(status_code AS DOUBLE), 0.0)
-  AS f1, round(coalesce(response_time_ms, 0.0), 6) AS f2 FROM logs""")
+_VECTORS = [("forest", schemas.FOREST_FEATURES), ("sequence", schemas.SEQUENCE_FEATURES)]
+
+
+@query(WITH_FEATURES + " SELECT log_id, " + ", ".join(
+    f"round(coalesce(CAST({c} AS DOUBLE), 0.0), 6) AS {name}_{i}" for name, columns in _VECTORS
+    for i, c in enumerate(columns)) + " FROM features")
 def feature_vector(spark, sf_dir):
-    rows = logs(spark, sf_dir).withColumn("hour", F.hour("timestamp"))
-    vector = scoring.feature_vector(rows, ["hour", "status_code", "response_time_ms"])
-    return vector.select("log_id", *[F.col("features")[i].alias(f"f{i}") for i in range(3)])
+    """All inputs of both models, in their order."""
+    rows = features.build_features(logs(spark, sf_dir))
+    for name, columns in _VECTORS:
+        rows = scoring.feature_vector(rows, columns, name)
+    return rows.select("log_id", *[F.col(name)[i].alias(f"{name}_{i}") for name, columns in _VECTORS
+                                   for i in range(len(columns))])
 
 
 @query(WITH_LOGS + """, filled AS (SELECT log_id, CAST(hour(timestamp) AS DOUBLE) AS hour,
@@ -423,13 +480,24 @@ def enriched_logs(spark, sf_dir):
 
 
 @query(WITH_LOGS + """, ordered AS (SELECT *, row_number() OVER (ORDER BY timestamp, log_id) - 1 AS position,
-    max(CAST(is_anomaly AS INTEGER)) OVER w AS sequence_label, count(*) OVER w AS steps,
-    last_value(log_id) OVER w AS last_id
-  FROM logs WINDOW w AS (ORDER BY timestamp, log_id ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))
-  SELECT position, log_id AS first_id, last_id, sequence_label, CAST(50 AS INTEGER) AS steps FROM ordered
-  WHERE steps = 50""")
+    CAST(round(value * 100) AS BIGINT) AS cents FROM logs), framed AS (
+  SELECT *, max(CAST(is_anomaly AS INTEGER)) OVER w AS sequence_label, count(*) OVER w AS steps,
+    last_value(log_id) OVER w AS last_id, sum(cents * position) OVER w AS moment, sum(cents) OVER w AS total,
+    sum(k * position) OVER w AS k_moment, sum(k) OVER w AS k_total
+  FROM ordered WINDOW w AS (ORDER BY timestamp, log_id ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))
+  SELECT position, log_id AS first_id, last_id, sequence_label, CAST(50 AS INTEGER) AS steps,
+    CAST(moment - (position - 1) * total AS BIGINT) AS value_checksum,
+    CAST(k_moment - (position - 1) * k_total AS BIGINT) AS k_checksum FROM framed WHERE steps = 50""")
 def sequences(spark, sf_dir):
-    return sequence.sequences(logs(spark, sf_dir), ["value"], 50).withColumn("steps", F.size("steps"))
+    """The steps go in as a sum that every step's place and value changes."""
+    rows = logs(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
+    found = sequence.sequences(rows, ["cents", "k"], 50)
+
+    def checksum(column):
+        places = F.transform("steps", lambda s, i: (i + 1) * s[column])
+        return F.aggregate(places, F.lit(0.0), lambda a, x: a + x).cast("long")
+
+    return found.withColumns({"value_checksum": checksum(0), "k_checksum": checksum(1), "steps": F.size("steps")})
 
 
 # --- scores -----------------------------------------------------------------------------------------------
@@ -444,6 +512,18 @@ def combined_scores(spark, sf_dir):
         "log_id", "if_score", "combined_score", "is_anomaly_predicted")
 
 
+@query(WITH_LOGS + """, two AS (SELECT log_id, CASE WHEN k >= 2 THEN least(value / 200.0, 1.0) END AS a,
+    CASE WHEN k % 3 > 0 THEN k / 100.0 END AS b FROM logs), mixed AS (SELECT log_id, CASE WHEN a IS NULL AND b IS NULL THEN 0.0
+    WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (3 * a + b) / 4 END AS c FROM two)
+  SELECT log_id, round(CAST(c AS DOUBLE), 6) AS combined_score, CAST(c > 0.3 AS INTEGER) AS is_anomaly_predicted FROM mixed""")
+def combined_two_models(spark, sf_dir):
+    rows = logs(spark, sf_dir).withColumns({
+        "if_score": F.when(F.col("k") >= 2, F.least(F.col("value") / 200.0, F.lit(1.0))),
+        "sequence_score": F.when(F.col("k") % 3 > 0, F.col("k") / 100.0)})
+    return scoring.combine_scores(rows, {"if_score": 3.0, "sequence_score": 1.0}, 0.3).select(
+        "log_id", "combined_score", "is_anomaly_predicted")
+
+
 @query(WITH_SCORED + """ SELECT log_id, timestamp, log_type, message, round(combined_score, 6) AS combined_score,
   is_anomaly_predicted, is_anomaly_actual FROM scored""")
 def result_table(spark, sf_dir):
@@ -769,6 +849,22 @@ def retention(spark, sf_dir):
     return results.retain(anomaly_table(spark, sf_dir), "detected_at", as_of(), 10).select("id", "log_id", "detected_at")
 
 
+@query(WITH_LOGS + """, daily AS (SELECT log_type, CAST(timestamp AS DATE) AS calculation_date, count(*) AS sample_size,
+    avg(value) AS stat_value FROM logs GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY calculation_date, log_type) AS id, log_type AS feature_name, calculation_date, sample_size,
+    round(stat_value, 6) AS stat_value FROM daily QUALIFY calculation_date >= DATE '2024-01-11'""")
+def statistics_retention(spark, sf_dir):
+    """Daily statistics appended to their table, then all but the last twenty days dropped."""
+    daily = logs(spark, sf_dir).groupBy("log_type", F.to_date("timestamp").alias("day")).agg(
+        F.count(F.lit(1)).alias("sample_size"), F.avg("value").alias("stat_value"))
+    rows = daily.withColumns({"feature_name": F.col("log_type"), "stat_type": F.lit("mean"), "calculation_date": F.col("day"),
+                              "created_at": F.col("day").cast("timestamp_ntz")})
+    table = results.append_rows(empty(spark, schemas.FEATURE_STATISTICS), rows, schemas.FEATURE_STATISTICS, "created_at",
+                                "feature_name")
+    return results.retain(table, "calculation_date", as_of(), 20).select(
+        "id", "feature_name", "calculation_date", "sample_size", "stat_value")
+
+
 @query(WITH_ANOMALIES + """, reviews AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'true_positive' WHEN id % 3 = 0
   THEN 'false_positive' END AS verdict FROM anomalies)
   SELECT model_name, count(*) FILTER (WHERE verdict = 'true_positive') AS true_positives,
@@ -898,6 +994,68 @@ def message_vectors(spark, sf_dir):
 
 # --- models -----------------------------------------------------------------------------------------------
 
+#: A small fixed forest over (k, value): node rows as the model stores them.
+_NODES = [
+    (0, 0, 0, 49.5, 1, 2, 0.0, 256), (0, 1, 1, 20.25, 3, 4, 0.0, 256), (0, 2, 1, 150.0, 5, 6, 0.0, 256),
+    (0, 3, 0, 0.0, 3, 3, 9.5, 256), (0, 4, 0, 0.0, 4, 4, 7.25, 256), (0, 5, 0, 0.0, 5, 5, 6.0, 256),
+    (0, 6, 0, 0.0, 6, 6, 2.5, 256), (1, 0, 1, 75.0, 1, 2, 0.0, 256), (1, 1, 0, 0.0, 1, 1, 8.0, 256),
+    (1, 2, 0, 89.0, 3, 4, 0.0, 256), (1, 3, 0, 0.0, 3, 3, 5.0, 256), (1, 4, 0, 0.0, 4, 4, 2.0, 256),
+]
+_OFFSET = -0.55
+
+
+def fixed_forest() -> forest.ForestModel:
+    columns = [pair.split()[0] for pair in forest.NODE_SCHEMA.split(",")]
+    scaler = scoring.Scaler(["k", "value"], [0.0, 0.0], [1.0, 1.0])
+    return forest.ForestModel(scaler, pd.DataFrame(_NODES, columns=columns), _OFFSET, -0.45, 0.25)
+
+
+WITH_PATHS = WITH_LOGS.replace("WITH", "WITH RECURSIVE", 1) + f""", nodes(tree, node, feature, threshold, l, r, path, sampled) AS (
+  VALUES {', '.join(map(str, _NODES))}), walk AS (SELECT log_id, k, value, tree, 0 AS node FROM logs, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL SELECT log_id, k, value, tree, CASE WHEN (CASE feature WHEN 0 THEN k ELSE value END) <= threshold THEN l ELSE r END
+  FROM walk JOIN nodes USING (tree, node) WHERE l <> r), raw AS (
+  SELECT log_id, -pow(2, -(sum(CAST(path AS DOUBLE)) / 2) / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256))
+    - ({_OFFSET}) AS decision FROM walk JOIN nodes USING (tree, node) WHERE l = r GROUP BY log_id), found AS (
+  SELECT log_id, decision, CAST(decision < 0 AS INTEGER) AS if_prediction,
+    1 - (decision - min(decision) OVER ()) / (max(decision) OVER () - min(decision) OVER ()) AS if_score FROM raw)"""
+
+
+@query(WITH_PATHS + """ SELECT log_id, round(decision, 6) AS if_decision, if_prediction, round(if_score, 6) AS if_score
+  FROM found""")
+def forest_paths(spark, sf_dir):
+    """All logs through a fixed forest."""
+    return forest.score_forest(logs(spark, sf_dir), fixed_forest()).select(
+        "log_id", "if_decision", "if_prediction", "if_score")
+
+
+@query(WITH_PATHS + """ SELECT count(*) AS total, count(*) FILTER (WHERE if_score > 0.5) AS anomalies,
+  round(count(*) FILTER (WHERE if_score > 0.5) * 100.0::DOUBLE / count(*), 6) AS anomaly_percent FROM found""")
+def scoring_run(spark, sf_dir):
+    """The scoring job from stored features to stored results, on a fixed forest."""
+    root = f"{ensure_checkpoint_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    sources.write_table(logs(spark, sf_dir), f"{root}/features")
+    return jobs.scoring_job(spark, f"{root}/features", fixed_forest(), f"{root}/scores", f"{root}/store", as_of())
+
+
+#: Sequences of three values against a fixed basis: what is left lies along (1, 1, -2).
+_STEP_MEANS, _STEP_SCALE = (0.25, 0.5, 0.25), 100.0
+
+
+@query(WITH_LOGS + f""", ordered AS (SELECT log_id AS first_id, row_number() OVER o - 1 AS position, value / {_STEP_SCALE} AS a,
+    lead(value) OVER o / {_STEP_SCALE} AS b, lead(value, 2) OVER o / {_STEP_SCALE} AS c, greatest(is_anomaly::INT,
+      lead(is_anomaly::INT) OVER o, lead(is_anomaly::INT, 2) OVER o) AS sequence_label
+  FROM logs WINDOW o AS (ORDER BY timestamp, log_id)), errors AS (
+  SELECT position, first_id, CAST(sequence_label AS INTEGER) AS sequence_label,
+    pow(a - 0.25 + b - 0.5 - 2 * (c - 0.25), 2) / 18 AS error FROM ordered WHERE c IS NOT NULL)
+  SELECT position, first_id, sequence_label, round(error, 6) AS error, CAST(error > 0.3 AS INTEGER) AS prediction,
+    round((error - min(error) OVER ()) / (max(error) OVER () - min(error) OVER () + 1e-8), 6) AS score FROM errors""")
+def sequence_errors_fixed(spark, sf_dir):
+    basis = np.array([[1, 1], [1, -1], [1, 0]]) / np.sqrt([3, 2])
+    scaler = scoring.Scaler(["value"], [0.0], [_STEP_SCALE])
+    model = sequence.SequenceModel(scaler, 3, np.array(_STEP_MEANS), basis, 0.3)
+    return sequence.score_sequences(logs(spark, sf_dir), model)
+
+
 @query()
 def forest_scores(spark, sf_dir):
     table = stored_features(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.plans.quantiles import exact_quantile
+
 
 def _cells(actual: str, predicted: str):
     a, p = F.col(actual).cast("int") == 1, F.col(predicted).cast("int") == 1
@@ -45,3 +47,14 @@ def holdout_split(df: DataFrame, share: float = 0.8, key: str = "log_id") -> tup
     """Training and test rows by hash of the key: the same rows in every run."""
     bucket = F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)
     return df.filter(bucket), df.filter(~bucket)
+
+
+def time_split(df: DataFrame, share: float = 0.8, time: str = "timestamp") -> tuple[DataFrame, DataFrame]:
+    """Rows up to the time that ``share`` of the rows do not exceed, and the rows after it, for series whose
+    neighbours belong together. Rows without a time count as early."""
+    moment = F.unix_micros(F.col(time).cast("timestamp"))
+    cut = exact_quantile(df.select(moment.alias("t")), "t", share, discrete=True).first()
+    if cut is None:
+        return df, df.limit(0)
+    late = F.coalesce(moment > F.lit(int(cut["quantile"])), F.lit(False))
+    return df.filter(~late), df.filter(late)

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.models.forest import ForestModel, fit_forest, save_forest, score_forest
+from logtide.models.forest import ForestModel, fit_forest, load_forest, save_forest, score_forest
 from logtide.models.sequence import SequenceModel, fit_sequences, save_sequences, score_sequences
 from logtide.operators.enrich import build_enriched
-from logtide.operators.evaluate import evaluate, metric_rows
+from logtide.operators.evaluate import evaluate, holdout_split, metric_rows, time_split
 from logtide.operators.features import build_features
-from logtide.operators.results import create_alerts, merge_anomalies, record_metrics, retain
+from logtide.operators.monitor import quality_warnings, require_quality
+from logtide.operators.reports import counts_by_flag
+from logtide.operators.results import (
+    append_daily_report, append_rows, create_alerts, merge_anomalies, record_metrics, retain,
+)
 from logtide.operators.scoring import anomaly_rows, combine_scores, result_columns, run_summary
-from logtide.operators.summary import hourly_summary
-from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, MODEL_PERFORMANCE
+from logtide.operators.summary import hourly_summary, top_windows
+from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
 from logtide.sources import store
-from logtide.sources.logs import read_logs, write_table
+from logtide.sources.logs import newest_model, read_logs, read_raw_logs, write_table
+
 
+def features_job(spark: SparkSession, logs_path: str, out_path: str, check: bool = True) -> DataFrame:
+    """Raw logs - flat, or with a JSON payload and times as text - to the stored feature table.
 
-def features_job(spark: SparkSession, logs_path: str, out_path: str) -> DataFrame:
-    """Raw logs to the stored feature table."""
-    write_table(build_features(read_logs(spark, logs_path)), out_path)
+    With ``check`` the quality rules come first: rows that break one raise before anything is written.
+    """
+    logs = read_raw_logs(spark, logs_path)
+    if check:
+        require_quality(logs)
+    write_table(build_features(logs), out_path)
     return read_logs(spark, out_path)
 
 
@@ -40,13 +52,24 @@ def scoring_job(spark: SparkSession, features_path: str, model: ForestModel, out
     return run_summary(read_logs(spark, out_path))
 
 
+@dataclass(frozen=True)
+class Enrichment:
+    """Results of the enrichment job; ``summary`` and ``top`` only for rows with a score."""
+
+    rows: DataFrame
+    bursts: DataFrame
+    summary: DataFrame | None
+    top: DataFrame | None
+
+
 def enrichment_job(spark: SparkSession, logs_path: str, out_path: str, score: str | None = None,
-                   flag: str = "is_anomaly_predicted") -> DataFrame:
-    """Raw logs to the stored enrichment, one folder per log type. Returns the hourly summary of the
-    stored rows when they carry a score column, else the stored rows."""
-    write_table(build_enriched(read_logs(spark, logs_path)), out_path, partition_by=["log_type"])
+                   flag: str = "is_anomaly_predicted", top: int = 10) -> Enrichment:
+    """Raw logs to the stored enrichment, one folder per log type, with burst counts, the hourly summary
+    and its highest windows, all read from the stored rows."""
+    write_table(build_enriched(read_raw_logs(spark, logs_path)), out_path, partition_by=["log_type"])
     enriched = read_logs(spark, out_path)
-    return hourly_summary(enriched, score, flag) if score else enriched
+    summary = hourly_summary(enriched, score, flag) if score else None
+    return Enrichment(enriched, counts_by_flag(enriched), summary, top_windows(summary, top) if score else None)
 
 
 def _store_metrics(spark: SparkSession, quality: DataFrame, name: str, store_root: str, date: Column | None) -> None:
@@ -56,29 +79,76 @@ def _store_metrics(spark: SparkSession, quality: DataFrame, name: str, store_roo
 
 
 def train_forest_job(spark: SparkSession, features_path: str, model_path: str, store_root: str,
-                     date: Column | None = None, **options) -> ForestModel:
-    """Fit and store the forest, and record its quality where the rows are labelled."""
+                     date: Column | None = None, share: float = 0.8, **options) -> ForestModel:
+    """Fit and store the forest on ``share`` of the rows, and record its quality on the others where labelled."""
     features = read_logs(spark, features_path)
-    model = fit_forest(features, **options)
+    training, test = holdout_split(features, share)
+    model = fit_forest(training, **options)
     save_forest(spark, model, model_path)
     if "is_anomaly" in features.columns:
-        scored = score_forest(features, model, relative_to_training=True)
+        scored = score_forest(test, model, relative_to_training=True)
         _store_metrics(spark, evaluate(scored, "is_anomaly", "if_prediction"), "isolation_forest", store_root, date)
     return model
 
 
 def train_sequences_job(spark: SparkSession, features_path: str, model_path: str, store_root: str,
-                        date: Column | None = None, **options) -> SequenceModel:
-    """Fit and store the sequence model, and record its quality where the rows are labelled."""
+                        date: Column | None = None, share: float = 0.8, **options) -> SequenceModel:
+    """Fit and store the sequence model on the earliest ``share`` of the rows, and record its quality on the later
+    ones where labelled."""
     features = read_logs(spark, features_path)
-    model = fit_sequences(features, **options)
+    training, test = time_split(features, share)
+    model = fit_sequences(training, **options)
     save_sequences(spark, model, model_path)
     if "is_anomaly" in features.columns:
-        scored = score_sequences(features, model)
+        scored = score_sequences(test, model)
         _store_metrics(spark, evaluate(scored, "sequence_label", "prediction"), "sequence_autoencoder", store_root, date)
     return model
 
 
+def newest_scoring_job(spark: SparkSession, features_path: str, models: str, out_path: str, store_root: str,
+                       now: Column | None = None) -> DataFrame:
+    """``scoring_job`` with the newest stored forest among the folders that match ``models``."""
+    return scoring_job(spark, features_path, load_forest(spark, newest_model(spark, models)), out_path, store_root, now)
+
+
+def monitoring_job(spark: SparkSession, store_root: str, as_of: Column, days: int = 7, floor: float = 0.7) -> DataFrame:
+    """Recent metrics under the floor; each becomes an open alert without an anomaly, once per model and day."""
+    performance = store.read_table(spark, store_root, "model_performance", MODEL_PERFORMANCE)
+    warnings = quality_warnings(performance, as_of, days, floor=floor)
+    alerts = store.read_table(spark, store_root, "alerts", ALERTS)
+    text = F.concat_ws(" ", "model_name", "metric_name", F.round("metric_value", 4).cast("string"), F.lit("on"),
+                       F.col("evaluation_date").cast("string"))
+    rows = warnings.select(
+        F.lit("high").alias("severity"), F.lit("model_quality").alias("alert_type"), text.alias("description"),
+        F.lit("open").alias("status"), as_of.cast("timestamp_ntz").alias("created_at")).distinct()
+    fresh = rows.join(alerts.select("alert_type", "description"), ["alert_type", "description"], "left_anti")
+    store.write_table(append_rows(alerts, fresh, ALERTS, "created_at", "description"), store_root, "alerts", ALERTS)
+    return warnings
+
+
+def daily_report_job(spark: SparkSession, store_root: str, date: str) -> DataFrame:
+    """Store the batch row of one day; returns all stored reports."""
+    anomalies = store.read_table(spark, store_root, "anomalies", ANOMALIES)
+    reports = store.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
+    store.write_table(append_daily_report(reports, anomalies, date), store_root, "logs_metadata", LOGS_METADATA)
+    return store.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
+
+
+def daily_job(spark: SparkSession, logs_path: str, work_path: str, models: str, store_root: str, date: str) -> DataFrame:
+    """One day's chain: quality gate, features, scoring with the newest model, warnings, report, retention.
+
+    Returns the stored reports. A failed gate raises before anything is written.
+    """
+    as_of = (F.to_date(F.lit(date)) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    features_job(spark, logs_path, f"{work_path}/features")
+    moment = F.to_date(F.lit(date)).cast("timestamp_ntz")
+    newest_scoring_job(spark, f"{work_path}/features", models, f"{work_path}/scores", store_root, moment)
+    monitoring_job(spark, store_root, as_of)
+    reports = daily_report_job(spark, store_root, date)
+    retention_job(spark, store_root, as_of)
+    return reports
+
+
 def retention_job(spark: SparkSession, store_root: str, as_of: Column, anomaly_days: int = 90,
                   statistics_days: int = 180) -> None:
     """Drop old anomalies and old feature statistics."""

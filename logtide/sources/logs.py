@@ -14,12 +14,22 @@ def read_logs(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.parquet(path)
 
 
-def read_latest_run(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of the run with the newest file among all runs that match ``pattern``.
+def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log records as they come in: times as text or timestamps, details as a JSON payload.
 
-    A run is a folder, or a single file that lies beside others. The choice looks at file listings
-    only; rows are then read from that run alone.
+    Payload fields become columns, unless the record has a column of that name already.
     """
+    rows = read_logs(spark, path)
+    if dict(rows.dtypes).get("timestamp") == "string":
+        rows = parse_timestamps(rows)
+    if "extra_data" in rows.columns:
+        fields = [f for f in LOG_PAYLOAD.fields if f.name not in rows.columns]
+        rows = flatten_payload(rows, "extra_data", T.StructType(fields))
+    return rows
+
+
+def newest_file(spark: SparkSession, pattern: str) -> str:
+    """Path of the newest Parquet file under ``pattern``, from file listings only."""
     newest = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
         .load(pattern).select("path", "modificationTime")
@@ -27,9 +37,24 @@ def read_latest_run(spark: SparkSession, pattern: str, schema: T.StructType | No
     )
     if newest is None:
         raise FileNotFoundError(f"no Parquet file in {pattern}")
-    folder, _, name = newest["path"].rpartition("/")
+    return newest["path"]
+
+
+def newest_model(spark: SparkSession, pattern: str) -> str:
+    """Folder of the newest stored model among those that match ``pattern``."""
+    return newest_file(spark, pattern).rsplit("/", 2)[0]  # a model's tables are folders in it
+
+
+def read_latest_run(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of the run with the newest file among all runs that match ``pattern``.
+
+    A run is a folder, or a single file that lies beside others. The choice looks at file listings
+    only; rows are then read from that run alone.
+    """
+    path = newest_file(spark, pattern)
+    folder, _, name = path.rpartition("/")
     if not name.startswith("part-"):
-        return read_logs(spark, newest["path"], schema)
+        return read_logs(spark, path, schema)
     while "=" in folder.rpartition("/")[2]:  # step out of partition folders
         folder = folder.rpartition("/")[0]
     return read_logs(spark, folder, schema)

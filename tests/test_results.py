@@ -184,7 +184,56 @@ def test_jobs_end_to_end(spark, small, tmp_path):
     assert alerts.count() == anomalies.filter("anomaly_score > 0.8").count()
 
     enriched = jobs.enrichment_job(spark, raw, str(tmp_path / "enriched"))
-    assert enriched.count() == 1000 and (tmp_path / "enriched" / "log_type=ERROR").is_dir()
+    assert enriched.rows.count() == 1000 and enriched.top is None
+    assert enriched.bursts.agg(F.sum("count")).first()[0] == 1000 and (tmp_path / "enriched" / "log_type=ERROR").is_dir()
     assert read_logs(spark, str(tmp_path / "enriched")).filter("log_type = 'ERROR'").count() > 0
     jobs.retention_job(spark, root, now() + F.expr("INTERVAL 91 DAYS"))
     assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0
+
+
+def test_daily_chain_from_raw_json_to_the_stored_report(spark, small, tmp_path):
+    root, raw, models = str(tmp_path / "store"), str(tmp_path / "raw"), str(tmp_path / "models")
+    payload = F.to_json(F.struct("status_code", "response_time_ms", "user_id"))
+    rows = catalog.logs(spark, small).select(
+        "log_id", F.col("timestamp").cast("string").alias("timestamp"), "log_level", "log_type", "message",
+        payload.alias("extra_data"), "is_anomaly")
+    rows.write.parquet(raw)
+    flat = jobs.read_raw_logs(spark, raw)
+    assert dict(flat.dtypes)["timestamp"] == "timestamp_ntz" and flat.filter("response_time_ms is not null").count() > 0
+    jobs.features_job(spark, raw, str(tmp_path / "first"))
+    for n, trees in ((1, 5), (2, 7)):
+        jobs.train_forest_job(spark, str(tmp_path / "first"), f"{models}/forest_{n}", root,
+                              F.to_date(F.lit("2024-01-30")), trees=trees)
+    assert forest.load_forest(spark, jobs.newest_model(spark, f"{models}/forest_*")).nodes["tree"].nunique() == 7
+    reports = jobs.daily_job(spark, raw, str(tmp_path / "work"), f"{models}/forest_*", root, "2024-01-31")
+    anomalies = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
+    assert [(r["id"], r["batch_id"], r["total_logs"]) for r in reports.collect()] == [(1, "2024-01-31", anomalies.count())]
+    weak = store.read_table(spark, root, "model_performance", schemas.MODEL_PERFORMANCE).filter(
+        "metric_name = 'f1_score' and metric_value < 0.7").select("model_name", "metric_value").distinct().count()
+    alerts = store.read_table(spark, root, "alerts", schemas.ALERTS)
+    assert alerts.filter("alert_type = 'model_quality'").count() == weak > 0
+    jobs.monitoring_job(spark, root, now())
+    assert store.read_table(spark, root, "alerts", schemas.ALERTS).count() == alerts.count()
+
+    rows.unionByName(rows.limit(1)).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="unique_log_id"):
+        jobs.daily_job(spark, str(tmp_path / "bad"), str(tmp_path / "none"), f"{models}/forest_*", root, "2024-02-01")
+    assert not (tmp_path / "none").exists()
+
+
+def test_enrichment_job_gives_bursts_and_top_windows(spark, small, tmp_path):
+    catalog.scored_logs(spark, small).drop("event_id", "value", "k").write.parquet(str(tmp_path / "raw"))
+    got = jobs.enrichment_job(spark, str(tmp_path / "raw"), str(tmp_path / "out"), "combined_score", top=3)
+    assert got.top.count() == 3 and got.summary.agg(F.sum("log_count")).first()[0] == 1000
+    best = got.summary.agg(F.max("max_anomaly_score")).first()[0]
+    assert got.top.first()["max_anomaly_score"] == best and got.bursts.count() == 1
+
+
+def test_time_split(spark):
+    from logtide.operators.evaluate import time_split
+
+    df = batch(spark, *[(f"k{i}", i, 0.5) for i in range(10)])
+    early, late = time_split(df, 0.7)
+    assert early.count() == 7 and late.count() == 3
+    assert early.agg(F.max("timestamp")).first()[0] < late.agg(F.min("timestamp")).first()[0]
+    assert time_split(df.limit(0))[0].count() == 0

@@ -1066,8 +1066,7 @@ def forest_scores(spark, sf_dir):
 
 @query()
 def sequence_errors(spark, sf_dir):
-    table = stored_features(spark, sf_dir)
-    return sequence.score_sequences(table, sequence.fit_sequences(table))
+    return sequence.fit_and_score_sequences(stored_features(spark, sf_dir))[1]
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:

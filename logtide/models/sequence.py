@@ -87,22 +87,39 @@ def _chunks(view: np.ndarray) -> Iterator[np.ndarray]:
         yield part.reshape(len(part), -1)
 
 
-def _moments(length: int):
-    def moments(group: pd.DataFrame) -> pd.DataFrame:
-        _, view = _windows(group, length)
-        if view is None:
-            return pd.DataFrame({"i": [], "j": [], "v": []}).astype({"i": "int32", "j": "int32", "v": "float64"})
-        size = view.shape[1] * view.shape[2]
-        gram, total = np.zeros((size, size)), np.zeros(size)
-        for flat in _chunks(view):
-            gram += flat.T @ flat
-            total += flat.sum(axis=0)
-        i, j = np.triu_indices(size)
-        return pd.DataFrame({
-            "i": np.concatenate([i, np.full(size, -1), [-1]]).astype("int32"),
-            "j": np.concatenate([j, np.arange(size), [-1]]).astype("int32"),
-            "v": np.concatenate([gram[i, j], total, [float(len(view))]]),
-        })
+def _whole_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slices out of batches of a partition that is sorted by slice; one slice and one batch are held."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for _, part in batch.groupby(["_key", "_slice"], sort=False):
+            if held and (held[0]["_key"].iloc[0], held[0]["_slice"].iloc[0]) != (
+                    part["_key"].iloc[0], part["_slice"].iloc[0]):
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _moments(length: int, size: int):
+    """Second moments of all sequences of a partition: one matrix per task, however many slices it reads."""
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, total, count = np.zeros((size, size)), np.zeros(size), 0
+        for group in _whole_slices(batches):
+            _, view = _windows(group, length)
+            if view is None:
+                continue
+            for flat in _chunks(view):
+                gram += flat.T @ flat
+                total += flat.sum(axis=0)
+            count += len(view)
+        if count:
+            i, j = np.triu_indices(size)
+            yield pd.DataFrame({
+                "i": np.concatenate([i, np.full(size, -1), [-1]]).astype("int32"),
+                "j": np.concatenate([j, np.arange(size), [-1]]).astype("int32"),
+                "v": np.concatenate([gram[i, j], total, [float(count)]]),
+            })
 
     return moments
 
@@ -138,11 +155,20 @@ def fit_sequences(df: DataFrame, features: list[str] | None = None, length: int
                   slice_rows: int = GROUP_ROWS) -> SequenceModel:
     """Fit on all sequences. Tasks add up second moments; only their sum, a square matrix of
     ``length * len(features)`` columns, reaches the driver for its eigenvectors."""
+    return fit_and_score_sequences(df, features, length, components, label, order, slice_rows)[0]
+
+
+def fit_and_score_sequences(
+        df: DataFrame, features: list[str] | None = None, length: int = 50, components: int = 64,
+        label: str = "is_anomaly", order: RowOrder = GLOBAL_ORDER,
+        slice_rows: int = GROUP_ROWS) -> tuple[SequenceModel, DataFrame]:
+    """The fitted model and its scores of the training rows, which share positions, slices and errors."""
     features = features or [c for c in SEQUENCE_FEATURES if c in df.columns]
     scaler = fit_scaler(df, features)
     slices = materialize(_slices(df, scaler, length, label, order, slice_rows))
     sums = (
-        slices.groupBy("_key", "_slice").applyInPandas(_moments(length), "i int, j int, v double")
+        slices.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice")
+        .mapInPandas(_moments(length, length * len(features)), "i int, j int, v double")
         .groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     )
     if sums.empty:
@@ -158,16 +184,20 @@ def fit_sequences(df: DataFrame, features: list[str] | None = None, length: int
     gram = gram + np.triu(gram, 1).T
     values, vectors = np.linalg.eigh(gram / count - np.outer(mean, mean))
     top = vectors[:, np.argsort(values)[::-1][:min(components, size)]]
-    errors = materialize(_score_slices(slices, length, mean, top).select("error"))
-    threshold = exact_quantile(errors, "error", 0.95, name="threshold").first()["threshold"]
-    return SequenceModel(scaler, length, mean, top, float(threshold))
+    scored = materialize(_score_slices(slices, length, mean, top))
+    threshold = exact_quantile(scored, "error", 0.95, name="threshold").first()["threshold"]
+    model = SequenceModel(scaler, length, mean, top, float(threshold))
+    return model, _flagged(scored, model)
 
 
 def score_sequences(df: DataFrame, model: SequenceModel, label: str = "is_anomaly",
                     order: RowOrder = GLOBAL_ORDER, slice_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per sequence: start position and row, label, ``error``, ``prediction``, ``score`` in 0…1."""
     slices = _slices(df, model.scaler, model.length, label, order, slice_rows)
-    scored = materialize(_score_slices(slices, model.length, model.mean, model.components))
+    return _flagged(materialize(_score_slices(slices, model.length, model.mean, model.components)), model)
+
+
+def _flagged(scored: DataFrame, model: SequenceModel) -> DataFrame:
     flagged = scored.withColumn("prediction", (F.col("error") > model.threshold).cast("int"))
     return min_max(flagged, "error", "score", epsilon=1e-8)
 

@@ -6,6 +6,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.plans.materialize import materialize
+
 #: Most rows a table may have to be broadcast, and most bytes of one row's strings, arrays and the like: 32 MB in all.
 BROADCAST_ROWS, ROW_BYTES = 50_000, 640
 
@@ -28,6 +30,12 @@ def fetch_bounded(df: DataFrame, limit: int = BROADCAST_ROWS, row_bytes: int = R
     return head.drop(["_fits"]) if open_ else head
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once: as a local table when it is small, else stored."""
+    head = fetch_bounded(df)
+    return materialize(df) if head is None else df.sparkSession.createDataFrame(head, schema=df.schema)
+
+
 def join_small(rows: DataFrame, small: DataFrame, on: str | list[str], how: str = "left",
                limit: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
     """Join ``rows`` with a table keyed by ``on``. With ``null_safe`` a null key is a key like any other.

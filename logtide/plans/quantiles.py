@@ -13,15 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.plans.bounded import join_small
-from logtide.plans.materialize import materialize
+from logtide.plans.bounded import join_small, settle
 
 #: Size of the proposing sketch; the first interval holds about 4 / ACCURACY of the rows.
 ACCURACY = 10_000
 #: Cells of the sketch inside an interval.
 CELLS = 100
 #: Rows of an interval that are sorted directly.
-DIRECT_ROWS = 20_000
+DIRECT_ROWS = 200_000
 
 _ID = ["_g", "_i", "_k"]
 
@@ -49,7 +48,7 @@ def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float], by: lis
     ).filter(F.col("_x").isNotNull()).withColumn("_v", F.when(F.isnan("_x"), float("inf")).otherwise(F.col("_x")))
     margin = 2.0 / accuracy
     around = [q for p in wanted.values() for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    groups = materialize(rows.groupBy("_g").agg(
+    groups = settle(rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.isnan("_x")).alias("_nan"),
         F.percentile_approx("_v", F.array(*map(F.lit, around)), accuracy).alias("_cuts"),
         *[F.first(k).alias(k) for k in keys]))
@@ -60,36 +59,35 @@ def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float], by: lis
                  for p in wanted.values()]
     else:
         ranks = [F.lit(p) * (F.col("_n") - 1) for p in wanted.values()]
-    nothing = F.lit(None).cast("double")
+    nothing, few = F.lit(None).cast("double"), F.col("_n") <= direct_rows
     asked = [F.struct(F.lit(i).alias("_i"), k.cast("long").alias("_k"), F.get("_cuts", F.lit(2 * i)).alias("_lo"),
                       F.get("_cuts", F.lit(2 * i + 1)).alias("_hi"))
              for i, r in enumerate(ranks) for k in (F.floor(r), F.ceil(r))]
-    state = groups.select("_g", F.inline(F.array_distinct(F.array(*asked)))).select(
-        *_ID, nothing.alias("_a"), nothing.alias("_b"), F.lit(0).cast("long").alias("_base"), "_lo", "_hi")
-    state, hits = materialize(_count(rows, state)), None
-    while True:
-        found = state.filter(F.col("_hit").isNotNull()).select(*_ID, "_hit")
-        hits = found if hits is None else hits.unionByName(found)
+    state = groups.select("_g", "_n", F.inline(F.array_distinct(F.array(*asked)))).select(
+        *_ID, nothing.alias("_a"), nothing.alias("_b"), F.lit(0).cast("long").alias("_base"), "_lo", "_hi", "_n")
+    hits = _pick(rows, state.filter(few))
+    many = state.filter(~few)
+    while not many.isEmpty():
+        state = settle(_count(rows, many))
+        hits = hits.unionByName(state.filter(F.col("_hit").isNotNull()).select(*_ID, "_hit"))
         open_ = state.filter(F.col("_hit").isNull())
-        few = open_.filter(F.col("_size") <= direct_rows)
-        hits = hits.unionByName(_pick(rows, few))
+        hits = hits.unionByName(_pick(rows, open_.filter(F.col("_size") <= direct_rows)))
         many = open_.filter(F.col("_size") > direct_rows)
-        if many.isEmpty():
-            break
-        state = materialize(_count(rows, _propose(rows, many)))
-    hits = hits.join(groups.select("_g", "_n", "_nan"), "_g").select(*_ID, F.when(
-        (F.col("_hit") == float("inf")) & (F.col("_k") >= F.col("_n") - F.col("_nan")), float("nan")
-    ).otherwise(F.col("_hit")).alias("_hit"))
+        many = many if many.isEmpty() else _propose(rows, many)
     ends = hits.groupBy("_g").agg(*[
         f(F.when(F.col("_i") == i, F.struct("_k", "_hit"))).alias(f"{end}{i}")
         for i in range(len(wanted)) for f, end in ((F.min, "_low"), (F.max, "_high"))])
-    done = groups.join(ends, "_g")
+    done = join_small(ends, groups, "_g", "inner")
     return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)],
                        *[_between(i, r).alias(name) for i, (r, name) in enumerate(zip(ranks, wanted))])
 
 
 def _between(i: int, rank: Column) -> Column:
-    low, high = F.col(f"_low{i}")["_hit"], F.col(f"_high{i}")["_hit"]
+    def end(of: Column) -> Column:  # the last places of a group are its NaN values
+        nan = (of["_hit"] == float("inf")) & (of["_k"] >= F.col("_n") - F.col("_nan"))
+        return F.when(nan, float("nan")).otherwise(of["_hit"])
+
+    low, high = end(F.col(f"_low{i}")), end(F.col(f"_high{i}"))
     share = rank - F.floor(rank)
     return F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share)
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 from string import ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
@@ -70,8 +72,15 @@ def _runs(text: str, least: int) -> list[tuple[int, int]]:
 
 
 def _outside(runs, spans):
-    """Runs that touch none of the spans."""
-    return [r for r in runs if all(r[1] <= s or r[0] >= e for s, e, _ in spans)]
+    """Runs that touch none of the spans, which are sorted by start."""
+    starts = [s for s, _, _ in spans]
+    reach = list(accumulate((e for _, e, _ in spans), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)  # spans that begin ahead of the run's end
+        return before == 0 or reach[before - 1] <= start
+
+    return [r for r in runs if free(*r)]
 
 
 @dataclass

@@ -32,8 +32,8 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     rows = stored_keys(_sized(docs))
     placed, _, total = numbered(rows, ["doc_id", "_hash", "_row"], "size")
-    middle = (2 * F.col("_before") + F.col("size")).cast("decimal(38,0)")
-    shard = F.floor(middle * shards / F.lit(2 * max(total, 1)).cast("decimal(20,0)")).cast("int")
+    middle = "cast(2 * _before + size as decimal(38,0))"  # twice the middle byte; products go beyond 64 bits
+    shard = F.expr(f"cast(({middle} * {shards}) div {2 * max(total, 1)} as int)")
     placed = placed.withColumn("shard", F.least(shard, F.lit(shards - 1)))
     first = placed.groupBy("shard").agg(F.min("_position").alias("_first"))  # at most one row per shard
     placed = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_position") - F.col("_first"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.functions.logs import severity
+from logtide.plans.bounded import BROADCAST_ROWS
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, with_position
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
@@ -35,8 +36,12 @@ def assign_ids(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataF
 
 
 def number_rows(rows: DataFrame, stored: DataFrame, time: str, tie: str) -> DataFrame:
-    """``assign_ids`` for rows that are stored already."""
+    """``assign_ids`` for rows that are stored already. A batch of at most ``BROADCAST_ROWS`` is numbered in one
+    task; the numbers are the same either way."""
     last = F.coalesce(stored.agg(F.max("id").alias("last")).scalar(), F.lit(0))
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        place = F.row_number().over(Window.orderBy(time, tie))
+        return rows.withColumn("id", (place + last).cast("long"))
     return (
         with_position(rows, RowOrder(None, time, tie))
         .withColumn("id", (F.col("_pos") + 1 + last).cast("long"))

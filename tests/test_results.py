@@ -59,6 +59,14 @@ def test_many_copies_of_one_key_and_one_detection_time(spark):
     assert sorted(r["id"] for r in got.select("id").collect()) == list(range(1, 202))
 
 
+def test_ids_are_the_same_for_a_batch_beyond_one_task(spark, monkeypatch):
+    items = batch(spark, *[(f"k{i:03d}", i % 4, i / 1000) for i in range(200)])
+    small = results.assign_ids(items, empty(spark), "timestamp", "log_id").select("log_id", "id")
+    monkeypatch.setattr(results, "BROADCAST_ROWS", 10)
+    large = results.assign_ids(items, empty(spark), "timestamp", "log_id").select("log_id", "id")
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path)
     assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0

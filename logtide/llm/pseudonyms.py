@@ -37,8 +37,8 @@ _NUMBERS = (
     r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     r"[0-9]{13,19}",
 )
-#: All candidates; a number neither follows nor precedes a letter or digit.
-CANDIDATE = rf"{_EMAIL}|(?<![0-9A-Za-z+.-])(?:{'|'.join(_NUMBERS)})(?![0-9A-Za-z])"
+#: All candidates; a number neither follows nor precedes a letter or digit, nor goes on from one before a sign.
+CANDIDATE = rf"{_EMAIL}|(?<![0-9A-Za-z])(?<![0-9][.+-])(?:{'|'.join(_NUMBERS)})(?![0-9A-Za-z])"
 
 #: Days from 1800 to 2199: 400 years, 189 * 773 days.
 _FIRST_DAY, _DAYS = "1800-01-01", (189, 773)

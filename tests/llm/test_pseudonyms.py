@@ -129,6 +129,13 @@ def test_rounds_run_backwards_and_keep_formats(spark, table):
     assert all(len(t) == len(TEXTS[r]) for r, t in enumerate(TEXTS))
 
 
+@pytest.mark.parametrize("before", ["", "no.", "-", "(", "tel:", "é", "x="])
+@pytest.mark.parametrize("value", ["4111111111111111", "10.0.0.1", "+1 (017) 555-7713", "2020-02-29"])
+def test_what_stands_before_a_value(spark, table, before, value):
+    row = pseudonyms.pseudonymise(table([(1, before + value + ".")], 1), "k").first()
+    assert len(row["entities"]) == 1 and value not in row["text"] and row["text"].startswith(before)
+
+
 @pytest.mark.parametrize("text", [
     "4111111111111112", "256.1.1.1", "1.2.3.4.5", "000-45-6789", "666-12-1234", "912-12-1234", "2021-02-29", "1799-12-31",
     "DE89 3704 0044 0532 0130 01", "12345", "v1.2.3", "cb1a9fee807a05366fcb8b6c95c7c565ede51a72", "a@b", "@", "x1234567890123y"])

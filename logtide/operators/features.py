@@ -123,14 +123,16 @@ def select_existing(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[s
     return df.select(*[c for c in wanted if c in df.columns]), missing
 
 
-def build_features(logs: DataFrame, slice_rows: int | None = None, **position_options) -> DataFrame:
-    """The whole feature table.
+def build_features(logs: DataFrame, slice_rows: int | None = None, statistics: DataFrame | None = None,
+                   **position_options) -> DataFrame:
+    """The whole feature table. ``statistics`` are those of the rows themselves, unless ``type_statistics`` of
+    others - say, of the rows a model was trained on - are given.
 
     The rows are shuffled twice: by (log type, second) to receive the rolling values and their
     position, and by slice for the lags. Everything else is a projection or a checked broadcast.
     """
     rows = temporal_features(logs).withColumn("log_level_encoded", fn.level_code(F.col("log_level")))
-    rows = _add_statistical(join_small(rows, type_statistics(logs), "log_type"))
+    rows = _add_statistical(join_small(rows, type_statistics(logs) if statistics is None else statistics, "log_type"))
     rows, _ = select_existing(rows, FEATURE_TABLE + FEATURE_TABLE_EXTRA)
     cells = materialize(rolling_cells(logs))
     positioned = with_position(rows, LOG_ORDER, cells=cells, **position_options)

@@ -45,11 +45,16 @@ def scoring_job(spark: SparkSession, features_path: str, model: ForestModel, out
     scored = combine_scores(score_forest(read_logs(spark, features_path), model), threshold=threshold)
     write_table(result_columns(scored), out_path)
     merge_anomalies(spark, store_root, anomaly_rows(scored), now)
+    alert_new(spark, store_root)
+    return run_summary(read_logs(spark, out_path))
+
+
+def alert_new(spark: SparkSession, store_root: str) -> None:
+    """Open an alert for every stored anomaly of high score that has none."""
     merged = store.read_table(spark, store_root, "anomalies", ANOMALIES)
     alerts = store.read_table(spark, store_root, "alerts", ALERTS)
     unalerted = merged.join(alerts.select(F.col("anomaly_id").alias("id")), "id", "left_anti")
     store.write_table(create_alerts(alerts, unalerted), store_root, "alerts", ALERTS)
-    return run_summary(read_logs(spark, out_path))
 
 
 @dataclass(frozen=True)

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders written by this process, by application; removed by ``forget`` and at exit.
 _written: dict[str, list[str]] = {}
+_scopes = threading.local()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -54,14 +58,31 @@ def materialize(df: DataFrame) -> DataFrame:
     _written[application].append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(stored)
     return stored
 
 
 def release(stored: DataFrame) -> None:
     """Remove a table that ``materialize`` gave, once nothing reads it any more."""
     path, spark = stored._stored_at, stored.sparkSession
-    _remove(spark, path)
-    _written[spark.sparkContext.applicationId].remove(path)
+    known = _written.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        _remove(spark, path)
+        known.remove(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the tables that this thread stores within, once it is left: nothing lazy may come out of it."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for stored in _scopes.open.pop():
+            release(stored)
 
 
 def forget(spark: SparkSession) -> None:

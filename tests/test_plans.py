@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logtide.catalog import logs
 from logtide.plans.bounded import join_small
-from logtide.plans.materialize import ensure_checkpoint_dir
+from logtide.plans.materialize import ensure_checkpoint_dir, materialize, release, scratch
 from logtide.plans.ordering import RowOrder, slice_window, with_position, with_slices
 from logtide.plans.quantiles import exact_quantile, exact_quantiles
 from logtide.plans.trailing import Trailing, over_trailing, per_second
@@ -184,3 +184,19 @@ def test_join_small_gives_the_same_rows_beyond_its_limit(spark):
 
 def test_checkpoint_dir_is_taken_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_stored_tables_are_removed(spark):
+    from pathlib import Path
+
+    def there(df):
+        return Path(df._stored_at.removeprefix("file:")).exists()
+
+    kept = materialize(spark.range(3))
+    with scratch():
+        inner = materialize(spark.range(4))
+        assert there(inner) and inner.count() == 4
+    assert there(kept) and not there(inner)
+    release(kept)
+    assert not there(kept)
+    release(kept)

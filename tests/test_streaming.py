@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logtide import catalog, schemas
 from logtide.models.forest import fit_forest, score_forest
 from logtide.operators import summary
-from logtide.operators.features import build_features
+from logtide.operators.features import build_features, type_statistics
 from logtide.operators.scoring import combine_scores, predicted_anomalies
 from logtide.sources import store
 from logtide.streaming import jobs
@@ -85,3 +85,23 @@ def test_stream_scoring_merges_batches(spark, small, source, tmp_path):
     want = predicted_anomalies(combine_scores(score_forest(table, model, relative_to_training=True)))
     assert {r["log_id"] for r in got.collect()} == {r["log_id"] for r in want.collect()}
     assert got.count() == want.count() > 0
+
+
+def test_raw_stream_finds_what_one_batch_over_all_rows_finds(spark, small, source, tmp_path):
+    logs = catalog.logs(spark, small).drop("event_id", "value", "k")
+    statistics = type_statistics(logs)
+    table = build_features(logs)
+    table.write.parquet(str(tmp_path / "features"))
+    table = spark.read.parquet(str(tmp_path / "features"))
+    model = fit_forest(table, trees=10)
+    parts = [logs.filter("timestamp < '2024-01-10'"),
+             logs.filter("timestamp >= '2024-01-10' and timestamp < '2024-01-20'"), logs.filter("timestamp >= '2024-01-20'")]
+    query = jobs.score_raw_stream(source(*parts), model, statistics, str(tmp_path / "kept"), str(tmp_path / "store"),
+                                  str(tmp_path / "cp"), history="INTERVAL 40 DAYS")
+    query.awaitTermination(240)
+    got = store.read_table(spark, str(tmp_path / "store"), "anomalies", schemas.ANOMALIES)
+    want = predicted_anomalies(combine_scores(score_forest(table, model, relative_to_training=True)))
+    assert {(r["log_id"], round(r["anomaly_score"], 9)) for r in got.collect()} == {
+        (r["log_id"], round(r["combined_score"], 9)) for r in want.collect()}
+    alerts = store.read_table(spark, str(tmp_path / "store"), "alerts", schemas.ALERTS)
+    assert alerts.count() == got.filter("anomaly_score > 0.8").count()

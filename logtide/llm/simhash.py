@@ -234,6 +234,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) ->
     """
     marked = _marked(docs.select("doc_id", "text", row_hash(docs).alias("_hash")), shingle, radius, BUCKET,
                      ("doc_id", "_hash"))
+    return keep_named(docs, marked)
+
+
+def keep_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``marked`` (doc_id, _hash, _root, component_id)."""
     named = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = named.groupBy("_root", "doc_id", "_hash").agg(F.count(F.lit(1)).alias("_copies"))
     first = rows.groupBy("_root").agg(F.min(F.struct("_hash", "doc_id", "_copies")).alias("first"))

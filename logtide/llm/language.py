@@ -169,11 +169,15 @@ def _shorter(gram: bytes, bits: dict, leave: dict) -> float:
 
 def fit(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE,
         most: int = MOST_GRAMS) -> ContextTrees:
-    """Model of the languages of ``docs`` (lang, text), from about ``docs_per_language`` documents of each."""
+    """Model of the languages of ``docs`` (lang, text), from about ``docs_per_language`` texts of each.
+
+    The share drawn is of a language's distinct texts, and each drawn text counts once, however many copies it has.
+    """
     rows = docs.filter("lang is not null and text is not null").select(
         F.col("lang").alias("lang"), "text", F.xxhash64("text").alias("_hash"))
-    shares = rows.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("_share"))
-    rows = join_small(rows, shares, "lang").filter(drawn(F.col("_share"), "_hash"))
+    texts = rows.select("lang", "_hash").distinct()
+    shares = texts.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("_share"))
+    rows = join_small(rows, shares, "lang").filter(drawn(F.col("_share"), "_hash")).dropDuplicates(["lang", "_hash"])
     grams = count_grams(rows, order)
     top = grams.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).select("gram")
     counts: dict[str, dict[bytes, int]] = defaultdict(dict)

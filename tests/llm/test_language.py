@@ -91,3 +91,13 @@ def test_odd_rows(spark, table):
     assert language.learn_and_predict(df.limit(0)).count() == 0
     nothing = language.learn_and_predict(table([(1, "abc"), (2, "abd")])).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_copies_do_not_displace_other_texts(spark, table):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(["ab", "cad", "bee", "dae", "fab"], k=12)), "en", None) for k in range(50)]
+    copies = [(100 + k, "zz yy zz", "en", None) for k in range(600)]
+    once = language.fit(table(rows + copies[:1]), docs_per_language=60)
+    often = language.fit(table(rows + copies), docs_per_language=60)
+    assert np.array_equal(once.cost, often.cost) and np.array_equal(once.escape, often.escape)
+    assert once.symbol[ord("z")] and once.symbol[ord("f")]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import (
-    exact_dedup, language, line_quality, merkle, mixing, pieces, pseudonyms, secret_scan, sharding, simhash,
+    exact_dedup, language, line_quality, merkle, mixing, pieces, pseudonyms, runs, secret_scan, sharding, simhash, toxicity,
 )
+from logtide.llm.rows import words_of
 from logtide.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +121,37 @@ def op9_quality(spark, sf_dir):
     scored = line_quality.score_documents(docs.select("doc_id", "text"), field)
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def repeated_tail(docs: DataFrame) -> DataFrame:
+    """``docs`` where a tenth of the texts, by crc32 of the id, repeats some words from a place on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, g = F.col("_words"), F.floor(h / 10)
+    n = F.size(words).cast("long")
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    source = lambda i: F.when(i < start, i).otherwise(start + F.pmod(i - start, period)).cast("int")
+    edited = F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, source(i))))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    docs = docs.withColumn("_words", F.when(chosen, words_of(F.col("text"))))
+    return docs.withColumn("text", F.when(chosen & (n > 0), edited).otherwise(F.col("text"))).drop("_words")
+
+
+@query()
+def op11_periodic_runs(spark, sf_dir):
+    found = runs.add_runs(repeated_tail(documents(spark, sf_dir).select("doc_id", "text")))
+    best = F.col("longest_run")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        "runs_sha256", exact_dedup.sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query()
+def op13_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.learning_labels(labels(spark, sf_dir)))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))

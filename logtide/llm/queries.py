@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import (
-    exact_dedup, language, line_quality, merkle, mixing, pieces, pseudonyms, runs, secret_scan, sharding, simhash, toxicity,
+    exact_dedup, hard_negatives, language, line_quality, merkle, mixing, pieces, pseudonyms, runs, secret_scan, sharding, simhash,
+    toxicity,
 )
 from logtide.llm.rows import words_of
 from logtide.llm.samples import fold
@@ -155,3 +156,28 @@ def op13_toxicity(spark, sf_dir):
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("""WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike,
+      CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+  p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+  n AS (
+    SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+      row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS place
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike
+      AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+  SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+  FROM n WHERE place <= 3""")
+def op12_hard_negatives(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepare(table, label, hard_negatives.quantised("embedding", 256),
+                                  hard_negatives.finite("embedding"), F.col("vec_id") % 50 == 0)
+    return hard_negatives.hard_negatives(rows)

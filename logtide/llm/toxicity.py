@@ -13,7 +13,7 @@ were grown without the text's fold, so neither sees the label that it predicts.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ LEAST_TEXTS, TIERS = 3, (2.0, 3.0, 4.5)
 #: Words between a lexicon word and one of the second person that count as close.
 NEAR = 5
 TREES, DEPTH, RATE, BINS, PENALTY, LEAST_WEIGHT = 150, 3, 0.1, 64, 1.0, 1.0
-#: Words that a worker remembers; then it starts afresh.
-_REMEMBERED = 400_000
 
 # Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset("""you your yours yourself yourselves u ur ya du dich dir dein deine deinen deinem deiner
@@ -53,7 +51,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|[^\W\d_]_+[^\W\d_]")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 # columns of a word's own row
-_STRENGTH, _SECOND, _HIDDEN, _HIDDEN_HIT, _STRETCH, _STRONG = range(6)
+_STRENGTH, _SECOND, _HIDDEN, _HIDDEN_HIT, _STRETCH = range(5)
 
 
 def stems(word: str) -> list[str]:
@@ -75,53 +73,65 @@ class Lexicon:
     """Entry -> log-odds."""
 
     strength: dict[str, float]
-    known: dict[str, int] = field(default_factory=dict)
-    rows: list[list[float]] = field(default_factory=list)
 
-    def __getstate__(self):
-        return {"strength": self.strength, "known": {}, "rows": []}
+    def __post_init__(self):
+        self.starts = {e.rstrip("~")[:3] for e in self.strength} | {w[:3] for w in SECOND_PERSON}
 
     def of(self, word: str) -> float:
+        if word[:3] not in self.starts:
+            return 0.0
         return max(self.strength.get(s, 0.0) for s in stems(word))
 
     def describe(self, token: str) -> list[float]:
-        forms, hides = plain_forms(token)
+        """Strength, second person, hidden, hidden and in the lexicon, stretched."""
+        forms, hides = ([token], False) if token.isalpha() else plain_forms(token)
         each = [self.of(w) for w in forms]
         best = max(each, default=0.0)
         return [best, any(w in SECOND_PERSON for w in forms), hides, hides and best > 0 and each[-1] == best,
-                _STRETCHED.search(token) is not None, best >= TIERS[2]]
-
-    def table(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each token and the row of each number."""
-        if len(self.known) > _REMEMBERED:
-            self.known, self.rows = {}, []
-        known, rows = self.known, self.rows
-        for t in set(tokens).difference(known):
-            known[t] = len(rows)
-            rows.append(self.describe(t))
-        codes = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        different, inverse = np.unique(codes, return_inverse=True)
-        return inverse, np.array([rows[k] for k in different.tolist()], float).reshape(-1, 6)
+                _STRETCHED.search(token) is not None]
+
+    def mark(self, tokens: list[str], stretched: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the tokens that have any of the signs, the number of each one's word, and the words' rows."""
+        starts = self.starts
+        asked = [t for t in set(tokens) if t[:3] in starts or not t.isalpha()]
+        if stretched:
+            asked = list({*asked, *filter(_STRETCHED.search, set(tokens))})
+        known: dict[str, int] = {}
+        rows = []
+        for t in asked:
+            bare = t.strip(".,;:!?")
+            if bare.isalpha() and not stretched and bare[:3] not in starts:
+                continue
+            row = self.describe(bare if bare.isalpha() else t)
+            if any(row):
+                known[t] = len(rows)
+                rows.append(row)
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 5))
+        found = [(k, known[t]) for k, t in enumerate(tokens) if t in known]
+        at, code = np.array(found).T
+        return at, code, np.array(rows, float)
 
 
 def text_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """The ``FEATURES`` of a text; all zero without words."""
     out = np.zeros(len(FEATURES))
-    tokens = (text or "").lower().split()
+    low = (text or "").lower()
+    tokens = low.split()
     if not tokens:
         return out
     data, n = text.encode(), len(tokens)
-    codes, rows = lexicon.table(tokens)
-    strength = rows[:, _STRENGTH]
-    own = strength[codes]
-    hits = np.flatnonzero(own >= TIERS[1])
-    second = np.flatnonzero(rows[codes, _SECOND])
+    marked, codes, rows = lexicon.mark(tokens, _STRETCHED.search(low) is not None)
+    each = rows[codes]
+    strength, second = each[:, _STRENGTH], marked[each[:, _SECOND] > 0]
+    hits = marked[strength >= TIERS[1]]
     out[0] = np.log1p(n)
-    out[1:4] = [(own >= t).mean() for t in TIERS]
-    out[4] = np.log1p((own >= TIERS[2]).sum())
-    out[5] = np.log1p((strength >= TIERS[1]).sum())
-    out[6] = np.log1p(strength[strength >= TIERS[0]].sum())
-    out[7] = own.max()
+    out[1:4] = [(strength >= t).sum() / n for t in TIERS]
+    out[4] = np.log1p((strength >= TIERS[2]).sum())
+    different = rows[:, _STRENGTH]
+    out[5] = np.log1p((different >= TIERS[1]).sum())
+    out[6] = np.log1p(different[different >= TIERS[0]].sum())
+    out[7] = strength.max(initial=0)
     out[8] = len(second) / n
     if len(hits) and len(second):
         at = np.searchsorted(second, hits)
@@ -135,9 +145,8 @@ def text_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     out[14] = data.count(b"?") / n
     out[15] = (size - len(data.translate(None, _MARKS))) / size
     out[16] = (size - len(data.translate(None, _DIGITS))) / size
-    each = rows[codes]
-    out[17], out[18], out[19] = each[:, _HIDDEN].mean(), each[:, _HIDDEN_HIT].sum() / n, each[:, _STRETCH].mean()
-    out[20] = (codes[1:] == codes[:-1]).mean() if n > 1 else 0
+    out[17:20] = each[:, [_HIDDEN, _HIDDEN_HIT, _STRETCH]].sum(axis=0) / n
+    out[20] = sum(map(str.__eq__, tokens, tokens[1:])) / n
     return out
 
 

@@ -515,7 +515,8 @@ def combined_scores(spark, sf_dir):
 @query(WITH_LOGS + """, two AS (SELECT log_id, CASE WHEN k >= 2 THEN least(value / 200.0, 1.0) END AS a,
     CASE WHEN k % 3 > 0 THEN k / 100.0 END AS b FROM logs), mixed AS (SELECT log_id, CASE WHEN a IS NULL AND b IS NULL THEN 0.0
     WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (3 * a + b) / 4 END AS c FROM two)
-  SELECT log_id, round(CAST(c AS DOUBLE), 6) AS combined_score, CAST(c > 0.3 AS INTEGER) AS is_anomaly_predicted FROM mixed""")
+  SELECT log_id, round(CAST(c AS DOUBLE), 9) AS combined_score, CAST(c > 0.3 AS INTEGER) AS is_anomaly_predicted FROM mixed""",
+       digits=9)
 def combined_two_models(spark, sf_dir):
     rows = logs(spark, sf_dir).withColumns({
         "if_score": F.when(F.col("k") >= 2, F.least(F.col("value") / 200.0, F.lit(1.0))),
@@ -1047,8 +1048,8 @@ _STEP_MEANS, _STEP_SCALE = (0.25, 0.5, 0.25), 100.0
   FROM logs WINDOW o AS (ORDER BY timestamp, log_id)), errors AS (
   SELECT position, first_id, CAST(sequence_label AS INTEGER) AS sequence_label,
     pow(a - 0.25 + b - 0.5 - 2 * (c - 0.25), 2) / 18 AS error FROM ordered WHERE c IS NOT NULL)
-  SELECT position, first_id, sequence_label, round(error, 6) AS error, CAST(error > 0.3 AS INTEGER) AS prediction,
-    round((error - min(error) OVER ()) / (max(error) OVER () - min(error) OVER () + 1e-8), 6) AS score FROM errors""")
+  SELECT position, first_id, sequence_label, round(error, 9) AS error, CAST(error > 0.3 AS INTEGER) AS prediction,
+    round((error - min(error) OVER ()) / (max(error) OVER () - min(error) OVER () + 1e-8), 9) AS score FROM errors""", digits=9)
 def sequence_errors_fixed(spark, sf_dir):
     basis = np.array([[1, 1], [1, -1], [1, 0]]) / np.sqrt([3, 2])
     scaler = scoring.Scaler(["value"], [0.0], [_STEP_SCALE])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,14 @@ from logtide.operators.features import build_features
 from logtide.operators.monitor import quality_warnings, require_quality
 from logtide.operators.reports import counts_by_flag
 from logtide.operators.results import (
-    append_daily_report, append_rows, create_alerts, merge_anomalies, record_metrics, retain,
+    conform, merge_anomalies, new_rows, open_alerts, performance_rows, report_rows, retain, with_day_ids,
 )
 from logtide.operators.scoring import anomaly_rows, combine_scores, result_columns, run_summary
 from logtide.operators.summary import hourly_summary, top_windows
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
-from logtide.sources import store
+from logtide.plans.bounded import settle
+from logtide.plans.materialize import materialize
+from logtide.sources import tables
 from logtide.sources.logs import newest_model, read_logs, read_raw_logs, write_table
 
 
@@ -44,19 +47,11 @@ def scoring_job(spark: SparkSession, features_path: str, model: ForestModel, out
     """
     scored = combine_scores(score_forest(read_logs(spark, features_path), model), threshold=threshold)
     write_table(result_columns(scored), out_path)
-    merge_anomalies(spark, store_root, anomaly_rows(scored), now)
-    alert_new(spark, store_root)
+    found = merge_anomalies(spark, store_root, anomaly_rows(scored), now)
+    open_alerts(spark, store_root, found)
     return run_summary(read_logs(spark, out_path))
 
 
-def alert_new(spark: SparkSession, store_root: str) -> None:
-    """Open an alert for every stored anomaly of high score that has none."""
-    merged = store.read_table(spark, store_root, "anomalies", ANOMALIES)
-    alerts = store.read_table(spark, store_root, "alerts", ALERTS)
-    unalerted = merged.join(alerts.select(F.col("anomaly_id").alias("id")), "id", "left_anti")
-    store.write_table(create_alerts(alerts, unalerted), store_root, "alerts", ALERTS)
-
-
 @dataclass(frozen=True)
 class Enrichment:
     """Results of the enrichment job; ``summary`` and ``top`` only for rows with a score."""
@@ -78,9 +73,10 @@ def enrichment_job(spark: SparkSession, logs_path: str, out_path: str, score: st
 
 
 def _store_metrics(spark: SparkSession, quality: DataFrame, name: str, store_root: str, date: Column | None) -> None:
-    stored = store.read_table(spark, store_root, "model_performance", MODEL_PERFORMANCE)
-    rows = record_metrics(stored, metric_rows(quality), name, "v1.0", date)
-    store.write_table(rows, store_root, "model_performance", MODEL_PERFORMANCE)
+    stored = tables.read_table(spark, store_root, "model_performance", MODEL_PERFORMANCE)
+    rows = performance_rows(metric_rows(quality), name, "v1.0", date)
+    tables.append_table(new_rows(stored, rows, MODEL_PERFORMANCE, "created_at", "metric_name"), store_root,
+                        "model_performance", MODEL_PERFORMANCE, "created_at")
 
 
 def train_forest_job(spark: SparkSession, features_path: str, model_path: str, store_root: str,
@@ -118,29 +114,34 @@ def newest_scoring_job(spark: SparkSession, features_path: str, models: str, out
 
 def monitoring_job(spark: SparkSession, store_root: str, as_of: Column, days: int = 7, floor: float = 0.7) -> DataFrame:
     """Recent metrics under the floor; each becomes an open alert without an anomaly, once per model and day."""
-    performance = store.read_table(spark, store_root, "model_performance", MODEL_PERFORMANCE)
+    performance = tables.read_table(spark, store_root, "model_performance", MODEL_PERFORMANCE)
     warnings = quality_warnings(performance, as_of, days, floor=floor)
-    alerts = store.read_table(spark, store_root, "alerts", ALERTS)
+    alerts = tables.read_table(spark, store_root, "alerts", ALERTS)
     text = F.concat_ws(" ", "model_name", "metric_name", F.round("metric_value", 4).cast("string"), F.lit("on"),
                        F.col("evaluation_date").cast("string"))
     rows = warnings.select(
         F.lit("high").alias("severity"), F.lit("model_quality").alias("alert_type"), text.alias("description"),
         F.lit("open").alias("status"), as_of.cast("timestamp_ntz").alias("created_at")).distinct()
     fresh = rows.join(alerts.select("alert_type", "description"), ["alert_type", "description"], "left_anti")
-    store.write_table(append_rows(alerts, fresh, ALERTS, "created_at", "description"), store_root, "alerts", ALERTS)
+    fresh = settle(fresh)
+    if not fresh.isEmpty():
+        small = not hasattr(fresh, "_stored_at")
+        added = with_day_ids(fresh, spark, store_root, "alerts", ALERTS, "created_at", "description", small)
+        tables.append_table(materialize(conform(added, ALERTS)), store_root, "alerts", ALERTS, "created_at")
     return warnings
 
 
 def daily_report_job(spark: SparkSession, store_root: str, date: str) -> DataFrame:
-    """Store the batch row of one day; returns all stored reports."""
-    anomalies = store.read_table(spark, store_root, "anomalies", ANOMALIES)
-    reports = store.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
-    store.write_table(append_daily_report(reports, anomalies, date), store_root, "logs_metadata", LOGS_METADATA)
-    return store.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
+    """Store the batch row of one day; returns all stored reports. Only that day's anomalies are read."""
+    anomalies = tables.read_table(spark, store_root, "anomalies", ANOMALIES, [date])
+    reports = tables.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
+    row = materialize(new_rows(reports, report_rows(anomalies, date), LOGS_METADATA, "created_at", "batch_id"))
+    tables.append_table(row, store_root, "logs_metadata", LOGS_METADATA, "created_at")
+    return tables.read_table(spark, store_root, "logs_metadata", LOGS_METADATA)
 
 
 def daily_job(spark: SparkSession, logs_path: str, work_path: str, models: str, store_root: str, date: str) -> DataFrame:
-    """One day's chain: quality gate, features, scoring with the newest model, warnings, report, retention.
+    """One day's chain: quality gate, features, scoring with the newest model, warnings, report, retention, compaction.
 
     Returns the stored reports. A failed gate raises before anything is written.
     """
@@ -151,16 +152,32 @@ def daily_job(spark: SparkSession, logs_path: str, work_path: str, models: str,
     monitoring_job(spark, store_root, as_of)
     reports = daily_report_job(spark, store_root, date)
     retention_job(spark, store_root, as_of)
+    compaction_job(spark, store_root, date)
     return reports
 
 
 def retention_job(spark: SparkSession, store_root: str, as_of: Column, anomaly_days: int = 90,
                   statistics_days: int = 180) -> None:
-    """Drop old anomalies and old feature statistics."""
-    for name, schema, column, days in (
+    """Drop old anomalies and old feature statistics: the folders of days that are old as a whole, and the old rows
+    of the day that the limit falls into. No other row is read or written; a limit at midnight writes none."""
+    for name, schema, column, kept in (
         ("anomalies", ANOMALIES, "detected_at", anomaly_days),
         ("feature_statistics", FEATURE_STATISTICS, "calculation_date", statistics_days),
     ):
-        table = store.read_table(spark, store_root, name, schema)
-        store.write_table(retain(table, column, as_of, days), store_root, name, schema,
-                          column if name == "anomalies" else None)
+        limit = as_of.cast("timestamp_ntz") - F.make_dt_interval(F.lit(kept))
+        day, inside = spark.range(1).select(
+            F.to_date(limit).cast("string"), limit > F.to_date(limit).cast("timestamp_ntz")).first()
+        tables.drop_days(spark, store_root, name, day)
+        border = tables.read_table(spark, store_root, name, schema, [day])
+        if inside and not border.isEmpty():
+            left = materialize(retain(border, column, as_of, kept))
+            if left.isEmpty():
+                tables.drop_days(spark, store_root, name, (dt.date.fromisoformat(day) + dt.timedelta(1)).isoformat())
+            else:
+                tables.replace_days(left, store_root, name, schema, column)
+
+
+def compaction_job(spark: SparkSession, store_root: str, date: str) -> None:
+    """Write one day of anomalies and of alerts in few files sorted by key; micro-batches leave a file each."""
+    tables.compact(spark, store_root, "anomalies", ANOMALIES, "detected_at", [date])
+    tables.compact(spark, store_root, "alerts", ALERTS, "created_at", [date])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.functions.logs import severity
-from logtide.plans.bounded import BROADCAST_ROWS
+from logtide.plans.bounded import BROADCAST_ROWS, join_small, settle
 from logtide.plans.materialize import materialize
 from logtide.plans.ordering import RowOrder, with_position
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
-from logtide.sources import store
+from logtide.sources import tables
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
@@ -109,38 +110,111 @@ def _inserted(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return conform(fresh.withColumn("is_confirmed", F.lit(False)), ANOMALIES)
 
 
-def merge_anomalies(spark: SparkSession, root: str, batch: DataFrame, now: Column | None = None) -> int:
-    """``upsert_anomalies`` into the stored table, writing only the detection days that the batch touches.
+#: Ids of stored anomalies and alerts are the day's number times this, and a place in the day.
+IDS_PER_DAY = 10 ** 10
 
-    Of the table only keys and detection times are read as a whole; rows are read and written for the days of
-    changed keys and of new rows. Returns the version; raises ``store.Conflict`` when another writer was first.
+
+def with_day_ids(rows: DataFrame, spark: SparkSession, root: str, name: str, schema: T.StructType, day: str, tie: str,
+             small: bool) -> DataFrame:
+    """``rows`` with ids: unique, growing by day, and in a day behind all ids of its folder, by (``day``, ``tie``).
+
+    Only the ids of the days at hand are read. A small batch is numbered in one task, as by ``number_rows``.
+    """
+    rows = rows.withColumn("_day", tables.day_of(day))
+    own = [r["_day"] for r in rows.select("_day").distinct().collect()]  # at most one for each day of the table
+    last = []
+    for d in own:
+        stored = tables.read_table(spark, root, name, schema, [d])
+        first = 0 if d == tables.NO_DAY else (dt.date.fromisoformat(d) - dt.date(1970, 1, 1)).days * IDS_PER_DAY
+        last.append((d, max(first, stored.agg(F.max("id")).first()[0] or 0)))
+    base = spark.createDataFrame(last, "_day string, _base long")
+    if small:
+        place = F.row_number().over(Window.partitionBy("_day").orderBy(day, tie))
+        placed = rows.withColumn("_place", place)
+    else:
+        placed = with_position(materialize(rows), RowOrder("_day", day, tie)).withColumn("_place", F.col("_pos") + 1)
+        placed = placed.drop("_key", "_sec", "_pos")
+    return placed.join(F.broadcast(base), "_day").withColumn("id", F.col("_base") + F.col("_place")).drop(
+        "_day", "_base", "_place")
+
+
+def merge_anomalies(spark: SparkSession, root: str, batch: DataFrame, now: Column | None = None,
+                    own_days: bool = False) -> DataFrame:
+    """``upsert_anomalies`` into the stored table; gives the stored rows of the batch.
+
+    New keys are appended to their detection days. Known ones are looked up (``tables.look_up``), and days are written
+    anew only where a known key's score or model has changed, so a batch repeated after a failure changes nothing.
+    With ``own_days`` keys are looked up in the batch's detection days only, which is right where the detection time
+    is a function of the row; then the cost of a batch does not depend on how much is stored.
+    """
+    batch = settle(_settled(batch, now, None))
+    small = not hasattr(batch, "_stored_at")
+    days = [r["d"] for r in batch.select(tables.day_of("detected_at").alias("d")).distinct().collect()]
+    stored = tables.read_table(spark, root, "anomalies", ANOMALIES, days if own_days else None)
+    changed = ["anomaly_score", "model_name", "model_version"]
+    known = tables.look_up(stored, batch, "log_id", ["log_id", "id", "detected_at", *changed], settle)
+    was = known.select("log_id", F.col("id").alias("_id"), F.col("detected_at").alias("_since"),
+                       *[F.col(c).alias(f"_{c}") for c in changed])
+    both = settle(join_small(batch, was, "log_id"))
+    fresh = both.filter("_id is null").drop("_id", "_since", *[f"_{c}" for c in changed])
+    fresh = conform(settle(with_day_ids(fresh, spark, root, "anomalies", ANOMALIES, "detected_at", "log_id", small).withColumn(
+        "is_confirmed", F.lit(False))), ANOMALIES)
+    if not fresh.isEmpty():
+        tables.append_table(fresh, root, "anomalies", ANOMALIES, "detected_at")
+    other = F.lit(False)
+    for c in changed:
+        other = other | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    update = both.filter(F.col("_id").isNotNull() & other)
+    touched = [r["d"] for r in update.select(tables.day_of("_since").alias("d")).distinct().collect()]
+    if touched:
+        part = tables.read_table(spark, root, "anomalies", ANOMALIES, touched)
+        rows = materialize(_changed(part, update.select(*batch.columns).withColumn("_known", F.lit(True))))
+        tables.replace_days(rows, root, "anomalies", ANOMALIES, "detected_at")
+    again = both.filter("_id is not null").withColumns({"id": F.col("_id"), "detected_at": F.col("_since")})
+    return conform(again, ANOMALIES).unionByName(fresh)
+
+
+def open_alerts(spark: SparkSession, root: str, anomalies: DataFrame, min_score: float = 0.8) -> None:
+    """Append an alert for each of the given stored anomalies of high score that has none.
+
+    Alerts carry the detection time of their anomaly, so they are looked up in its days only.
     """
-    base = store.newest(spark, root, "anomalies")
-    stored = store.read_table(spark, root, "anomalies", ANOMALIES, base)
-    batch = _known(_settled(batch, now, None), stored)
-    day = store.day_of("detected_at")
-    touched = [r["d"] for r in batch.select(  # at most one per day of the table
-        F.when(F.col("_known"), store.day_of("_since")).otherwise(day).alias("d")).distinct().collect()]
-    if not touched:
-        return base
-    part = stored.filter(day.isin(touched))
-    rows = _changed(part, batch).unionByName(_inserted(stored, batch))
-    return store.write_table(rows, root, "anomalies", ANOMALIES, "detected_at", touched, base)
+    rows = settle(alert_rows(anomalies, min_score))
+    days = [r["d"] for r in rows.select(tables.day_of("created_at").alias("d")).distinct().collect()]
+    if not days:
+        return
+    stored = tables.read_table(spark, root, "alerts", ALERTS, days)
+    known = tables.look_up(stored, rows, "anomaly_id", ["anomaly_id"], settle)
+    fresh = settle(rows.join(known, "anomaly_id", "left_anti"))
+    if not fresh.isEmpty():
+        small = not hasattr(fresh, "_stored_at")
+        numbered = with_day_ids(fresh, spark, root, "alerts", ALERTS, "created_at", "anomaly_id", small)
+        tables.append_table(conform(numbered, ALERTS), root, "alerts", ALERTS, "created_at")
+
+
+def new_rows(stored: DataFrame, rows: DataFrame, schema: T.StructType, time: str, tie: str) -> DataFrame:
+    """``rows`` under new ids, as ``append_rows`` adds them."""
+    return conform(assign_ids(rows, stored, time, tie), schema)
 
 
 def append_rows(stored: DataFrame, rows: DataFrame, schema: T.StructType, time: str, tie: str) -> DataFrame:
     """Stored table plus ``rows`` under new ids."""
-    return conform(stored, schema).unionByName(conform(assign_ids(rows, stored, time, tie), schema))
+    return conform(stored, schema).unionByName(new_rows(stored, rows, schema, time, tie))
 
 
 def record_metrics(stored: DataFrame, metrics: DataFrame, model_name: str, model_version: str,
                    evaluation_date: Column | None = None) -> DataFrame:
     """Model-performance table plus one row per metric (``metric_name``, ``metric_value``, ``dataset_size``)."""
+    rows = performance_rows(metrics, model_name, model_version, evaluation_date)
+    return append_rows(stored, rows, MODEL_PERFORMANCE, "created_at", "metric_name")
+
+
+def performance_rows(metrics: DataFrame, model_name: str, model_version: str, evaluation_date: Column | None = None) -> DataFrame:
+    """Rows of the model-performance table, still without id."""
     date = evaluation_date if evaluation_date is not None else F.current_date()
-    rows = metrics.withColumns({
+    return metrics.withColumns({
         "model_name": F.lit(model_name), "model_version": F.lit(model_version), "evaluation_date": date,
     }).withColumn("created_at", F.col("evaluation_date").cast("timestamp_ntz"))
-    return append_rows(stored, rows, MODEL_PERFORMANCE, "created_at", "metric_name")
 
 
 def record_feature_statistics(stored: DataFrame, statistics: DataFrame, date: Column | None = None) -> DataFrame:
@@ -156,12 +230,16 @@ def record_feature_statistics(stored: DataFrame, statistics: DataFrame, date: Co
 def create_alerts(stored: DataFrame, anomalies: DataFrame, min_score: float = 0.8,
                   alert_type: str = "anomaly_score") -> DataFrame:
     """Alert table plus one open alert per anomaly above ``min_score``."""
-    rows = anomalies.filter(F.col("anomaly_score") > min_score).select(
+    return append_rows(stored, alert_rows(anomalies, min_score, alert_type), ALERTS, "created_at", "anomaly_id")
+
+
+def alert_rows(anomalies: DataFrame, min_score: float = 0.8, alert_type: str = "anomaly_score") -> DataFrame:
+    """An open alert, still without id, per anomaly above ``min_score``."""
+    return anomalies.filter(F.col("anomaly_score") > min_score).select(
         F.col("id").alias("anomaly_id"), severity(F.col("anomaly_score")).alias("severity"),
         F.lit(alert_type).alias("alert_type"), F.col("message").alias("description"), F.lit("open").alias("status"),
         F.col("detected_at").alias("created_at"),
     )
-    return append_rows(stored, rows, ALERTS, "created_at", "anomaly_id")
 
 
 def orphan_alerts(alerts: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -292,5 +370,9 @@ def daily_report(anomalies: DataFrame, date: str) -> DataFrame:
 
 
 def append_daily_report(stored: DataFrame, anomalies: DataFrame, date: str) -> DataFrame:
-    rows = daily_report(anomalies, date).withColumn("created_at", F.to_date("batch_id").cast("timestamp_ntz"))
-    return append_rows(stored, rows, LOGS_METADATA, "created_at", "batch_id")
+    return append_rows(stored, report_rows(anomalies, date), LOGS_METADATA, "created_at", "batch_id")
+
+
+def report_rows(anomalies: DataFrame, date: str) -> DataFrame:
+    """The row of one day, still without id."""
+    return daily_report(anomalies, date).withColumn("created_at", F.to_date("batch_id").cast("timestamp_ntz"))

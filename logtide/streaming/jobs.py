@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtide.models.forest import ForestModel, score_forest
-from logtide.operators.features import build_features
-from logtide.operators.jobs import alert_new
-from logtide.operators.results import merge_anomalies
+from logtide.operators.results import merge_anomalies, open_alerts
 from logtide.operators.scoring import anomaly_rows, combine_scores
 from logtide.operators.summary import flat_window, summary_columns
-from logtide.plans.materialize import materialize, scratch
-from logtide.sources.logs import read_logs, write_table
+from logtide.plans.materialize import scratch
+from logtide.streaming.features import stream_features
 
 
 def _with_watermark(logs: DataFrame, late: str) -> DataFrame:
@@ -56,18 +54,19 @@ def sliding_volume(logs: DataFrame, width: str = "1 hour", slide: str = "5 minut
 def _store_findings(rows: DataFrame, model: ForestModel, store_root: str, threshold: float, alerts: bool) -> None:
     scored = combine_scores(score_forest(rows, model, relative_to_training=True), threshold=threshold)
     found = anomaly_rows(scored).withColumn("detected_at", F.col("timestamp"))
-    merge_anomalies(rows.sparkSession, store_root, found)
+    stored = merge_anomalies(rows.sparkSession, store_root, found, own_days=True)
     if alerts:
-        alert_new(rows.sparkSession, store_root)
+        open_alerts(rows.sparkSession, store_root, stored)
 
 
 def score_stream(features: DataFrame, model: ForestModel, store_root: str, checkpoint: str,
                  threshold: float = 0.5, alerts: bool = True, **trigger) -> StreamingQuery:
-    """Score a stream of feature rows and merge the anomalies of each micro-batch into the anomaly table; only
-    the days that a batch touches are written.
+    """Score a stream of feature rows and merge the anomalies of each micro-batch into the anomaly table.
 
-    Scores are relative to the training range, so that they do not depend on how the stream is cut. A
-    batch repeated after a failure merges to the same table. With ``alerts`` new anomalies of high score get one.
+    Scores are relative to the training range, so that they do not depend on how the stream is cut. Anomalies count
+    as detected at their own time, so a batch touches its own days only: new rows are appended, known keys looked up
+    there, and what else is stored is not read. A batch repeated after a failure merges to the same tables. With
+    ``alerts`` anomalies of high score get one.
     """
     def merge(batch: DataFrame, _: int) -> None:
         with scratch():
@@ -79,31 +78,11 @@ def score_stream(features: DataFrame, model: ForestModel, store_root: str, check
     )
 
 
-def score_raw_stream(logs: DataFrame, model: ForestModel, statistics: DataFrame, logs_root: str, store_root: str,
-                     checkpoint: str, history: str = "INTERVAL 1 DAY", threshold: float = 0.5, alerts: bool = True,
-                     **trigger) -> StreamingQuery:
-    """Score a stream of log rows: features, scores, anomalies and alerts of each micro-batch.
+def score_raw_stream(logs: DataFrame, model: ForestModel, statistics: DataFrame, store_root: str, checkpoint: str,
+                     late: str = "10 minutes", threshold: float = 0.5, alerts: bool = True, **trigger) -> StreamingQuery:
+    """Score a stream of log rows: features from keyed state (``stream_features``), scores, anomalies and alerts.
 
-    The rows of a batch are kept in a folder of their own under ``logs_root``, which a repeated batch overwrites.
-    Features are built over the batch and the kept rows up to ``history`` before it, which must reach as far as the
-    trailing windows; lagged values are found as far back as it reaches. ``statistics`` are the log-type statistics
-    of the training rows, so that features mean what they meant there.
+    ``statistics`` are the log-type statistics of the training rows, so that features mean what they meant there. A
+    row is scored once the watermark has passed its second.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        write_table(batch, f"{logs_root}/batch={number}")
-        own = read_logs(spark, f"{logs_root}/batch={number}")
-        first = own.agg(F.min("timestamp").alias("t")).first()["t"]
-        if first is None:
-            return
-        since = F.lit(first).cast("timestamp_ntz") - F.expr(history)
-        context = read_logs(spark, logs_root).filter(
-            (F.col("timestamp") >= since) & (F.col("batch") <= number)).drop("batch")
-        with scratch():
-            rows = build_features(context, statistics=statistics).join(own.select("log_id"), "log_id", "left_semi")
-            _store_findings(materialize(rows), model, store_root, threshold, alerts)
-
-    return (
-        logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    return score_stream(stream_features(logs, statistics, late), model, store_root, checkpoint, threshold, alerts, **trigger)

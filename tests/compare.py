@@ -38,9 +38,10 @@ def rows_of(table) -> tuple[list[str], list[tuple]]:
 
 
 def same(a: tuple, b: tuple) -> bool:
-    """Equal but for one unit in the last of six digits: a mean may end in a 5 at the seventh."""
+    """Equal as rounded: a digit that the two engines round apart is a difference."""
     return all(
-        x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1.1e-6) for x, y in zip(a, b))
+        x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-9 * max(1.0, abs(x)))
+        for x, y in zip(a, b))
 
 
 def type_names(table) -> dict[str, str]:

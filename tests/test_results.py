@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logtide import catalog, schemas
 from logtide.models import forest, sequence
 from logtide.operators import jobs, results
-from logtide.sources import store
+from logtide.sources import tables
 from logtide.sources.logs import read_logs
 
 NOW = dt.datetime(2024, 2, 1)
@@ -67,48 +67,108 @@ def test_ids_are_the_same_for_a_batch_beyond_one_task(spark, monkeypatch):
     assert sorted(small.collect()) == sorted(large.collect())
 
 
-def test_versions(spark, tmp_path):
-    root = str(tmp_path)
-    assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0
-    for n, score in ((1, 0.6), (2, 0.9), (3, 0.7), (4, 0.8)):
-        stored = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
-        table = results.upsert_anomalies(stored, batch(spark, ("a", 1, score)), now())
-        assert store.write_table(table, root, "anomalies", schemas.ANOMALIES) == n
-        assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).first()["anomaly_score"] == score
-    assert store.versions(spark, root, "anomalies") == [2, 3, 4]  # old ones are removed, folders too
-    assert len(list((tmp_path / "anomalies").glob("data-*"))) == 3
-    (tmp_path / "anomalies" / "data-unfinished").mkdir()  # a write that never claimed a version
-    assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 1
-
-
-def test_of_two_writers_one_is_refused(spark, tmp_path):
-    root = str(tmp_path)
-    rows = results.upsert_anomalies(empty(spark), batch(spark, ("a", 1, 0.6)), now())
-    assert store.write_table(rows, root, "anomalies", schemas.ANOMALIES, base=0) == 1
-    with pytest.raises(store.Conflict):
-        store.write_table(rows, root, "anomalies", schemas.ANOMALIES, base=0)
-    assert len(list((tmp_path / "anomalies").glob("data-*"))) == 1
-    assert store.write_table(rows, root, "anomalies", schemas.ANOMALIES) == 2
+def found(spark, *items):
+    return batch(spark, *items).withColumn("detected_at", F.col("timestamp"))
+
+
+def stored_rows(spark, root, name="anomalies", schema=schemas.ANOMALIES):
+    return sorted(map(tuple, tables.read_table(spark, root, name, schema).collect()), key=str)
 
 
-def test_merge_writes_only_touched_days(spark, tmp_path):
+def files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("own_days", [True, False])
+def test_merge_appends_new_keys_and_writes_changed_days_only(spark, tmp_path, own_days):
     root = str(tmp_path)
-    def found(*items):
-        return batch(spark, *items).withColumn("detected_at", F.col("timestamp"))
-
-    results.merge_anomalies(spark, root, found(("a", 1, 0.6), ("b", 2, 0.7), ("c", 3, 0.8)))
-    before = store.folders(spark, root, "anomalies", 1)
-    results.merge_anomalies(spark, root, found(("b", 2, 0.9), ("d", 4, 0.5), ("e", 2, 0.4)))
-    after = store.folders(spark, root, "anomalies", 2)
-    days = sorted(before)
-    assert sorted(after)[1:] == days and len(after) == 4
-    assert [before[d] == after[d] for d in days] == [True, False, True]
-    table = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
+    results.merge_anomalies(spark, root, found(spark, ("a", 1, 0.6), ("b", 2, 0.7), ("c", 3, 0.8)), own_days=own_days)
+    before = files(tmp_path)
+    got = results.merge_anomalies(spark, root, found(spark, ("b", 2, 0.9), ("d", 4, 0.5), ("e", 3, 0.4)), own_days=own_days)
+    after = files(tmp_path)
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("/")[1] for f in kept} == {"day=2024-01-31", "day=2024-01-29"} and len(after) == 5
+    table = tables.read_table(spark, root, "anomalies", schemas.ANOMALIES)
     assert {r["log_id"]: r["anomaly_score"] for r in table.collect()} == {"a": 0.6, "b": 0.9, "c": 0.8, "d": 0.5, "e": 0.4}
-    assert sorted(r["id"] for r in table.collect()) == [1, 2, 3, 4, 5]
-    same = results.upsert_anomalies(store.read_table(spark, root, "anomalies", schemas.ANOMALIES, 1), found(
-        ("b", 2, 0.9), ("d", 4, 0.5), ("e", 2, 0.4)))
-    assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+    assert table.select("id").distinct().count() == 5
+    assert {r["log_id"]: r["id"] for r in got.collect()} == {
+        r["log_id"]: r["id"] for r in table.collect() if r["log_id"] in "bde"}
+    assert {r["id"] - r["id"] % results.IDS_PER_DAY for r in table.filter("log_id in ('c', 'e')").collect()} == {
+        (dt.date(2024, 1, 29) - dt.date(1970, 1, 1)).days * results.IDS_PER_DAY}
+    # the pure form gives the same rows but for the ids
+    pure = results.upsert_anomalies(results.upsert_anomalies(empty(spark), found(
+        spark, ("a", 1, 0.6), ("b", 2, 0.7), ("c", 3, 0.8))), found(spark, ("b", 2, 0.9), ("d", 4, 0.5), ("e", 3, 0.4)))
+    assert sorted(map(tuple, pure.drop("id").collect()), key=str) == sorted(map(tuple, table.drop("id").collect()), key=str)
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    root, items = str(tmp_path), found(spark, ("a", 1, 0.95), ("b", 2, 0.7), ("c", 1, 0.85))
+    for _ in range(2):
+        results.open_alerts(spark, root, results.merge_anomalies(spark, root, items))
+        once = files(tmp_path)
+    results.open_alerts(spark, root, results.merge_anomalies(spark, root, items, own_days=True))
+    assert files(tmp_path) == once
+    assert len(stored_rows(spark, root)) == 3 and len(stored_rows(spark, root, "alerts", schemas.ALERTS)) == 2
+
+
+def test_a_large_batch_goes_through_stored_tables(spark, tmp_path, monkeypatch):
+    from logtide.plans import bounded
+    items = [(f"k{i:03d}", i % 3, 0.5 + i / 1000) for i in range(300)]
+    results.merge_anomalies(spark, str(tmp_path / "a"), found(spark, *items))
+    monkeypatch.setattr(tables, "PUSHED_KEYS", 5)
+    monkeypatch.setattr(bounded.fetch_bounded, "__defaults__", (10, 640))
+    results.merge_anomalies(spark, str(tmp_path / "b"), found(spark, *items))
+    results.merge_anomalies(spark, str(tmp_path / "b"), found(spark, *items))
+    assert stored_rows(spark, str(tmp_path / "a")) == stored_rows(spark, str(tmp_path / "b"))
+
+
+def test_a_look_up_leaves_row_groups_unread(spark, tmp_path):
+    """Few keys against many: the scan gives out a part of the rows only, whatever the order of the keys."""
+    rows = spark.range(200_000).select(
+        F.md5(F.col("id").cast("string")).alias("log_id"), F.lit(NOW).alias("detected_at"), F.col("id"))
+    table = results.conform(rows, schemas.ANOMALIES)
+    spark.conf.set("parquet.block.size", str(256 * 1024))
+    tables.append_table(table.coalesce(2), str(tmp_path), "anomalies", schemas.ANOMALIES, "detected_at")
+    stored = tables.read_table(spark, str(tmp_path), "anomalies", schemas.ANOMALIES)
+    keys = rows.filter("id in (5, 77777, 199999)")
+
+    def scanned(df):
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+        return got, plan.metrics().apply("numOutputRows").value()
+
+    got, read = tables.look_up(stored, keys, "log_id", ["log_id", "id"], scanned)
+    spark.conf.unset("parquet.block.size")
+    assert sorted(r["id"] for r in got) == [5, 77777, 199999] and 0 < read < 100_000
+    assert spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold") == "10"
+
+
+def test_retention_drops_folders_and_writes_the_border_day_only(spark, tmp_path):
+    root = str(tmp_path)
+    results.merge_anomalies(spark, root, found(spark, ("a", 1, 0.6), ("b", 90, 0.7), ("c", 91, 0.8), ("d", 200, 0.8)))
+    before = files(tmp_path)
+    jobs.retention_job(spark, root, now())
+    assert files(tmp_path) == {f: t for f, t in before.items() if f.split("/")[1] in ("day=2024-01-31", "day=2023-11-03")}
+    jobs.retention_job(spark, root, now() + F.expr("INTERVAL 6 HOURS"))
+    assert [r[1] for r in stored_rows(spark, root)] == ["a"]
+    border = found(spark, ("x", 90, 0.6)).unionByName(found(spark, ("y", 90, 0.6)).withColumn(
+        "detected_at", F.col("detected_at") + F.expr("INTERVAL 9 HOURS")))
+    results.merge_anomalies(spark, root, border)
+    jobs.retention_job(spark, root, now() + F.expr("INTERVAL 6 HOURS"))
+    assert sorted(r[1] for r in stored_rows(spark, root)) == ["a", "y"]
+
+
+def test_compaction_keeps_rows(spark, tmp_path):
+    root = str(tmp_path)
+    for k in range(4):
+        results.merge_anomalies(spark, root, found(spark, (f"k{k}", 1, 0.6), (f"m{k}", 2, 0.6)))
+    rows = stored_rows(spark, root)
+    jobs.compaction_job(spark, root, "2024-01-31")
+    assert stored_rows(spark, root) == rows
+    assert len(list((tmp_path / "anomalies" / "day=2024-01-31").glob("*.parquet"))) < 4
+    assert len(list((tmp_path / "anomalies" / "day=2024-01-30").glob("*.parquet"))) == 4
 
 
 def test_update_delete_and_retention(spark):
@@ -178,17 +238,17 @@ def test_jobs_end_to_end(spark, small, tmp_path):
                                    length=10, components=8)
     seq2 = sequence.load_sequences(spark, str(tmp_path / "sequences"))
     assert seq2.threshold == seq.threshold and (seq2.components == seq.components).all()
-    metrics = store.read_table(spark, root, "model_performance", schemas.MODEL_PERFORMANCE)
+    metrics = tables.read_table(spark, root, "model_performance", schemas.MODEL_PERFORMANCE)
     assert metrics.count() == 6 and metrics.select("id").distinct().count() == 6
 
     out = str(tmp_path / "scores")
     done = jobs.scoring_job(spark, str(tmp_path / "features"), loaded, out, root, now()).first()
-    anomalies = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
+    anomalies = tables.read_table(spark, root, "anomalies", schemas.ANOMALIES)
     assert done["total"] == 1000 and 0 < done["anomalies"] == anomalies.count()
     again = jobs.scoring_job(spark, str(tmp_path / "features"), loaded, out, root, now()).first()
     assert again == done
-    assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == anomalies.count()
-    alerts = store.read_table(spark, root, "alerts", schemas.ALERTS)
+    assert tables.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == anomalies.count()
+    alerts = tables.read_table(spark, root, "alerts", schemas.ALERTS)
     assert alerts.count() == anomalies.filter("anomaly_score > 0.8").count()
 
     enriched = jobs.enrichment_job(spark, raw, str(tmp_path / "enriched"))
@@ -196,7 +256,7 @@ def test_jobs_end_to_end(spark, small, tmp_path):
     assert enriched.bursts.agg(F.sum("count")).first()[0] == 1000 and (tmp_path / "enriched" / "log_type=ERROR").is_dir()
     assert read_logs(spark, str(tmp_path / "enriched")).filter("log_type = 'ERROR'").count() > 0
     jobs.retention_job(spark, root, now() + F.expr("INTERVAL 91 DAYS"))
-    assert store.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0
+    assert tables.read_table(spark, root, "anomalies", schemas.ANOMALIES).count() == 0
 
 
 def test_daily_chain_from_raw_json_to_the_stored_report(spark, small, tmp_path):
@@ -214,14 +274,14 @@ def test_daily_chain_from_raw_json_to_the_stored_report(spark, small, tmp_path):
                               F.to_date(F.lit("2024-01-30")), trees=trees)
     assert forest.load_forest(spark, jobs.newest_model(spark, f"{models}/forest_*")).nodes["tree"].nunique() == 7
     reports = jobs.daily_job(spark, raw, str(tmp_path / "work"), f"{models}/forest_*", root, "2024-01-31")
-    anomalies = store.read_table(spark, root, "anomalies", schemas.ANOMALIES)
+    anomalies = tables.read_table(spark, root, "anomalies", schemas.ANOMALIES)
     assert [(r["id"], r["batch_id"], r["total_logs"]) for r in reports.collect()] == [(1, "2024-01-31", anomalies.count())]
-    weak = store.read_table(spark, root, "model_performance", schemas.MODEL_PERFORMANCE).filter(
+    weak = tables.read_table(spark, root, "model_performance", schemas.MODEL_PERFORMANCE).filter(
         "metric_name = 'f1_score' and metric_value < 0.7").select("model_name", "metric_value").distinct().count()
-    alerts = store.read_table(spark, root, "alerts", schemas.ALERTS)
+    alerts = tables.read_table(spark, root, "alerts", schemas.ALERTS)
     assert alerts.filter("alert_type = 'model_quality'").count() == weak > 0
     jobs.monitoring_job(spark, root, now())
-    assert store.read_table(spark, root, "alerts", schemas.ALERTS).count() == alerts.count()
+    assert tables.read_table(spark, root, "alerts", schemas.ALERTS).count() == alerts.count()
 
     rows.unionByName(rows.limit(1)).write.parquet(str(tmp_path / "bad"))
     with pytest.raises(ValueError, match="unique_log_id"):

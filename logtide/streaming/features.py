@@ -122,13 +122,15 @@ def stream_features(logs: DataFrame, statistics: DataFrame, late: str = "10 minu
                 if isinstance(f.dataType, (T.LongType, T.IntegerType))}
 
     def update(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else TypeState()
+        held = TypeState()
+        if state.exists:
+            vars(held).update(pickle.loads(state.get[0]))
         if not state.hasTimedOut:
             for part in parts:
                 held.add(part.astype({c: k for c, k in nullable.items() if c in part.columns}))
         watermark = state.getCurrentWatermarkMs()
         ready = held.take(watermark // 1000)
-        state.update((pickle.dumps(held),))
+        state.update((pickle.dumps(vars(held)),))
         if held.waiting is not None:
             state.setTimeoutTimestamp(max(watermark + 1, (int(held.waiting["_sec"].min()) + 1) * 1000))
         if ready is not None:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from logtide import inputs, schemas
 from logtide.functions import logs as fn
 from logtide.models import forest, sequence
 from logtide.operators import (
-    detectors, enrich, evaluate, features, jobs, monitor, reports, results, scoring, summary, text,
+    detectors, drift, enrich, evaluate, features, jobs, monitor, reports, results, scoring, sketches, summary, text,
 )
 from logtide.plans.materialize import ensure_checkpoint_dir, materialize
 from logtide.plans.quantiles import exact_quantile
@@ -249,6 +248,21 @@ def flatten_payload(spark, sf_dir):
     return sources.flatten_payload(rows)
 
 
+_MADE = """concat('{"k":', {k}, ',"tag":', CASE WHEN {k} % 3 = 0 THEN '"t"' WHEN {k} % 3 = 1 THEN '1.5' ELSE 'true' END,
+  CASE WHEN {k} > 50 THEN ',"status_code":404,"extra":{{"a":[1]}}' ELSE '' END, '}}')"""
+
+
+@query(f"""WITH rows AS (SELECT {_MADE.replace('{"k"', '{{"k"').format(k='k')}::JSON AS j FROM (SELECT *, {_K} AS k FROM events)),
+  keys AS (SELECT j, unnest(json_keys(j)) AS payload_key FROM rows)
+  SELECT payload_key, CASE json_type(j, '$.' || payload_key) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer'
+    WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' END AS kind,
+    count(*) AS count FROM keys GROUP BY ALL""")
+def payload_keys(spark, sf_dir):
+    """Keys and kinds of payloads that no schema describes."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.from_json("props", schemas.struct("k int"))["k"])
+    return sources.payload_keys(rows.select(F.expr(_MADE.replace('{"k"', '{{"k"').format(k="k")).alias("extra_data")))
+
+
 @query(WITH_LOGS + """, runs AS (SELECT 'glob' AS read_as, log_type FROM logs UNION ALL SELECT 'glob', log_type FROM logs
     WHERE log_type = 'ERROR' UNION ALL SELECT 'latest', log_type FROM logs WHERE log_type = 'ERROR'
     UNION ALL SELECT 'partitioned', log_type FROM logs WHERE k < 50)
@@ -921,6 +935,79 @@ def feature_drift(spark, sf_dir):
                          monitor.feature_statistics(rows.filter(~early), ["value", "k"]))
 
 
+_SIDES = """, sides AS (SELECT timestamp < TIMESTAMP '2024-01-16' AS early, unnest(['value', 'k', 'response_time_ms']) AS feature_name,
+    unnest([value, CAST(k AS DOUBLE), response_time_ms]) AS x FROM logs), kept AS (SELECT * FROM sides WHERE x IS NOT NULL),
+  per_value AS (SELECT feature_name, x, count(*) FILTER (WHERE early) AS b, count(*) FILTER (WHERE NOT early) AS a
+    FROM kept GROUP BY ALL), sums AS (
+  SELECT *, sum(b) OVER w AS cb, sum(a) OVER w AS ca, sum(b) OVER (PARTITION BY feature_name) AS nb,
+    sum(a) OVER (PARTITION BY feature_name) AS na FROM per_value WINDOW w AS (PARTITION BY feature_name ORDER BY x)),
+  ks AS (SELECT feature_name, CAST(max(nb) AS BIGINT) AS previous_rows, CAST(max(na) AS BIGINT) AS current_rows,
+    max(abs(cb / nb - ca / na)) AS ks FROM sums GROUP BY feature_name),
+  edges AS (SELECT feature_name, unnest(list_distinct(quantile_disc(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e
+    FROM kept WHERE early GROUP BY feature_name),
+  binned AS (SELECT v.feature_name, x, any_value(b) AS b, any_value(a) AS a, count(e) AS bin FROM per_value v LEFT JOIN edges d
+    ON v.feature_name = d.feature_name AND e < x GROUP BY ALL),
+  shares AS (SELECT feature_name, greatest(sum(b) / sum(sum(b)) OVER (PARTITION BY feature_name), 0.0001) AS p,
+    greatest(sum(a) / sum(sum(a)) OVER (PARTITION BY feature_name), 0.0001) AS q FROM binned GROUP BY feature_name, bin),
+  psi AS (SELECT feature_name, sum((q - p) * ln(q / p)) AS psi FROM shares GROUP BY feature_name)"""
+
+
+@query(WITH_LOGS + _SIDES + """ SELECT feature_name, previous_rows, current_rows, round(ks, 6) AS ks, round(psi, 6) AS psi,
+  ks > 0.1 OR psi > 0.2 AS drifted FROM ks JOIN psi USING (feature_name)""")
+def distribution_drift(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    early = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return drift.distribution_drift(rows.filter(early), rows.filter(~early), ["value", "k", "response_time_ms"])
+
+
+_P0 = "CASE WHEN {k} <= 49.5 THEN CASE WHEN {v} <= 20.25 THEN 9.5 ELSE 7.25 END WHEN {v} <= 150 THEN 6.0 ELSE 2.5 END"
+_P1 = "CASE WHEN {v} <= 75 THEN 8.0 WHEN {k} <= 89 THEN 5.0 ELSE 2.0 END"
+_DECIDED = (f"CAST(-pow(2, -(CAST({_P0} AS DOUBLE) + CAST({_P1} AS DOUBLE)) / 2 / (2 * (ln(255) + 0.5772156649015329) "
+            "- 2 * 255 / 256)) + 0.55 < 0 AS INTEGER)")
+
+
+@query(WITH_LOGS + f""", base AS (SELECT log_id, is_anomaly, k, value, row_number() OVER (ORDER BY md5('rows/' || log_id)) AS n,
+    row_number() OVER (ORDER BY md5('k/' || log_id)) AS nk, row_number() OVER (ORDER BY md5('value/' || log_id)) AS nv FROM logs),
+  dealt AS (SELECT a.is_anomaly, a.k, a.value, b.k AS pk, c.value AS pv FROM base a JOIN base b ON a.n = b.nk JOIN base c ON a.n = c.nv),
+  decided AS (SELECT is_anomaly, unnest(['', 'k', 'value']) AS feature_name, unnest([{_DECIDED.format(k='k', v='value')},
+    {_DECIDED.format(k='pk', v='value')}, {_DECIDED.format(k='k', v='pv')}]) AS p FROM dealt),
+  f AS (SELECT feature_name, 2.0 * count(*) FILTER (WHERE is_anomaly AND p = 1) / (count(*) FILTER (WHERE is_anomaly)
+    + count(*) FILTER (WHERE p = 1)) AS f1 FROM decided GROUP BY feature_name)
+  SELECT a.feature_name, round(CAST(b.f1 AS DOUBLE), 6) AS f1_score, round(CAST(a.f1 AS DOUBLE), 6) AS permuted_f1_score,
+    round(CAST(b.f1 - a.f1 AS DOUBLE), 6) AS loss FROM f a JOIN f b ON a.feature_name <> '' AND b.feature_name = ''""")
+def permutation_importance(spark, sf_dir):
+    """What the fixed forest loses when one of its two features is shuffled."""
+    def predict(rows):
+        return forest.score_forest(rows, fixed_forest(), relative_to_training=True).withColumnRenamed(
+            "if_prediction", "prediction")
+
+    return monitor.permutation_importance(logs(spark, sf_dir), ["k", "value"], predict, "is_anomaly")
+
+
+@query(WITH_LOGS + """ SELECT CAST(timestamp AS DATE) AS date, log_type, count(*) AS row_count,
+  round(avg(response_time_ms), 6) AS value_mean, count(DISTINCT user_id) AS exact_users, true AS users_within_bound,
+  true AS quantile_within_bound FROM logs GROUP BY ALL""")
+def sketch_ranges(spark, sf_dir):
+    """Daily summaries merged from a stored table of hourly sketches, held against the exact values."""
+    rows = logs(spark, sf_dir)
+    hourly = materialize(sketches.sketch_table(rows))
+    day = {"date": F.to_date("hour"), "log_type": F.col("log_type")}
+    found = sketches.estimates(sketches.merged(hourly, day))
+    named = rows.select(F.to_date("timestamp").alias("date"), "log_type", "user_id", "response_time_ms")
+    beside = named.join(F.broadcast(found.select("date", "log_type", "value_quantile")), ["date", "log_type"])
+    x, q = F.col("response_time_ms"), F.col("value_quantile")
+    exact = beside.groupBy("date", "log_type").agg(
+        F.count_distinct("user_id").alias("exact_users"), F.count(x).alias("_n"), F.count_if(x < q).alias("_below"),
+        F.count_if(x <= q).alias("_upto"))
+    slack = F.col("_n") * sketches.RANK_ERROR + 1
+    rank = 0.95 * F.col("_n")
+    quantile = (F.col("_n") == 0) | ((F.col("_below") - slack <= rank) & (rank <= F.col("_upto") + slack))
+    users = F.abs(F.col("distinct_users") - F.col("exact_users")) <= 1 + sketches.USER_ERROR * F.col("exact_users")
+    return found.join(exact, ["date", "log_type"]).select(
+        "date", "log_type", "row_count", "value_mean", "exact_users", users.alias("users_within_bound"),
+        quantile.alias("quantile_within_bound"))
+
+
 @query(WITH_SCORED + """ SELECT 'value' AS feature_name, round(corr(value, combined_score), 6) AS correlation FROM scored
   UNION ALL SELECT 'k', round(corr(k, combined_score), 6) FROM scored""")
 def feature_effect(spark, sf_dir):
@@ -985,12 +1072,10 @@ def message_terms(spark, sf_dir):
 
 
 @query(WITH_TERMS + """, total AS (SELECT count(*) AS n FROM logs)
-  SELECT log_id, round(coalesce(sum(ln((n + 1) / (document_count + 1))), 0.0), 6) AS weight
-  FROM logs LEFT JOIN terms USING (log_id) LEFT JOIN top USING (term) CROSS JOIN total GROUP BY log_id""")
+  SELECT log_id, term, round(count(*) * ln((any_value(n) + 1) / (any_value(document_count) + 1)), 6) AS weight
+  FROM terms JOIN top USING (term) CROSS JOIN total GROUP BY log_id, term""")
 def message_vectors(spark, sf_dir):
-    vectors = text.text_vectors(logs(spark, sf_dir))
-    weights = vector_to_array("tfidf")
-    return vectors.select("log_id", F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("weight"))
+    return text.term_weights(logs(spark, sf_dir))
 
 
 # --- models -----------------------------------------------------------------------------------------------
@@ -1057,10 +1142,30 @@ def sequence_errors_fixed(spark, sf_dir):
     return sequence.score_sequences(logs(spark, sf_dir), model)
 
 
+@query(WITH_PATHS + """ SELECT log_id, round(decision, 6) AS if_decision, if_prediction, round(if_score, 6) AS if_score
+  FROM found""")
+def stored_model_scores(spark, sf_dir):
+    """A forest saved, found as the newest of its folder, loaded and used."""
+    root = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    forest.save_forest(spark, fixed_forest(), f"{root}/forest_1")
+    loaded = forest.load_forest(spark, sources.newest_model(spark, f"{root}/forest_*"))
+    return forest.score_forest(logs(spark, sf_dir), loaded).select("log_id", "if_decision", "if_prediction", "if_score")
+
+
+@query(WITH_LOGS + """, draws AS (SELECT tree, log_id, CAST('0x' || substr(md5(log_id || '/' || tree || '/42'), 1, 13) AS BIGINT)
+    / 4503599627370496 AS draw FROM logs, (SELECT unnest(range(20)) AS tree)), n AS (SELECT count(*) AS rows FROM logs),
+  picked AS (SELECT tree, log_id, row_number() OVER (PARTITION BY tree ORDER BY draw, log_id) AS pick FROM draws, n
+    WHERE rows <= 256 OR draw < least(1.0, (1.5 * 256 + 50) / rows))
+  SELECT CAST(tree AS INTEGER) AS tree, log_id, CAST(pick AS INTEGER) AS pick FROM picked WHERE pick <= 256""")
+def forest_draws(spark, sf_dir):
+    """Which rows each of twenty trees sees, drawn by MD5."""
+    rows = logs(spark, sf_dir).select("log_id")
+    return forest.draw_samples(rows, rows.count(), 20, 256, 42, unit=forest._md5_share).select("tree", "log_id", "pick")
+
+
 @query()
 def forest_scores(spark, sf_dir):
-    table = stored_features(spark, sf_dir)
-    scored = forest.score_forest(table, forest.fit_forest(table))
+    scored = forest.fit_and_score_forest(stored_features(spark, sf_dir))[1]
     return scoring.combine_scores(scored).select(
         "log_id", "if_prediction", "if_score", "combined_score", "is_anomaly_predicted")
 

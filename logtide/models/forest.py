@@ -47,16 +47,23 @@ def _unit_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(2 ** 53)
 
 
-def draw_samples(df: DataFrame, rows: int, trees: int, samples: int, seed: int, key: str = "log_id") -> DataFrame:
+def _md5_share(*columns: Column) -> Column:
+    """The same from 52 bits of MD5, for draws that other engines must repeat."""
+    digest = F.md5(F.concat_ws("/", *[c.cast("string") for c in columns]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(2 ** 52)
+
+
+def draw_samples(df: DataFrame, rows: int, trees: int, samples: int, seed: int, key: str = "log_id",
+                 unit=_unit_hash) -> DataFrame:
     """(tree, row) pairs, at most ``samples`` per tree, from one pass over ``df``.
 
-    Every (tree, row) pair is drawn on its own, by a hash of both, inside the row: what leaves the pass is
+    Every (tree, row) pair is drawn on its own, by a hash of both (``unit``), inside the row: what leaves the pass is
     about 1.5 * ``trees`` * ``samples`` rows whatever the table holds, and any row may get into any tree.
     """
     share = min(1.0, (1.5 * samples + 50) / rows) if rows > samples else 1.0
 
     def draw(tree):
-        return _unit_hash(F.col(key), tree, F.lit(seed))
+        return unit(F.col(key), tree, F.lit(seed))
 
     order = Window.partitionBy("tree").orderBy("draw", key)
     drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
@@ -101,14 +108,20 @@ def grow_forest(samples: DataFrame, seed: int) -> DataFrame:
 
 def forest_score(nodes: pd.DataFrame, features: Column) -> Column:
     """Anomaly score ``2^(-E[path] / c)`` of a scaled feature vector, evaluated on Arrow batches."""
-    by_tree = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    plan = [
-        (g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(), g["left"].to_numpy(np.int64),
-         g["right"].to_numpy(np.int64), g["path"].to_numpy())
-        for g in by_tree
-    ]
+    trees = [g.sort_values("node") for _, g in nodes.groupby("tree")]
+    roots = np.cumsum([0, *map(len, trees)])[:-1]
+    flat = pd.concat(trees, ignore_index=True)
+    base = np.repeat(roots, [len(g) for g in trees])
+    inner = (flat["left"] != flat["right"]).to_numpy()
+    feature = flat["feature"].to_numpy(np.int32)
+    # a leaf sends every row to itself, so that all rows of a batch take the same steps
+    threshold = np.where(inner, flat["threshold"], np.inf)
+    left = (flat["left"].to_numpy() + base).astype(np.int32)
+    right = (flat["right"].to_numpy() + base).astype(np.int32)
+    path = flat["path"].to_numpy()
     norm = mean_path(float(nodes["sampled"].max())) or 1.0
     depth = math.ceil(math.log2(max(float(nodes["sampled"].max()), 2)))
+    both = np.stack([left, right], axis=1).ravel()
 
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -116,14 +129,17 @@ def forest_score(nodes: pd.DataFrame, features: Column) -> Column:
                 yield pd.Series([], dtype="float64")
                 continue
             data = np.stack(batch.to_numpy())
-            rows = np.arange(len(data))
+            data = np.where(np.isnan(data), np.inf, data)  # goes right at every cut, and stays in a leaf
+            width, cells = data.shape[1], np.ascontiguousarray(data).ravel()
+            line = np.arange(len(data), dtype=np.int32) * width
             total = np.zeros(len(data))
-            for feature, threshold, left, right, path in plan:
-                at = np.zeros(len(data), dtype=np.int64)
+            for root in roots.tolist():
+                at = np.full(len(data), root, np.int32)
                 for _ in range(depth):
-                    at = np.where(data[rows, feature[at]] <= threshold[at], left[at], right[at])
-                total += path[at]
-            yield pd.Series(np.exp2(-total / len(plan) / norm))
+                    above = cells.take(line + feature.take(at)) > threshold.take(at)
+                    at = both.take(2 * at + above)
+                total += path.take(at)
+            yield pd.Series(np.exp2(-total / len(roots) / norm))
 
     walk.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(walk, "double")(features)
@@ -132,15 +148,27 @@ def forest_score(nodes: pd.DataFrame, features: Column) -> Column:
 def fit_forest(df: DataFrame, features: list[str] | None = None, trees: int = 100, samples: int = 256,
                contamination: float = 0.05, seed: int = 42, key: str = "log_id") -> ForestModel:
     """Scale, sample, grow, score the training rows and set the offset at the contamination percentile."""
+    return fit_and_score_forest(df, features, trees, samples, contamination, seed, key)[0]
+
+
+def fit_and_score_forest(df: DataFrame, features: list[str] | None = None, trees: int = 100, samples: int = 256,
+                         contamination: float = 0.05, seed: int = 42, key: str = "log_id") -> tuple[ForestModel, DataFrame]:
+    """The model, and its training rows as ``score_forest`` scores them: ``key``, if_decision, if_prediction, if_score.
+
+    The fit needs the scores of the training rows for its offset; they are kept, so no row is scored twice.
+    """
     features = features or [c for c in FOREST_FEATURES if c in df.columns]
     scaler = fit_scaler(df, features)
     rows = df.count()
     vectors = df.select(key, scaler.vector())
     nodes = grow_forest(draw_samples(vectors, rows, trees, samples, seed, key), seed).toPandas()
-    scores = materialize(vectors.select((-forest_score(nodes, F.col("features"))).alias("raw")))
+    scores = materialize(vectors.select(key, (-forest_score(nodes, F.col("features"))).alias("raw")))
     offset = exact_quantile(scores, "raw", contamination, name="offset").first()["offset"]
     span = scores.agg(F.min("raw").alias("low"), F.max("raw").alias("high")).first()
-    return ForestModel(scaler, nodes, float(offset), span["low"] - offset, span["high"] - offset)
+    model = ForestModel(scaler, nodes, float(offset), span["low"] - offset, span["high"] - offset)
+    decided = scores.select(key, (F.col("raw") - F.lit(model.offset)).alias("if_decision"))
+    return model, min_max(decided.withColumn("if_prediction", prediction_from_decision(F.col("if_decision"))),
+                          "if_decision", "if_score", invert=True, bounds=(model.low, model.high))
 
 
 def score_forest(df: DataFrame, model: ForestModel, relative_to_training: bool = False) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.operators.evaluate import evaluate
 from logtide.plans.materialize import materialize
-from logtide.plans.quantiles import exact_quantile
+from logtide.plans.ordering import RowOrder, with_position
+from logtide.plans.quantiles import column_quantiles
 
 
 def quality_checks(logs: DataFrame) -> DataFrame:
@@ -49,12 +51,10 @@ def quality_warnings(performance: DataFrame, as_of: Column, days: int = 7, metri
 
 
 def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
-    """Mean, deviation, minimum, maximum and exact 95th percentile per feature; the percentiles of all features
-    are searched in the same passes."""
+    """Mean, deviation, minimum, maximum and exact 95th percentile per feature; all features share the passes."""
     df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
-    pairs = ", ".join(f"'{c}', `{c}`" for c in features)
-    long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (feature_name, value)")
-    p95 = exact_quantile(long, "value", 0.95, ["feature_name"], "stat_value", discrete=True)
+    p95 = column_quantiles(df, features, 0.95).select(
+        F.col("column_name").alias("feature_name"), F.col("value").alias("stat_value"))
     aggs, parts = [], []
     for c in features:
         value = F.col(c).cast("double")
@@ -67,7 +67,7 @@ def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     simple = wide.selectExpr(
         "sample_size", f"stack({len(parts)}, {', '.join(parts)}) AS (feature_name, stat_type, stat_value)")
     names = simple.filter("stat_type = 'mean'").select("feature_name", "sample_size")  # also features without values
-    ranked = names.join(p95, "feature_name", "left").withColumn("stat_type", F.lit("percentile_95"))
+    ranked = names.join(F.broadcast(p95), "feature_name", "left").withColumn("stat_type", F.lit("percentile_95"))
     columns = ["feature_name", "stat_type", "stat_value", "sample_size"]
     return simple.select(*columns).unionByName(ranked.select(*columns))
 
@@ -97,3 +97,33 @@ def feature_effect(scored: DataFrame, features: list[str], score: str) -> DataFr
         wide.selectExpr(f"stack({len(features)}, {parts}) AS (feature_name, correlation)")
         .orderBy(F.desc_nulls_last(F.abs("correlation")), "feature_name")
     )
+
+
+def permutation_importance(df: DataFrame, features: list[str], predict, label: str, key: str = "log_id") -> DataFrame:
+    """feature_name, f1_score (all features in place), permuted_f1_score, loss: what F1 a model loses when the values of
+    one feature are dealt to other rows.
+
+    ``predict`` adds a 0/1 column ``prediction`` to a frame with the features. The permutation is a join of two row
+    orders, by MD5 of the key alone and with the feature's name, numbered without gathering (``plans.ordering``), so it
+    repeats on any cluster and needs no list of the rows.
+    """
+    rows = materialize(df.select(key, label, *features))
+
+    def positions(salt: str, *columns: str) -> DataFrame:
+        digest = F.md5(F.concat_ws("/", F.lit(salt), F.col(key).cast("string")).cast("binary"))
+        placed = rows.select(*columns, digest.alias("_md5")).withColumn(
+            "_time", F.timestamp_seconds(F.conv(F.substring("_md5", 1, 7), 16, 10).cast("long")))
+        return with_position(placed, RowOrder(None, "_time", "_md5")).select(*columns, "_pos")
+
+    base = materialize(positions("rows", key))
+    scores = evaluate(predict(rows), label, "prediction").select(F.lit("").alias("feature_name"), F.col("f1_score").alias("s"))
+    for c in features:
+        dealt = base.join(positions(c, c), "_pos").drop("_pos")
+        permuted = rows.drop(c).join(dealt, key)
+        scores = scores.unionByName(evaluate(predict(permuted), label, "prediction").select(
+            F.lit(c).alias("feature_name"), F.col("f1_score").alias("s")))
+    found = {r["feature_name"]: r["s"] for r in scores.collect()}  # one row for each feature
+    whole = found.pop("")
+    return df.sparkSession.createDataFrame(
+        [(c, whole, s, whole - s) for c, s in found.items()],
+        "feature_name string, f1_score double, permuted_f1_score double, loss double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,14 @@ def text_vectors(df: DataFrame, max_features: int = 100) -> DataFrame:
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="term_vector")
     counted = counter.transform(message_terms(df))
     return IDF(inputCol="term_vector", outputCol="tfidf").fit(counted).transform(counted).drop("terms")
+
+
+def term_weights(df: DataFrame, key: str = "log_id", max_features: int = 100) -> DataFrame:
+    """``key``, term, weight: the TF-IDF weights as rows, one for each frequent term of a text."""
+    vocabulary = [r["term"] for r in term_counts(df, max_features).collect()]
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="term_vector")
+    counted = counter.transform(message_terms(df))
+    weighted = IDF(inputCol="term_vector", outputCol="tfidf").fit(counted).transform(counted)
+    terms = F.array(*[F.lit(t) for t in vocabulary])
+    return weighted.select(key, F.posexplode(vector_to_array("tfidf")).alias("at", "weight"), "term_vector").filter(
+        F.get(vector_to_array("term_vector"), F.col("at")) > 0).select(key, F.get(terms, F.col("at")).alias("term"), "weight")

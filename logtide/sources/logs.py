@@ -80,3 +80,29 @@ def flatten_payload(df: DataFrame, column: str = "extra_data", schema: T.StructT
 def parse_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
     """ISO text to a zone-less timestamp; text that is none becomes null."""
     return df.withColumn(column, F.col(column).try_cast("timestamp_ntz"))
+
+
+def flatten_known(df: DataFrame, column: str = "extra_data", schema: T.StructType = LOG_PAYLOAD) -> DataFrame:
+    """``flatten_payload`` that keeps what the schema does not know: ``unknown`` holds the other keys as a map of JSON."""
+    known = F.array(*[F.lit(n) for n in schema.fieldNames()])
+    pairs = F.from_json(F.col(column), "map<string,string>")
+    rest = F.map_filter(pairs, lambda k, v: ~F.array_contains(known, k))
+    own = [F.col(c) for c in df.columns if c != column]
+    return df.withColumns({"_payload": F.from_json(F.col(column), schema), "unknown": rest}).select(*own, "_payload.*", "unknown")
+
+
+# Kinds of JSON values by the name of their type in a variant.
+_KINDS = {"BOOLEAN": "boolean", "BIGINT": "integer", "STRING": "string", "VOID": "null"}
+
+
+def payload_keys(df: DataFrame, column: str = "extra_data") -> DataFrame:
+    """payload_key, kind, count: which keys the payloads have and what kinds of values, without any schema.
+
+    Payloads are parsed to variants; text that is no JSON object has no key.
+    """
+    view = df.select(F.try_parse_json(F.col(column)).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    each = view.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    name = F.schema_of_variant("value")
+    kind = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").otherwise(
+        F.coalesce(*[F.when(name == n, k) for n, k in _KINDS.items()], F.lit("number")))
+    return each.groupBy(F.col("key").alias("payload_key"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("count"))

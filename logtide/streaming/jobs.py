@@ -51,6 +51,21 @@ def sliding_volume(logs: DataFrame, width: str = "1 hour", slide: str = "5 minut
     return _plain_times(flat_window(counts))
 
 
+def user_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of a stream, given out once the watermark has passed their pause; the rows of ``detectors.sessions``.
+
+    A session window ends its pause behind the last row and takes no row at that very moment, hence the microsecond.
+    """
+    windows = F.session_window("timestamp", f"{gap} 1 microsecond")
+    found = (
+        _with_watermark(logs, late).filter(F.col("user_id").isNotNull()).groupBy(windows.alias("_session"), "user_id")
+        .agg(F.min("timestamp").alias("session_start"), F.max("timestamp").alias("session_end"),
+             F.count(F.lit(1)).alias("log_count"), F.count_if(F.col("is_anomaly")).alias("anomaly_count"))
+    )
+    return _plain_times(found.drop("_session")).select(
+        "user_id", "session_start", "session_end", "log_count", "anomaly_count")
+
+
 def _store_findings(rows: DataFrame, model: ForestModel, store_root: str, threshold: float, alerts: bool) -> None:
     scored = combine_scores(score_forest(rows, model, relative_to_training=True), threshold=threshold)
     found = anomaly_rows(scored).withColumn("detected_at", F.col("timestamp"))

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from logtide.llm.batches import slices
 from logtide.llm.samples import drawn, fold
 from logtide.plans.bounded import join_small
+from logtide.plans.materialize import materialize
 
 #: Longest context in bytes; a context and its byte must fit into seven.
 ORDER = 3
-#: About so many documents per language are counted.
-DOCS_PER_LANGUAGE = 2_000
-#: Most byte strings in the model, over all languages; the most frequent stay.
-MOST_GRAMS = 60_000
+#: About so many documents per language are counted, and of all languages together.
+DOCS_PER_LANGUAGE, DOCS = 2_000, 20_000
+#: Most byte strings times languages in the model; contexts get shorter, for all languages alike, until it has no more.
+CELLS = 4_000_000
 #: Positions that are looked up at once.
 _CHUNK = 1 << 16
 
@@ -115,7 +116,7 @@ class ContextTrees:
         inner = np.unique(self.parent[2:])
         self.row = np.zeros(len(self.parent), np.int64)
         self.row[inner] = np.arange(1, len(inner) + 1)
-        children = np.zeros((len(inner) + 1, width), np.int64)
+        children = np.zeros((len(inner) + 1, width), np.int32)
         children[self.row[self.parent[2:]], self.last[2:]] = np.arange(2, len(self.parent))
         return children
 
@@ -167,21 +168,35 @@ def _shorter(gram: bytes, bits: dict, leave: dict) -> float:
     return bits[gram]
 
 
-def fit(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE,
-        most: int = MOST_GRAMS) -> ContextTrees:
-    """Model of the languages of ``docs`` (lang, text), from about ``docs_per_language`` texts of each.
+def order_that_fits(grams: DataFrame, order: int, cells: int) -> int:
+    """The longest context up to ``order`` under which strings times languages are at most ``cells``; 0 at least."""
+    length = F.col("gram").bitwiseAND(F.lit(255))
+    languages = grams.select("lang").distinct().count()
+    strings = dict(grams.select("gram", length.alias("k")).distinct().groupBy("k").count().collect())
+    while order and languages * sum(n for k, n in strings.items() if k <= order + 1) > cells:
+        order -= 1
+    return order
+
+
+def fit(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE, sample: int = DOCS,
+        cells: int = CELLS) -> ContextTrees:
+    """Model of the languages of ``docs`` (lang, text), from about ``docs_per_language`` texts of each, and not more
+    than ``sample`` in all.
 
     The share drawn is of a language's distinct texts, and each drawn text counts once, however many copies it has.
+    Every byte string of the drawn texts up to the model's order is kept, so totals and escapes are those of the
+    whole trees; what comes to the driver is bounded by ``cells``.
     """
     rows = docs.filter("lang is not null and text is not null").select(
         F.col("lang").alias("lang"), "text", F.xxhash64("text").alias("_hash"))
-    texts = rows.select("lang", "_hash").distinct()
-    shares = texts.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("_share"))
+    texts = materialize(rows.select("lang", "_hash").distinct())
+    each = min(docs_per_language, sample / max(1, texts.select("lang").distinct().count()))
+    shares = texts.groupBy("lang").agg((F.lit(float(each)) / F.count(F.lit(1))).alias("_share"))
     rows = join_small(rows, shares, "lang").filter(drawn(F.col("_share"), "_hash")).dropDuplicates(["lang", "_hash"])
-    grams = count_grams(rows, order)
-    top = grams.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).select("gram")
+    grams = materialize(count_grams(rows, order))
+    order = order_that_fits(grams, order, cells)
     counts: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for r in grams.join(F.broadcast(top), "gram").collect():  # at most ``most`` rows per language
+    for r in grams.filter(F.col("gram").bitwiseAND(F.lit(255)) <= order + 1).toLocalIterator():
         counts[r["lang"]][_gram(r["gram"])] = r["n"]
     return ContextTrees.from_counts(dict(counts), order)
 

@@ -101,3 +101,29 @@ def test_copies_do_not_displace_other_texts(spark, table):
     often = language.fit(table(rows + copies), docs_per_language=60)
     assert np.array_equal(once.cost, often.cost) and np.array_equal(once.escape, often.escape)
     assert once.symbol[ord("z")] and once.symbol[ord("f")]
+
+
+def test_every_string_of_the_drawn_texts_is_in_the_model(spark, table):
+    """Many languages: totals and escapes are those of whole trees, and shorter contexts hold where room is short."""
+    rng = random.Random(8)
+    rows = [(40 * k + j, " ".join("".join(rng.choices(f"abcdefgh{chr(97 + k)}", k=5)) for _ in range(30)), f"l{k:02d}", None)
+            for k in range(12) for j in range(5)]
+    model = language.fit(table(rows))
+    counts = {f"l{k:02d}": grams([t.encode() for _, t, lang, _ in rows if lang == f"l{k:02d}"], 3) for k in range(12)}
+    whole = language.ContextTrees.from_counts(counts, 3)
+    assert model.order == 3 and np.array_equal(model.cost, whole.cost) and np.array_equal(model.escape, whole.escape)
+    strings = {k: len({g for own in counts.values() for g in own if len(g) <= k}) for k in (1, 2, 3)}
+    small = language.fit(table(rows), cells=12 * strings[2])
+    shorter = language.ContextTrees.from_counts(
+        {lang: {g: n for g, n in own.items() if len(g) <= 2} for lang, own in counts.items()}, 1)
+    assert small.order == 1 and np.array_equal(small.cost, shorter.cost)
+    assert language.fit(table(rows), cells=1).order == 0
+
+
+def test_the_sample_is_bounded_over_all_languages(spark, table, monkeypatch):
+    rows = [(k, f"text number {k}", f"l{k % 50}", None) for k in range(1000)]
+    seen = []
+    whole = language.count_grams
+    monkeypatch.setattr(language, "count_grams", lambda docs, order: (seen.append(docs.count()), whole(docs, order))[1])
+    language.fit(table(rows), sample=200)
+    assert 120 < seen[0] < 290

@@ -6,7 +6,7 @@ the lines' lengths, are the share of a document that is bad; a logistic curve ov
 
 Labels exist for documents only. The field starts with every line labelled as its document, is fitted, and
 relabels the lines of bad documents (the worst line stays bad); this is repeated ``ROUNDS`` times. Fitting uses a
-bounded sample of labelled documents; whole texts are scored.
+bounded sample of whole labelled documents; whole texts are scored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from logtide.llm.batches import slices
 from logtide.llm.samples import drawn, fold, share_of
+from logtide.plans.materialize import materialize
 
-#: About so many labelled documents are fitted on, and of each at most so many lines (a stretch from its start).
-SAMPLE, SAMPLE_LINES = 4_000, 200
+#: About so many labelled documents are fitted on, with so many lines in all; documents of more than ``LONGEST`` lines
+#: are not drawn, as a step of the fit takes a pass for each line of the longest.
+SAMPLE, SAMPLE_LINES, LONGEST = 4_000, 200_000, 2_000
 ROUNDS, STEPS, RATE, PENALTY = 3, 120, 0.1, 1e-3
 
 _CLASSES = bytearray(b"." * 256)  # U upper, D digit, S sign, P punctuation, blank, else a letter
@@ -166,24 +168,40 @@ def _fit_curve(share: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(value[0]), float(min(value[1], -1e-6))
 
 
-def training_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> DataFrame:
-    """(good, features, lengths) of about ``sample`` labelled documents, of each at most ``lines`` lines.
+def draw_whole(sizes: list[tuple[int, int]], lines: int) -> list[int]:
+    """Keys of documents whose line counts fit into ``lines`` together, taken in the given order of (key, lines)."""
+    out, held = [], 0
+    for key, n in sizes:
+        if held + n <= lines:
+            out.append(key)
+            held += n
+    return out
 
-    Labels that are null or neither 0 nor 1 are left out; where an id has several labels or texts, the least counts.
+
+def training_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES,
+                   longest: int = LONGEST) -> DataFrame:
+    """(good, features, lengths) of about ``sample`` labelled documents of at most ``lines`` lines together.
+
+    Documents are drawn whole or not at all. Labels that are null or neither 0 nor 1 are left out; where an id has
+    several labels or texts, the least counts.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("good"))
     chosen = known.filter(drawn(share_of(sample, known.count()), "doc_id"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("text")).select("good", "text")
+    rows = materialize(rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("text")).withColumn(
+        "_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).fillna(1, "_lines"))
+    sizes = rows.filter(F.col("_lines") <= longest).select("doc_id", "_lines").orderBy(F.xxhash64(F.lit(9), "doc_id")).collect()
+    taken = rows.sparkSession.createDataFrame([(k,) for k in draw_whole(sizes, lines)], rows.select("doc_id").schema)
+    rows = rows.join(F.broadcast(taken), "doc_id").select("good", "text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 made = [line_features(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([f[:lines].ravel().tolist() for f, _ in made], pa.list_(pa.float64())),
-                     pa.array([x[:lines].tolist() for _, x in made], pa.list_(pa.float64()))],
+                    [part.column(0), pa.array([f.ravel().tolist() for f, _ in made], pa.list_(pa.float64())),
+                     pa.array([x.tolist() for _, x in made], pa.list_(pa.float64()))],
                     names=["good", "features", "lengths"])
 
     return rows.mapInArrow(run, "good int, features array<double>, lengths array<double>")

@@ -103,3 +103,21 @@ def test_odd_rows(spark, table):
     assert kept.columns == df.columns and kept.count() == len(rows) and kept.first()["score"] == "mine"
     assert line_quality.score_documents(df.limit(0), field).count() == 0
     assert line_quality.fit(df.limit(0), some).curve == (0.0, 0.0)
+
+
+def test_bad_lines_late_in_a_text_are_learnt(spark, table):
+    """Documents are fitted on whole: what makes them bad comes after line 200."""
+    plain, junk = "plain words of a text", "x$$$ y$$$ z$$$ w$$$"
+    rows = [(k, "\n".join([plain] * 250 + ([plain] * 40 if k % 2 else [junk] * 40))) for k in range(40)]
+    given = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    field = line_quality.fit(table(rows), given)
+    scores = field.score([t for _, t in rows])
+    assert all((s >= 0.5) == (k % 2 == 1) for k, s in enumerate(scores))
+
+
+def test_whole_documents_are_drawn(spark, table):
+    assert line_quality.draw_whole([(1, 5), (2, 7), (3, 4), (4, 1)], 10) == [1, 3, 4]
+    rows = [(k, "\n".join(["a line"] * (k + 1))) for k in range(30)]
+    given = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    sizes = [len(r["lengths"]) for r in line_quality.training_lines(table(rows), given, lines=100, longest=20).collect()]
+    assert sum(sizes) <= 100 and max(sizes) <= 20 and len(set(sizes)) == len(sizes) > 3

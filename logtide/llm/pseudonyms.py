@@ -20,14 +20,36 @@ ROUNDS = 8
 KINDS = ("email", "ip", "ssn", "date", "iban", "phone", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    """Exactly as many characters as the country's accounts have, in fours or without blanks."""
+    made = []
+    for length in sorted(set(IBAN_LENGTHS.values())):
+        fours, rest = divmod(length - 4, 4)
+        countries = "|".join(c for c, n in IBAN_LENGTHS.items() if n == length)
+        made.append(rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return f"(?:{'|'.join(made)})"
+
+
 _NUMBERS = (
     rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.[0-9])",
     r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
-    r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    _iban_pattern(),
     r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
     r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
     r"[0-9]{3}-[0-9]{3}-[0-9]{4}",
@@ -37,8 +59,10 @@ _NUMBERS = (
     r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     r"[0-9]{13,19}",
 )
-#: All candidates; a number neither follows nor precedes a letter or digit, nor goes on from one before a sign.
-CANDIDATE = rf"{_EMAIL}|(?<![0-9A-Za-z])(?<![0-9][.+-])(?:{'|'.join(_NUMBERS)})(?![0-9A-Za-z])"
+#: All candidates; a number neither follows nor precedes a letter or digit, nor goes on from one before a sign. Only a
+#: date may stand directly before a letter, the T of a time.
+_TIMED = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})"
+CANDIDATE = rf"{_EMAIL}|(?<![0-9A-Za-z])(?<![0-9][.+-])(?:{_TIMED}|(?:{'|'.join(_NUMBERS)})(?![0-9A-Za-z]))"
 
 #: Days from 1800 to 2199: 400 years, 189 * 773 days.
 _FIRST_DAY, _DAYS = "1800-01-01", (189, 773)
@@ -154,8 +178,7 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 def _iban(m: Column, key: str, inverse: bool) -> Column:
     def use(plain):
         country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
-        valid = (F.length(plain) >= 15) & (
-            _mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+        valid = _mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1
 
         def checked(body):
             check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")

@@ -151,3 +151,28 @@ def test_odd_rows(spark, table):
     assert len(got) == 5 and len({r["text"] for r in got if r["text"]}) == 1
     assert set(got[0].asDict()) == set(df.columns)
     assert pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_a_long_candidate_ends(spark, table):
+    """An address of a million labels, and one of a long local part; the pattern must not recurse."""
+    text = "x a@" + "b." * 1_000_000 + "com and 10.0.0.1"
+    row = pseudonyms.pseudonymise(table([(1, text)], 1), KEY).first()
+    assert [e["kind"] for e in row["entities"]] == ["email", "ip"] and len(row["text"]) >= len(text) - 8
+    assert row["text"].startswith("x " + permute_text("a", "email") + "@b.b.")
+    bare = "a." * 200_000 + "@" + "-" * 200_000
+    assert pseudonyms.pseudonymise(table([(1, bare)], 1), KEY).first()["text"] == bare
+
+
+@pytest.mark.parametrize("text, kinds, left", [
+    ("BE68 5390 0754 7034 PAID now", ["iban"], " PAID now"),
+    ("ES9121000418450200051332 2024-01-05 ok", ["iban", "date"], " ok"),
+    ("at 2024-01-05T10:00:00Z x", ["date"], "T10:00:00Z x"),
+    ("NO93 8601 1117 947 12 MT84MALT011000012345MTLCAST001S", ["iban", "iban"], ""),
+    ("2024-01-05Thursday", [], "2024-01-05Thursday"), ("BE68539007547034A", [], "BE68539007547034A"),
+])
+def test_values_before_words_and_times(spark, table, text, kinds, left):
+    there = pseudonyms.pseudonymise(table([(1, text)], 1), KEY)
+    row = there.first()
+    assert [e["kind"] for e in row["entities"]] == kinds and row["text"].endswith(left) and len(row["text"]) == len(text)
+    assert (row["text"] == text) == (not kinds)
+    assert pseudonyms.pseudonymise(there, KEY, inverse=True).first()["text"] == text

@@ -63,7 +63,8 @@ def op8_document_fingerprints(spark, sf_dir):
     found = merkle.edited_fingerprints(documents(spark, sf_dir))
     return found.select("doc_id", "n_chars", exact_dedup.sha256(F.col("edited_text")).alias("edited_sha256"),
                         F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
-                        F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"))
+                        F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"),
+                        merkle.written_places("removed").alias("removed"), merkle.written_places("added").alias("added"))
 
 
 #: A secret in real use; the registered query needs a fixed one to be repeatable.

@@ -16,15 +16,29 @@ def sha(text):
 def tree(text):
     lines, phrases = [], set()
     for p in text.split("\n"):
-        own = [sha(u)[:16] for u in re.findall(merkle.PHRASE, p)]
-        phrases.update(own)
-        lines.append(sha("p" + "".join(own))[:32])
+        own = [sha(u) for u in re.findall(merkle.PHRASE, p)]
+        phrases.update(d[:16] for d in own)
+        lines.append(sha("p" + "".join(own)))
     sections = [""]
     for d in lines:
         sections[-1] += d + ","
-        if d[0] in "01" or d == sha("p")[:32]:
+        if d[0] in "01" or d == sha("p"):
             sections.append("")
-    return sha("r" + "".join(sha("s" + s) for s in sections if s)), phrases
+    sections = [s for s in sections if s]
+    return sha("r" + "".join(sha("s" + s) for s in sections)), phrases, [s.split(",")[:-1] for s in sections]
+
+
+def places(a, b):
+    """Places of the paragraphs of differing sections of ``a`` that no differing section of ``b`` has."""
+    odd = [(i, s) for i, s in enumerate(a) if s not in b and s not in a[:i]]
+    known = {d for s in b if s not in a for d in s}
+    out = []
+    for i, s in odd:
+        for j, d in enumerate(s):
+            if d not in known:
+                known.add(d)
+                out.append(f"{i}:{j}")
+    return ",".join(out)
 
 
 def like(a, b):
@@ -52,21 +66,32 @@ def test_query_equals_brute_force(spark, saved, parts):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha(edited))
         assert r["fingerprint"] == tree(text)[0] and r["edited_fingerprint"] == tree(edited)[0]
         assert r["near_edited"] == pytest.approx(like(tree(text)[1], tree(edited)[1]), abs=1e-8)
+        own, other = tree(text)[2], tree(edited)[2]
+        assert (r["removed"], r["added"]) == (places(own, other), places(other, own))
         assert r["near_next"] == pytest.approx(like(tree(text)[1], tree(after)[1]), abs=1e-8)
 
 
-def test_differing_branches_locate_the_edit(spark):
+def test_all_differing_branches_are_located(spark):
     lines = [f"line {k} of the text" for k in range(60)]
     rows = []
-    for at in (0, 17, 41, 59):
-        changed = list(lines)
-        changed[at] = "something else"
-        rows.append((at, "\n".join(lines), "\n".join(changed)))
-    df = spark.createDataFrame(rows, "at int, a string, b string")
-    df = merkle.locate_edit(merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_"), "a_sections", "b_sections")
+    for n, at in enumerate([(0,), (17,), (3, 41), (5, 6, 33, 59), ()]):
+        changed = [f"something else {k}" if k in at else line for k, line in enumerate(lines)]
+        rows.append((n, list(at), "\n".join(lines), "\n".join(changed)))
+    rows.append((9, [], "\n".join(lines), "\n".join([*lines[:20], "put in", *lines[20:]])))
+    df = spark.createDataFrame(rows, "n int, at array<int>, a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_")
+    df = df.withColumn("removed", merkle.changes(F.col("a_sections"), F.col("b_sections"))).withColumn(
+        "added", merkle.changes(F.col("b_sections"), F.col("a_sections")))
     for r in df.collect():
-        before = sum(len(s.split(",")) - 1 for s in r["a_sections"][: r["edit_section"]])
-        assert before + r["edit_paragraph"] == r["at"]
+        for places, sections in ((r["removed"], r["a_sections"]), (r["added"], r["b_sections"])):
+            before = [0]
+            for s in sections:
+                before.append(before[-1] + s.count(","))
+            found = [before[p["section"]] + p["paragraph"] for p in places]
+            if r["n"] == 9:
+                assert found == ([20] if places is r["added"] else [])
+            else:
+                assert found == r["at"]
 
 
 def test_odd_rows(spark, table):
@@ -76,7 +101,7 @@ def test_odd_rows(spark, table):
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
     last = next(r for r in got if r["doc_id"] == 2)
     assert last["edited_text"] == "\n" + "o" or last["edited_text"][0] == "\n"
-    assert all((r["root"] == r["edited_root"]) == (r["edit_section"] is None) for r in got)
+    assert all((r["root"] == r["edited_root"]) == (not r["removed"] and not r["added"]) for r in got)
     assert merkle.edited_fingerprints(df.limit(0)).count() == 0
     one = merkle.edited_fingerprints(table([(4, "abcd")])).first()
     assert one["edited_text"] == "abab" and one["near_next"] == 1.0

@@ -1,6 +1,7 @@
 """Skew-proof plan parts against plain windows and brute force."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -200,3 +201,24 @@ def test_stored_tables_are_removed(spark):
     release(kept)
     assert not there(kept)
     release(kept)
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 10_000])
+def test_quantiles_of_many_columns(spark, monkeypatch, accuracy):
+    """Ties, nulls, infinities, NaN, an empty column; with poor and good proposals."""
+    from logtide.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = random.Random(2)
+    nan, inf = float("nan"), float("inf")
+    columns = {
+        "even": [float(k) for k in range(500)], "ties": [float(k % 3) for k in range(500)],
+        "odd": [rng.choice([None, nan, inf, -inf, 1.5, rng.random()]) for _ in range(500)],
+        "none": [None] * 500, "nans": [nan] * 250 + [1.0] * 250, "skew": [rng.random() ** 9 for _ in range(500)]}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(3)
+    for p in (0.05, 0.5, 0.95, 1.0):
+        found = {r["column_name"]: r["value"] for r in quantiles.column_quantiles(df, list(columns), p).collect()}
+        for c, values in columns.items():
+            known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+            want = known[max(0, -(-round(p * len(known) * 10 ** 6) // 10 ** 6) - 1)] if known else None
+            assert found[c] == want or (found[c] != found[c] and want != want), (c, p)

@@ -174,3 +174,22 @@ def test_cost_of_a_batch_does_not_grow_with_what_is_stored(spark, small, tmp_pat
     finally:
         results.tables.read_table = whole
     assert read and all(only is not None and len(only) <= 1 for _, only in read)
+
+
+def test_sessions_of_a_stream_equal_the_batch(spark, small, source, tmp_path):
+    """Sessions that merge over batches, and a pause of exactly the gap."""
+    from logtide.operators import detectors
+
+    logs = catalog.logs(spark, small).drop("event_id", "value", "k")
+    even = logs.limit(1).withColumns({"user_id": F.lit("even"), "timestamp": F.lit(T0)})
+    logs = logs.unionByName(even).unionByName(even.withColumn("timestamp", F.lit(T0 + dt.timedelta(minutes=30))))
+    logs.write.parquet(str(tmp_path / "logs"))
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    half = F.lit(dt.datetime(2024, 1, 15, 12, 20))
+    stream_ = source(logs.filter(F.col("timestamp") < half), logs.filter(F.col("timestamp") >= half),
+                     ending(logs).withColumn("user_id", F.lit("end")))
+    got = run(jobs.user_sessions(stream_), tmp_path, "sessions").filter("user_id <> 'end'")
+    want = detectors.sessions(logs)
+    columns = ["user_id", "session_start", "session_end", "log_count", "anomaly_count"]
+    assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+    assert got.filter("user_id = 'even'").count() == 1

@@ -1165,16 +1165,17 @@ def forest_draws(spark, sf_dir):
 
 @query()
 def forest_scores(spark, sf_dir):
-    scored = forest.fit_and_score_forest(stored_features(spark, sf_dir))[1]
+    scored = forest.fit_and_score_forest(stored_features(spark, sf_dir, schemas.FOREST_FEATURES))[1]
     return scoring.combine_scores(scored).select(
         "log_id", "if_prediction", "if_score", "combined_score", "is_anomaly_predicted")
 
 
 @query()
 def sequence_errors(spark, sf_dir):
-    return sequence.fit_and_score_sequences(stored_features(spark, sf_dir))[1]
+    return sequence.fit_and_score_sequences(stored_features(spark, sf_dir, ["is_anomaly", *schemas.SEQUENCE_FEATURES]))[1]
 
 
-def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table as the models read it: stored once, since fitting and scoring pass over it several times."""
-    return materialize(features.build_features(logs(spark, sf_dir)))
+def stored_features(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """What a model reads of the feature table: stored once, since fitting passes over it several times."""
+    table = features.build_features(logs(spark, sf_dir))
+    return materialize(table.select(*dict.fromkeys(["log_id", "timestamp", *columns])))

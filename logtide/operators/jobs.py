@@ -18,11 +18,13 @@ from logtide.operators.reports import counts_by_flag
 from logtide.operators.results import (
     conform, merge_anomalies, new_rows, open_alerts, performance_rows, report_rows, retain, with_day_ids,
 )
-from logtide.operators.scoring import anomaly_rows, combine_scores, result_columns, run_summary
+from logtide.operators.scoring import (
+    anomaly_rows, combine_scores, predicted_anomalies, result_columns, run_summary,
+)
 from logtide.operators.summary import hourly_summary, top_windows
 from logtide.schemas import ALERTS, ANOMALIES, FEATURE_STATISTICS, LOGS_METADATA, MODEL_PERFORMANCE
 from logtide.plans.bounded import settle
-from logtide.plans.materialize import materialize
+from logtide.plans.materialize import materialize, scratch
 from logtide.sources import tables
 from logtide.sources.logs import newest_model, read_logs, read_raw_logs, write_table
 
@@ -35,7 +37,8 @@ def features_job(spark: SparkSession, logs_path: str, out_path: str, check: bool
     logs = read_raw_logs(spark, logs_path)
     if check:
         require_quality(logs)
-    write_table(build_features(logs), out_path)
+    with scratch():
+        write_table(build_features(logs), out_path)
     return read_logs(spark, out_path)
 
 
@@ -45,10 +48,14 @@ def scoring_job(spark: SparkSession, features_path: str, model: ForestModel, out
 
     The rows are scored once; everything after that reads the stored result.
     """
-    scored = combine_scores(score_forest(read_logs(spark, features_path), model), threshold=threshold)
-    write_table(result_columns(scored), out_path)
-    found = merge_anomalies(spark, store_root, anomaly_rows(scored), now)
-    open_alerts(spark, store_root, found)
+    features = read_logs(spark, features_path)
+    scored = combine_scores(score_forest(features, model), threshold=threshold)
+    with scratch():
+        write_table(result_columns(scored), out_path)
+        # results have no level; the few flagged rows fetch it instead of being scored again
+        flagged = predicted_anomalies(read_logs(spark, out_path)).join(features.select("log_id", "log_level"), "log_id")
+        found = merge_anomalies(spark, store_root, anomaly_rows(flagged), now)
+        open_alerts(spark, store_root, found)
     return run_summary(read_logs(spark, out_path))
 
 
@@ -66,7 +73,8 @@ def enrichment_job(spark: SparkSession, logs_path: str, out_path: str, score: st
                    flag: str = "is_anomaly_predicted", top: int = 10) -> Enrichment:
     """Raw logs to the stored enrichment, one folder per log type, with burst counts, the hourly summary
     and its highest windows, all read from the stored rows."""
-    write_table(build_enriched(read_raw_logs(spark, logs_path)), out_path, partition_by=["log_type"])
+    with scratch():
+        write_table(build_enriched(read_raw_logs(spark, logs_path)), out_path, partition_by=["log_type"])
     enriched = read_logs(spark, out_path)
     summary = hourly_summary(enriched, score, flag) if score else None
     return Enrichment(enriched, counts_by_flag(enriched), summary, top_windows(summary, top) if score else None)

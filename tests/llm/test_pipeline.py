@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logtide.llm import line_quality
 from logtide.llm.queries import piece_model
-from test_simhash import groups, slow_print
+from test_similar import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,7 +31,7 @@ def folder(spark, table, tmp_path):
         rows.append((k, text, "en", rng.choice(["a", "b", "c", None])))
     for k in range(160, 220):
         text = rng.choice(rows[:160])[1]
-        rows.append((k, text if k % 2 else text.capitalize(), "en", "a"))
+        rows.append((k, text if k % 2 else text.capitalize() + (" tail" if k % 3 else ""), "en", "a"))
     rows += [(220, None, None, None), (221, "", "en", "b"), (222, " ".join(rng.choices(words, k=30_000)), "en", "c")]
     rows += [(223, rows[222][1] + " tail", "en", "c")]
     table(rows).write.parquet(str(tmp_path / "documents.parquet"))
@@ -62,8 +62,8 @@ def test_run_equals_plain_python(spark, folder):
     assert sorted(given["exact_dedup"]) == sorted(best.values())
     # near-duplicates
     kept = sorted(best.values())
-    label = groups([d[0] for d in kept], [slow_print(d[1]) for d in kept])
-    first = [d for d, g in zip(kept, label) if d[0] == g]
+    label = components([d[:2] for d in kept])
+    first = [d for d in kept if d[0] == label[d[0]]]
     assert sorted(given["near_dedup"]) == first and len(first) < len(kept)
     # mixing: copies of whole documents near the targets
     counts = Counter(given["mixing"])

@@ -73,12 +73,13 @@ def test_links_connect_what_all_pairs_connect(spark, bucket):
     assert got == wanted
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000])
+def test_components_of_long_paths_and_hubs(spark, one_task):
     path = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299)]
     edges = spark.createDataFrame(path, "a long, b long")
-    roots = {r["node"]: r["root"] for r in components.component_roots(edges).collect()}
+    roots = {r["node"]: r["root"] for r in components.component_roots(edges, one_task).collect()}
     assert roots == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 160)} | {300: 299}
-    assert components.component_roots(edges.limit(0)).count() == 0
+    assert components.component_roots(edges.limit(0), one_task).count() == 0
 
 
 def test_query_equals_brute_force(spark, saved):

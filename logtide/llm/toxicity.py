@@ -49,7 +49,7 @@ _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|[^\W\d_]_+[^\W\d_]")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"([a-z])\1\1")
 # columns of a word's own row
 _STRENGTH, _SECOND, _HIDDEN, _HIDDEN_HIT, _STRETCH = range(5)
 
@@ -113,6 +113,12 @@ class Lexicon:
         return at, code, np.array(rows, float)
 
 
+def _stretches(data: bytes) -> bool:
+    """True where three equal ASCII letters may stand side by side."""
+    own = np.frombuffer(data, np.uint8) | 32
+    return bool(((own[2:] == own[1:-1]) & (own[2:] == own[:-2]) & (own[2:] >= 97) & (own[2:] <= 122)).any())
+
+
 def text_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """The ``FEATURES`` of a text; all zero without words."""
     out = np.zeros(len(FEATURES))
@@ -121,7 +127,7 @@ def text_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     if not tokens:
         return out
     data, n = text.encode(), len(tokens)
-    marked, codes, rows = lexicon.mark(tokens, _STRETCHED.search(low) is not None)
+    marked, codes, rows = lexicon.mark(tokens, _stretches(data))
     each = rows[codes]
     strength, second = each[:, _STRENGTH], marked[each[:, _SECOND] > 0]
     hits = marked[strength >= TIERS[1]]

@@ -40,7 +40,7 @@ KEY_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", ascii_uppercase + "2345
 #: Least characters of a candidate, texts to learn from, drawn strings per alphabet, made identifiers.
 LEAST, SAMPLE, DRAWN, MADE = 16, 20_000, 400, 6_000
 #: Fewest bits of the threshold, and the share of held-out ordinary strings that may reach it.
-BITS, FALSE_RATE = 12.0, 0.001
+BITS, FALSE_RATE = 24.0, 0.001
 #: Words of the sampled texts that identifiers are made from, the most frequent ones.
 OWN_WORDS = 2_000
 
@@ -52,7 +52,14 @@ PARTS = """get set is has add remove create delete update read write load save o
     status time date day hour version http json xml sql html url uri base utf encode decode hash sort filter search find
     match account address email phone order item price total local remote global default private public static final
     src lib bin test java org com net apache spark python node modules build dist docs kubectl pods all deploy access
-    window frame button color width height left right top bottom first last next previous current""".split()
+    window frame button color width height left right top bottom first last next previous current
+    axis box fix hex mix pixel proxy regex suffix prefix vertex matrix export express fuzzy lazy quiz zero zone zoom zip gzip
+    jazz jump job join major object project subject quick quit quota quote equal require sequence unique frequency
+    sync async system type style symbol yield year yes array delay display layer layout retry verify copy empty
+    web wrap write view wave swap switch hook lookup rollback track block lock unlock click check flush push hash cache
+    vote vivid wake walk weak week wolf wood world worker whisper whale rhythm crypt glyph lynx myth nymph physics psych
+    alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra
+    uniform victor xray foo bar baz qux""".split()
 SUFFIXES = ("", "", "", "1", "2", "V2", "_v2", "64", "utf8", "_str", "Impl", ".py", ".java", ".js", ".txt", ".html", ".json")
 
 _CODE = np.zeros(256, np.int64)

@@ -1,15 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; candidates meet in bands of minimum hashes.
-
-Every set of shingles gets ``BANDS * ROWS`` minimum hashes; two sets of similarity s agree in one of them with
-probability s, and all of a band with probability s ** ROWS. A pair of 0.8 meets in none of the bands with probability
-(1 - 0.8 ** 5) ** 48 < 6e-9. What a set costs does not depend on how common its shingles are: sets that only share a
-passage hardly ever meet, in whichever number they come.
-
-Work is done on distinct sets. In a bucket each set is first compared with the bucket's least node, which is the same
-one in most bands, so that a group of n near copies costs few more than n comparisons. Where a bucket then still holds
-sets that are not connected, rounds of comparisons with neighbours by size follow until all of its pairs are compared
-or connected. Comparisons take the whole sets; the least node's set is sent once for each ``PARTNERS`` of its partners.
-Shingles, and sets as nodes, are told apart by 64-bit hashes.
+"""Near-duplicates by exact Jaccard similarity of word shingles; SimHash fingerprints and minimum hashes find candidates.
+
+Sets whose texts' fingerprints are linked within ``RADIUS`` bits (covering masks of ``simhash``) are one group. As pairs of
+0.8 mostly differ in more bits, every set also gets ``BANDS * ROWS`` minimum hashes, and those that agree in a band are a
+group: two sets of similarity s agree in one hash with probability s, and all of a band with probability s ** ROWS. A pair
+of 0.8 meets in none of the bands with probability (1 - 0.8 ** 5) ** 48 < 6e-9. What a set costs does not depend on how
+common its shingles are: sets that only share a passage hardly ever meet, in whichever number they come.
+
+Work is done on distinct sets. In a group each set is first compared with the group's least node, which is the same one in
+most bands, so that n near copies cost few more than n comparisons. Comparisons take the whole sets; the least node's set
+is sent once for each ``PARTNERS`` of its partners. Where sets that met the same least node are not connected by then, they
+are compared with each other by counting what they have in common, in tasks of two cells of bounded size; only links leave
+a task. Shingles, and sets as nodes, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from pyspark.sql import functions as F
 from logtide.llm.batches import slices
 from logtide.llm.components import component_roots
 from logtide.llm.rows import row_hash
-from logtide.llm.simhash import SEED, _FOLD, _signed, keep_named
+from logtide.llm.simhash import SEED, _FOLD, _signed, _star, fingerprint, keep_named, links_within
 from logtide.plans.bounded import join_small
 from logtide.plans.materialize import materialize, release
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 5
-#: Neighbours that a set is compared with in the first of the further rounds, and how much further the next one goes.
-NEIGHBOURS, FURTHER = 64, 16
+#: Bits in which the fingerprints of candidates differ at most.
+RADIUS = 3
+#: Sets in a cell, and their shingles; a task compares two cells.
+NEIGHBOURS, CELL = 1_024, 1_000_000
+#: Shingles in more sets of a task than these are counted by products of matrices of ``_WIDE`` columns.
+_RARE, _WIDE = 64, 512
 #: Partners of a set in one task, and most links (16 bytes each) that one task unites.
 PARTNERS, ONE_TASK = 256, 500_000
 #: Shingles that are hashed anew at once.
@@ -72,7 +77,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, _text (hash of the text), _node, _n (shingles) and _bands; a task gives a set's bands once."""
+    """``keep`` columns, _text (hash of the text), _node, _n (shingles), _print and _bands; a task gives a set's last two once."""
     kinds = {c: t for c, t in docs.dtypes}
 
     def run(batches):
@@ -80,19 +85,20 @@ def _sketched(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
         at = len(keep) + 1
         for batch in batches:
             for part in slices(batch, at):
-                nodes, sizes, bands = [], [], []
+                nodes, sizes, prints, bands = [], [], [], []
                 for text in part.column(at):
                     own = shingle_set(text.as_py(), words)
                     node = _node(own)
                     nodes.append(node)
                     sizes.append(len(own))
+                    prints.append(None if node in seen else _signed(fingerprint(text.as_py())))
                     bands.append(None if node in seen else band_keys(own))
                     seen.add(node)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:at], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                     pa.array(bands, pa.list_(pa.int64()))], names=[*keep, "_text", "_node", "_n", "_bands"])
+                    [*part.columns[:at], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()),
+                     pa.array(bands, pa.list_(pa.int64()))], names=[*keep, "_text", "_node", "_n", "_print", "_bands"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", _text long, _node long, _n int, _bands array<long>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", _text long, _node long, _n int, _print long, _bands array<long>"
     return docs.select(*keep, F.xxhash64("text").alias("_text"), "text").mapInArrow(run, schema)
 
 
@@ -101,30 +107,6 @@ def _fits(n, m, similarity: float):
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def _neighbours(first: int, last: int, similarity: float):
-    """Reads (key, n, node, root) sorted by the first three; gives the pairs of a bucket at a distance of ``first`` to
-    ``last`` whose roots and sizes allow a new link. Holds a batch and ``last`` rows."""
-    def run(batches):
-        held = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            before = 0 if held is None else len(held[0])
-            key, n, node, root = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            left, right = [node[:0]], [node[:0]]
-            for d in range(first, min(last, len(key) - 1) + 1):
-                start = max(0, before - d)  # pairs among the rows held are given already
-                a, b = slice(start, len(key) - d), slice(start + d, len(key))
-                at = np.flatnonzero((key[a] == key[b]) & (root[a] != root[b]) & (n[a] >= similarity * n[b] - 1e-9)) + start
-                left.append(node[at])
-                right.append(node[at + d])
-            x, y = np.concatenate(left), np.concatenate(right)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-            held = [c[-last:] for c in (key, n, node, root)]
-
-    return run
-
-
 def _whole_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(node, set) of the asked (node, _text), one text for each."""
     def run(batches):
@@ -157,11 +139,70 @@ def _similar(similarity: float):
     return run
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the stored ``pairs`` (a, b) whose whole sets are similar, stored."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    named = materialize(sets.select(F.col("_node").alias("node"), "_text").join(asked, "node"))
-    whole = materialize(_whole_sets(docs, named, words))
+def _linked(sets: list[np.ndarray], roots: np.ndarray, left: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the similar pairs of different roots: among all ``sets``, or with ``left``, of one before that and one behind."""
+    sizes = np.array([len(x) for x in sets])
+    kinds, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    last, first = left or len(sets), left
+    both = np.zeros((last, len(sets) - first), np.float32)
+    rare = count[number] <= _RARE
+    order = np.argsort(number[rare], kind="stable")
+    n, own = number[rare][order], owner[rare][order]
+    for d in range(1, int(count[count <= _RARE].max(initial=1))):
+        at = np.flatnonzero((n[d:] == n[:-d]) & (own[:-d] < last) & (own[d:] >= first))
+        np.add.at(both, (own[at], own[at + d] - first), 1)
+    column = np.cumsum(count > _RARE) - 1
+    order = np.argsort(column[number[~rare]], kind="stable")
+    n, own = column[number[~rare]][order], owner[~rare][order]
+    for k in range(0, int(column[-1]) + 1, _WIDE):
+        some = slice(*np.searchsorted(n, [k, k + _WIDE]))
+        table = np.zeros((len(sets), _WIDE), np.float32)
+        table[own[some], n[some] - k] = 1
+        both += table[:last] @ table[first:].T
+    x, y = [], []
+    for k in range(0, last, 256):
+        part = both[k:k + 256].astype(float)
+        near = part / (sizes[k:min(k + 256, last), None] + sizes[first:] - part) >= similarity
+        i, j = np.nonzero(near & (roots[k:min(k + 256, last), None] != roots[first:]))
+        ahead = i + k < j + first  # within one cell each pair once
+        x.append(i[ahead] + k)
+        y.append(j[ahead] + first)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _compared(similarity: float):
+    """Reads (a, tile, side, node, root, set) sorted by the first four; gives links that connect each tile's similar sets.
+
+    A tile has one cell, or two that differ in ``side`` and are compared with each other only. Holds one tile and a batch.
+    """
+    def links(held):
+        side, node, root, sets = zip(*held)
+        if len(set(root)) == 1:
+            return
+        node = np.array(node)
+        i, j = _linked(sets, np.array(root), side.index(1) if side[-1] else 0, similarity)
+        if len(i):
+            b, a = _star(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for *tile, side, node, root, data in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+                if tile != at:
+                    if held:
+                        yield from links(held)
+                    held, at = [], tile
+                held.append((side, node, root, np.frombuffer(data.as_buffer(), np.int64).copy()))
+        if held:
+            yield from links(held)
+
+    return run
+
+
+def _verified(docs: DataFrame, whole: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose ``whole`` sets are similar, stored."""
     salt = F.lit(PARTNERS).cast("long")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / salt).alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
@@ -170,51 +211,61 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, si
         whole, "node").select(F.col("node").alias("a"), F.col("part").cast("int").alias("part"),
                               F.lit(None).cast("long").alias("b"), "set")
     beside = own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    found = materialize(beside.select("a", "part", "b", "set").mapInArrow(_similar(similarity), "a long, b long"))
-    release(whole)
-    release(named)
-    return found
+    return materialize(beside.select("a", "part", "b", "set").mapInArrow(_similar(similarity), "a long, b long"))
+
+
+def _among(whole: DataFrame, met: DataFrame, roots: DataFrame, similarity: float, neighbours: int) -> DataFrame:
+    """Links that connect the similar sets among those that met the same least node and that ``roots`` do not connect."""
+    rooted = met.select("a", "node", "n").join(roots, "node", "left").select("a", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("a").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / neighbours, F.sum("n") / CELL)).cast("int").alias("cells")).filter("lo <> hi")
+    cell = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    dealt = rooted.join(mixed.select("a", "cells"), "a").select(
+        "a", "node", "root", "cells", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    tile = F.least("cell", "other").cast("long") * F.col("cells") + F.greatest("cell", "other")
+    tiles = dealt.select("a", tile.alias("tile"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "root")
+    rows = tiles.join(whole, "node").repartition("a", "tile").sortWithinPartitions("a", "tile", "side", "node")
+    return materialize(rows.select("a", "tile", "side", "node", "root", "set").mapInArrow(_compared(similarity), "a long, b long"))
+
+
+def _printed(sets: DataFrame) -> DataFrame:
+    """(key, n, node): sets whose fingerprints are linked within ``RADIUS`` bits have one key."""
+    near = component_roots(links_within(sets.select("_print").distinct(), RADIUS), ONE_TASK)
+    return sets.join(near, sets["_print"] == near["node"], "left").select(
+        F.coalesce("root", "_print").alias("key"), F.col("_n").alias("n"), F.col("_node").alias("node"))
 
 
 def similar_roots(docs: DataFrame, sets: DataFrame, words: int, similarity: float, neighbours: int) -> DataFrame:
     """(node, root) for the sets that links of ``similarity`` or more lead to a smaller node from.
 
-    ``sets`` has one row (_node, _text, _n, _bands) for each distinct set. ``neighbours`` is a plan setting.
+    ``sets`` has one row (_node, _text, _n, _print, _bands) for each distinct set. ``neighbours`` is a plan setting.
     """
     dealt = sets.select(F.explode("_bands").alias("key"), F.col("_n").alias("n"), F.col("_node").alias("node"))
+    dealt = dealt.unionByName(_printed(sets))
     least = F.min(F.struct("node", "n"))
     shared = dealt.groupBy("key").agg(least.alias("hub"), F.max("node").alias("_last")).filter("hub.node <> _last")
-    met = materialize(dealt.join(shared.select("key", "hub"), "key").select("key", "n", "node", "hub"))
-    pairs = materialize(met.filter((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n"), similarity)).select(
-        F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(docs, sets, pairs, words, similarity)
-    release(pairs)
+    met = materialize(dealt.join(shared.select("key", "hub"), "key").filter(F.col("node") != F.col("hub.node")).select(
+        F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), "node", "n").distinct())
+    asked = met.select("node").unionByName(met.select(F.col("a").alias("node"))).distinct()
+    named = materialize(sets.select(F.col("_node").alias("node"), "_text").join(asked, "node"))
+    whole = materialize(_whole_sets(docs, named, words))
+    release(named)
+    links = _verified(docs, whole, met.filter(_fits(F.col("n"), F.col("m"), similarity)).select("a", F.col("node").alias("b")), similarity)
     roots = component_roots(links, ONE_TASK)
-    first, last = 1, neighbours
-    while True:
-        rooted = met.select("key", "n", "node").join(roots, "node", "left").select(
-            "key", "n", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        # of two sets, one was the least node, and the other has met it already
-        mixed = mixed.filter((F.col("lo") != F.col("hi")) & (F.col("rows") > max(first, 2)))
-        rows = materialize(rooted.join(mixed.select("key"), "key", "left_semi"))
-        if rows.isEmpty():
-            return roots
-        ordered = rows.repartition("key").sortWithinPartitions("key", "n", "node")
-        pairs = materialize(ordered.mapInArrow(_neighbours(first, last, similarity), "a long, b long").distinct())
-        links = _verified(docs, sets, pairs, words, similarity)
-        release(pairs)
-        release(rows)
-        if not links.isEmpty():  # the roots so far stand for all links that led to them
-            roots = component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), ONE_TASK)
-        first, last = last + 1, last * FURTHER
+    among = _among(whole, met, roots, similarity, neighbours)
+    if not among.isEmpty():  # the roots so far stand for all links that led to them
+        roots = component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(among), ONE_TASK)
+    release(whole)
+    release(met)
+    return roots
 
 
 def _marked(docs: DataFrame, words: int, similarity: float, neighbours: int, keep: tuple[str, ...]) -> DataFrame:
     rows = materialize(_sketched(docs, words, keep))
     sets = materialize(rows.groupBy("_node").agg(
         F.min("doc_id").alias("_least"), F.min("_text").alias("_text"), F.first("_n").alias("_n"),
-        F.first("_bands", ignorenulls=True).alias("_bands")))
+        F.min("_print").alias("_print"), F.first("_bands", ignorenulls=True).alias("_bands")))
     roots = similar_roots(docs, sets, words, similarity, neighbours)
     rooted = sets.join(roots, sets["_node"] == roots["node"], "left").select(
         "_node", "_least", F.coalesce("root", "_node").alias("_root"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import similar
+from logtide.llm import similar, simhash
 
 
 def slow_set(text):
@@ -108,3 +108,47 @@ def test_pairs_meet_as_often_as_they_should():
 def hash_of(s):
     import xxhash
     return xxhash.xxh64_intdigest(s, 42) - 2 ** 63
+
+
+def test_pairs_within_the_radius_are_candidates_without_any_band(spark, table, monkeypatch):
+    """Fingerprints and their masks find near copies of long texts by themselves; unlike texts stay apart."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10 ** 6)}" for _ in range(900)] for _ in range(12)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(base)]
+    rows += [(100 + k, " ".join([*t[:400], "new", *t[401:]])) for k, t in enumerate(base)]
+    near = {k for k, t in enumerate(base) if (
+        simhash.fingerprint(rows[k][1]) ^ simhash.fingerprint(rows[12 + k][1])).bit_count() <= 3}
+    monkeypatch.setattr(similar, "band_keys", lambda own: own[:0])
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(table(rows)).collect()}
+    assert len(near) >= 6 and {k for k in range(12) if found[100 + k] == k} >= near
+    assert all(found[k] == k for k in range(12)) and all(found[100 + k] in (k, 100 + k) for k in range(12))
+
+
+def test_a_group_of_unlike_copies_asks_for_few_comparisons(spark, table, monkeypatch):
+    """Copies that are mostly less than similar meet everywhere; what is asked for does not grow with their square."""
+    rng, asked = random.Random(6), []
+    base, rows = [f"w{k}" for k in range(150)], []
+    for k in range(240):
+        text = list(base) if k % 4 or not rows else rng.choice(rows)[1].split(" ")
+        for j in range(rng.randint(2, 9) if k % 4 else 1):
+            text[rng.randrange(150)] = f"x{k}_{j}"
+        rows.append((k, " ".join(text)))
+    whole = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda d, s, pairs, *a: (asked.append(pairs.count()), whole(d, s, pairs, *a))[1])
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(table(rows), neighbours=50).collect()}
+    assert found == components(rows) and len(set(found.values())) > 20
+    assert sum(asked) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("left", [0, 30])
+@pytest.mark.parametrize("rare", [1, 4, 64])
+def test_linked_sets_equal_all_pairs(monkeypatch, left, rare):
+    monkeypatch.setattr(similar, "_RARE", rare)
+    monkeypatch.setattr(similar, "_WIDE", 7)
+    rng = np.random.default_rng(rare)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 12))) for _ in range(70)]
+    roots = rng.integers(0, 60, 70)
+    pairs = [(i, j) for i in range(70) for j in range(i + 1, 70) if not left or i < left <= j]
+    wanted = {(i, j) for i, j in pairs if roots[i] != roots[j] and len(np.intersect1d(sets[i], sets[j])) / len(
+        np.union1d(sets[i], sets[j])) >= 0.6}
+    assert set(zip(*(x.tolist() for x in similar._linked(sets, roots, left, 0.6)))) == wanted and wanted

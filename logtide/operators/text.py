@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +48,7 @@ def term_weights(df: DataFrame, key: str = "log_id", max_features: int = 100) ->
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="term_vector")
     counted = counter.transform(message_terms(df))
     weighted = IDF(inputCol="term_vector", outputCol="tfidf").fit(counted).transform(counted)
+    parts = F.unwrap_udt("tfidf")  # counts above 0 only; a term in every text has its place, with weight 0
+    rows = weighted.select(key, F.explode(F.arrays_zip(parts["indices"].alias("at"), parts["values"].alias("weight"))).alias("t"))
     terms = F.array(*[F.lit(t) for t in vocabulary])
-    return weighted.select(key, F.posexplode(vector_to_array("tfidf")).alias("at", "weight"), "term_vector").filter(
-        F.get(vector_to_array("term_vector"), F.col("at")) > 0).select(key, F.get(terms, F.col("at")).alias("term"), "weight")
+    return rows.select(key, F.get(terms, F.col("t.at")).alias("term"), F.col("t.weight").alias("weight"))

@@ -260,3 +260,18 @@ def test_latest_run_and_globs(spark, tmp_path):
     assert sources.read_latest_run(spark, plain).count() == 2
     newest = sources.read_latest_run(spark, str(tmp_path / "features_*"))
     assert newest.count() == 5 and "log_type" in newest.columns
+
+
+def test_term_weights_make_rows_of_present_terms_only(spark):
+    """No row of a text for every term of the vocabulary; a term in all texts stays, with weight 0."""
+    from logtide.operators import text
+
+    rows = [("a", "alpha beta alpha"), ("b", "alpha"), ("c", "alpha gamma"), ("c", "alpha gamma"), (None, "alpha beta"), ("d", "")]
+    found = text.term_weights(spark.createDataFrame(rows[:5], "log_id string, message string"))
+    given = sorted((str(r["log_id"]), r["term"], round(r["weight"], 6)) for r in found.collect())
+    half = 0.693147
+    assert [g for g in given if g[1] == "alpha"] == [(k, "alpha", 0.0) for k in ("None", "a", "b", "c", "c")]
+    assert [g for g in given if g[1] == "beta"] == [("None", "beta", half), ("a", "beta", half)]
+    assert len(given) == 14
+    plan = text.term_weights(spark.createDataFrame(rows, "log_id string, message string"))._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "explode(arrays_zip" in plan

@@ -32,6 +32,8 @@ FOLDS = 4
 LEAST_TEXTS, TIERS = 3, (2.0, 3.0, 4.5)
 #: Words between a lexicon word and one of the second person that count as close.
 NEAR = 5
+#: Tokens whose rows a task keeps.
+KEPT = 200_000
 TREES, DEPTH, RATE, BINS, PENALTY, LEAST_WEIGHT = 150, 3, 0.1, 64, 1.0, 1.0
 
 # Words of the second person in English, German, French and Spanish.
@@ -76,6 +78,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.starts = {e.rstrip("~")[:3] for e in self.strength} | {w[:3] for w in SECOND_PERSON}
+        self.described: tuple[dict[str, list[float]], ...] = {}, {}
 
     def of(self, word: str) -> float:
         if word[:3] not in self.starts:
@@ -98,12 +101,21 @@ class Lexicon:
             asked = list({*asked, *filter(_STRETCHED.search, set(tokens))})
         known: dict[str, int] = {}
         rows = []
+        described = self.described[stretched]
+        if len(described) > KEPT:
+            described.clear()
         for t in asked:
-            bare = t.strip(".,;:!?")
-            if bare.isalpha() and not stretched and bare[:3] not in starts:
-                continue
-            row = self.describe(bare if bare.isalpha() else t)
-            if any(row):
+            row = described.get(t)
+            if row is None:
+                bare = t.strip(".,;:!?")
+                if bare.isalpha() and not stretched and bare[:3] not in starts:
+                    row = []  # none of the signs
+                else:
+                    row = self.describe(bare if bare.isalpha() else t)
+                    row = row if any(row) else []
+                if len(t) < 64:
+                    described[t] = row
+            if row:
                 known[t] = len(rows)
                 rows.append(row)
         if not rows:

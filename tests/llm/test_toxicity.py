@@ -105,3 +105,16 @@ def test_copies_do_not_displace_other_texts(spark, table):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(340)], "doc_id long, quality int, toxic int")
     found = toxicity.training_texts(table(rows), labels, sample=1000).collect()
     assert len(found) == 41 and {r["label"] for r in found if r["text"] == "same text"} == {1}
+
+
+def test_a_token_is_described_once(monkeypatch):
+    """Tokens of further texts cost a lookup; what is kept is bounded and changes no feature."""
+    asked, texts = [], ["You vile v.i.l.e man, grime!", "man, you VILE so sooo vile. v.i.l.e", "sooo man, grime! you"] * 3
+    plain = [toxicity.text_features(t, toxicity.Lexicon({"vil~": 5.0, "grime": 2.5})).tolist() for t in texts]
+    whole = toxicity.Lexicon.describe
+    monkeypatch.setattr(toxicity.Lexicon, "describe", lambda self, t: (asked.append(t), whole(self, t))[1])
+    lexicon = toxicity.Lexicon({"vil~": 5.0, "grime": 2.5})
+    assert [toxicity.text_features(t, lexicon).tolist() for t in texts] == plain
+    assert 0 < len(asked) < 20 and max(asked.count(t) for t in asked) <= 4
+    monkeypatch.setattr(toxicity, "KEPT", 1)
+    assert [toxicity.text_features(t, lexicon).tolist() for t in texts] == plain

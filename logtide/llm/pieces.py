@@ -22,6 +22,8 @@ from logtide.llm.batches import slices
 
 BLANK = "▁".encode()
 _BYTE, _CONTROL, _UNKNOWN = 6, 3, 2
+#: Bytes of text that are encoded at once; places and ids of a text take some ten times its bytes.
+ENCODED_BYTES = 250_000
 
 
 class CharacterMap:
@@ -186,7 +188,7 @@ def encode_documents(docs: DataFrame, model: bytes, packed: bool = False, decode
     def run(batches):
         encoder = PieceEncoder(model)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, ENCODED_BYTES):
                 found = [encoder.encode(t or "") for t in part.column(at).to_pylist()]
                 made = [column([getattr(f, name) for f in found]) for name in new[:3]]
                 if decode:

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -91,3 +94,49 @@ def test_odd_rows(spark, table):
     assert len(got) == 4 and set(got[0].asDict()) == set(df.columns) | {"begins", "ends"}
     assert sorted(len(r["ids"]) for r in got) == [2, 2, 4, 4]
     assert pieces.encode_documents(df.limit(0), piece_model(), decode=True).count() == 0
+
+
+#: Encodes 24 MB of texts as a task does and prints the MB that the process took meanwhile at most, and keeps afterwards.
+WORKER = """
+import random, re
+import pyarrow as pa
+from pyspark.sql import types as T
+from logtide.llm import pieces
+from logtide.llm.queries import piece_model
+
+class Docs:
+    columns, schema = ["text"], T.StructType([T.StructField("text", T.StringType())])
+    def drop(self, *names):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(3000)]
+    yield pa.record_batch([[" ".join(rng.choices(words, k=400)) for _ in range(10000)]], names=["text"])
+
+run = pieces.encode_documents(Docs(), piece_model())
+list(run(iter([pa.record_batch([["warm up"]], names=["text"])])))
+given = batches()
+batch, given = next(given), None
+size, before, most, rows = batch.nbytes / 2 ** 20, held(), 0, 0
+for part in run(iter([batch])):
+    rows += part.num_rows
+    most = max(most, held())
+del batch, part
+print(rows, size, most - before, held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_a_worker_gives_its_memory_back():
+    """Workers outlive their tasks: what one took for its texts must not stay with it."""
+    run = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, timeout=120, check=True,
+                         cwd=Path(__file__).resolve().parents[2])
+    rows, size, most, kept = map(float, run.stdout.split())
+    assert rows == 10_000 and size > 20
+    assert most < 100 and kept < 30, (most, kept)
